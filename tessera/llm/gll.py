@@ -67,8 +67,8 @@ class Grammar:
                 else:
                     rest = f"_{self._fresh}"
                     self._fresh += 1
-                    self.rules[rest] = [[term, ("n", rest)], []]
-                    term = ("n", rest) if q == "*" else ("n", self._rule([[term, ("n", rest)]]))
+                    self.rules[rest] = [[("n", rest), term], []]  # left recursion: one stack node for all repetitions
+                    term = ("n", rest) if q == "*" else ("n", self._rule([[("n", rest), term]]))
             cur.append(term)
         out.append(cur)
         return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, neardup, neighbours, splitting, tokens
+from tessera.llm import mixing, neardup, neighbours, parsing, splitting, tokens
 from tessera.session import table
 
 PATTERN_FIELDS = ("before_code", "after_code", "migration_type")
@@ -43,6 +43,14 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "migration_patterns"), "pattern_id", "embedded_signature").withColumnRenamed("id", "pattern_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.found(table(spark, d, "code_chunks"), table(spark, d, "migration_patterns"), table(spark, d, "frameworks"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.rates(parsing.files(table(spark, d, "code_chunks")))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -60,7 +68,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_doc_pieces, p2_code_pieces, p3_found, p3_nearest, p7_ids, p7_text, p8_mix, p8_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_doc_pieces, p2_code_pieces, p3_found, p3_nearest, p4_found, p4_rates, p7_ids, p7_text, p8_mix, p8_shares)}
 
 SQL: dict[str, str] = {
     "p2_found": r"""
