@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, neardup, neighbours, parsing, secrets, splitting, tokens
+from tessera.llm import docpairs, mixing, neardup, neighbours, parsing, secrets, splitting, tokens
 from tessera.session import table
 
 PATTERN_FIELDS = ("before_code", "after_code", "migration_type")
@@ -51,6 +51,16 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.rates(parsing.files(table(spark, d, "code_chunks")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "code_chunks")
+    return docpairs.found(chunks, parsing.files(chunks))
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "code_chunks")
+    return docpairs.pairs(chunks, parsing.files(chunks))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return secrets.found(table(spark, d, "code_chunks"))
 
@@ -81,7 +91,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_doc_pieces, p2_code_pieces, p3_found, p3_nearest, p4_found, p4_rates, p6_found, p6_places, p6_redacted, p7_ids, p7_text, p8_mix, p8_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_doc_pieces, p2_code_pieces, p3_found, p3_nearest, p4_found, p4_rates, p5_found, p5_pairs, p6_found, p6_places, p6_redacted, p7_ids, p7_text, p8_mix, p8_shares)}
 
 SQL: dict[str, str] = {
     "p2_found": r"""
