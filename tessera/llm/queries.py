@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import docpairs, mixing, neardup, neighbours, parsing, secrets, splitting, tokens
+from tessera.llm import docpairs, mixing, neardup, neighbours, parsing, secrets, spans, splitting, tokens
 from tessera.session import table
 
 PATTERN_FIELDS = ("before_code", "after_code", "migration_type")
@@ -91,7 +91,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_doc_pieces, p2_code_pieces, p3_found, p3_nearest, p4_found, p4_rates, p5_found, p5_pairs, p6_found, p6_places, p6_redacted, p7_ids, p7_text, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents")).select("doc_id", F.col("start").cast("bigint").alias("start_char"), F.col("length").cast("bigint").alias("len_chars"))
+
+
+def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return spans.coverage(documents, spans.shared_spans(documents))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_doc_pieces, p2_code_pieces, p3_found, p3_nearest, p4_found, p4_rates, p5_found, p5_pairs, p6_found, p6_places, p6_redacted, p7_ids, p7_text, p8_mix, p8_shares, p9_found, p9_coverage)}
 
 SQL: dict[str, str] = {
     "p2_found": r"""
