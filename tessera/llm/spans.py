@@ -23,11 +23,26 @@ from tessera.session import staged
 LEAST = 200
 GRAM = 64  # a power of two
 SHARD = 4096  # passages of a shard
+BLOCK = 1 << 18  # characters that are hashed at a time
 
 
-def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(column: pa.Array, least: int):
+    """Texts by about BLOCK characters, as (row, begin in the text, part). A longer text comes in parts that overlap, so that every span of `least` is within one."""
+    rows, begins, parts, size = [], [], [], 0
+    for i, text in enumerate(column.to_pylist()):
+        for begin in range(0, max(1, len(text) - 2 * least), BLOCK):
+            part = text[begin : begin + BLOCK + 2 * least]
+            rows.append(i), begins.append(begin), parts.append(part)
+            size += len(part)
+            if size >= BLOCK:
+                yield np.array(rows), np.array(begins), parts
+                rows, begins, parts, size = [], [], [], 0
+    if parts:
+        yield np.array(rows), np.array(begins), parts
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts and where each text begins; the last number is their end."""
-    texts = column.to_pylist()
     sizes = np.array([len(t) for t in texts], np.int64)
     flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     return flat, np.concatenate([[0], np.cumsum(sizes)])
@@ -131,13 +146,13 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def pick(batches):
         for b in batches:
-            if len(b):
-                text, place, h = anchors(*_codes(b.column(1)), least, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(text)), pa.array(place.astype(np.int32))], names=["h", "doc", "place"])
+            for rows, begins, parts in _blocks(b.column(1), least):
+                text, place, h = anchors(*_codes(parts), least, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(rows[text])), pa.array((place + begins[text]).astype(np.int32))], names=["h", "doc", "place"])
 
     marks = staged(docs.mapInArrow(pick, f"h bigint, doc {id_type}, place int"), "anchors")
     common = marks.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h")
-    places = marks.join(common, "h").groupBy("doc").agg(F.collect_list(F.struct("place", "h")).alias("marks"))  # no more than its text has
+    places = marks.join(common, "h").groupBy("doc").agg(F.collect_set(F.struct("place", "h")).alias("marks"))  # no more than its text has
 
     def cut(batches):
         for b in batches:
