@@ -157,6 +157,14 @@ class Grammar:
                 self.memo[key] = known
         return known
 
+    def _elements(self, content: tuple[int, ...]) -> list[tuple[int, ...]]:
+        comma, out, start = self.kinds[","], [], 0
+        for i, k in enumerate(content):
+            if k & ~NEWLINE == comma:
+                out.append(content[start:i])
+                start = i + 1
+        return [*out, content[start:]] if start < len(content) else out
+
     def _recognise(self, start: int, kinds: tuple[int, ...]) -> bool:
         match, slots, entries = self.match, self.slots, self.entries
         bits = [match[k & ~NEWLINE] for k in kinds]
@@ -220,15 +228,23 @@ class Grammar:
                     break
         return n in root[1]
 
-    def group(self, bracket: str, content: tuple[int, ...], sequences: dict) -> int:
-        """The kind of a group with this content. `sequences`: rules that are repetitions, with what cuts contents into their parts."""
+    def group(self, bracket: str, content: tuple[int, ...], sequences: dict, lists: dict = {}) -> int:  # noqa: B006
+        """The kind of a group with this content.
+
+        `sequences`: rules that are repetitions, with what cuts contents into their parts. `lists`: rules that derive any elements between
+        commas, also one after the last, with the rule of the elements. Parts of long contents are recognised one by one first.
+        """
         key = (bracket, content)
         kind = self.masks.get(key)
         if kind is None:
             mask = own = 0
             for i, rule in enumerate(self.contents[bracket]):
-                cut = sequences.get(rule)
-                if (all(self.derives(rule, part) for part in cut(content)) if cut else False) or self.derives(rule, content):
+                cut, element = sequences.get(rule), lists.get(rule)
+                if cut:
+                    parts = all(self.derives(rule, part) for part in cut(content))
+                else:
+                    parts = element is not None and len(content) > 24 and all(self.derives(element, part) for part in self._elements(content))
+                if parts or self.derives(rule, content):
                     mask |= 1 << i
                     own |= self._bit["g", (bracket, rule)]
             kind = GROUP | mask << 2 | BRACKETS.index(bracket)

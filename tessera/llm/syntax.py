@@ -14,6 +14,36 @@ _CLOSE = {")": "(", "]": "[", "}": "{"}
 _ERROR = (1 << 28) - 1  # a kind that no terminal matches
 _PATH = re.compile(r"\s*[^\W\d]\w*(?:\.[^\W\d]\w*)*\s*\Z")
 
+_OPEN, _SHUT, _BAD, _BREAK = {"(": -1, "[": -2, "{": -3}, {")": -4, "]": -5, "}": -6}, -7, -8
+_KEPT = 200_000
+#: Rules of the grammars that are elements between commas.
+_PYTHON_LISTS = {"ListBody": "StarItem", "Index": "Slice", "PatGroup": "Pattern", "Args": "Named", "DictBody": "Item", "Paren": "StarItem"}
+_LISTS = {
+    "java": {"ArrayInit": "VarInit", "AnnArray": "AnnVal"},
+    "csharp": {"ArrayInit": "VarInit", "Init": "InitItem", "Elements": "Expr"},
+    "typescript": {"Elements": "Assign", "Tuple": "TupleItem", "ObjLit": "Prop"},
+}
+
+
+class _Kinds(dict):
+    """Kinds of tokens by their text, found out once each; below 0 are brackets, errors and line breaks."""
+
+    def __init__(self, grammar: Grammar, literal):
+        self.known = {w: c for w, c in grammar.kinds.items() if w not in ("NUM", "STR", "ID") and w != "~~"} | _OPEN | _SHUT
+        if "~~" in grammar.kinds:
+            self.known["~"] = grammar.kinds["~~"]
+        self.grammar, self.literal = grammar, literal
+
+    def __missing__(self, text: str) -> int:
+        kind = self.known.get(text)
+        if kind is None:
+            kind = self.literal(text, self.grammar)
+        if len(self) > _KEPT:
+            self.clear()
+        self[text] = kind
+        return kind
+
+
 # ---------------------------------------------------------------- Python
 
 _HEADS = [h for h in g.PYTHON_LINES if h not in ("Line", "Decorator", "MatchHead")]
@@ -22,14 +52,14 @@ _INT = r"(?:[1-9](?:_?\d)*|0(?:_?0)*)"
 _DIGITS = r"\d(?:_?\d)*"
 _FIELD = r"\{[^{}\n]*(?:\{[^{}\n]*\}[^{}\n]*)*\}"
 _PY = re.compile(
-    rf"""(?:[ \t\f]|\\\r?\n)*+(?:
-    ((?:[ \t\f]*(?:\#[^\n]*)?\r?\n)+[ \t\f]*)
-  | ((?:[rR]?[fFtT]|[fFtT][rR])(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"(?:[^"\\\n{{]|\\N\{{[^}}\n]*\}}|\\.|\{{\{{|{_FIELD})*"|'(?:[^'\\\n{{]|\\N\{{[^}}\n]*\}}|\\.|\{{\{{|{_FIELD})*')
-    |(?:[rR][bB]?|[bB][rR]?|[uU])?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))
-  | ([^\W\d]\w*)
-  | ((?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:{_DIGITS})?\.{_DIGITS}(?:[eE][-+]?{_DIGITS})?[jJ]?|{_DIGITS}\.(?:[eE][-+]?{_DIGITS})?[jJ]?|{_DIGITS}[eE][-+]?{_DIGITS}[jJ]?|{_DIGITS}[jJ]|{_INT})(?![\w"']))
-  | (\*\*=|//=|>>=|<<=|\.\.\.|->|:=|[-+*/%&|^@=<>!]=|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{{}},:;.=])
-  | (.)
+    rf"""(?:[ \t\f]|\\\r?\n|\#[^\n]*)*+(
+    \r?\n[ \t\f]*
+  | (?:[rR]?[fFtT]|[fFtT][rR])(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"(?:[^"\\\n{{]|\\N\{{[^}}\n]*\}}|\\.|\{{\{{|{_FIELD})*"|'(?:[^'\\\n{{]|\\N\{{[^}}\n]*\}}|\\.|\{{\{{|{_FIELD})*')
+  | (?:[rR][bB]?|[bB][rR]?|[uU])?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
+  | [^\W\d]\w*
+  | (?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:{_DIGITS})?\.{_DIGITS}(?:[eE][-+]?{_DIGITS})?[jJ]?|{_DIGITS}\.(?:[eE][-+]?{_DIGITS})?[jJ]?|{_DIGITS}[eE][-+]?{_DIGITS}[jJ]?|{_DIGITS}[jJ]|{_INT})(?![\w"'])
+  | \*\*=|//=|>>=|<<=|\.\.\.|->|:=|[-+*/%&|^@=<>!]=|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{{}},:;.=]
+  | .
     )""",
     re.X | re.S,
 )
@@ -78,9 +108,11 @@ def _statements(blocks: Grammar):
     return cut
 
 
+@functools.lru_cache(4096)
 def _column(blank: str) -> tuple[int, int]:
+    """Columns of an indentation after its line break, with tabs up to the next multiple of 8, and as 1."""
     col = alt = 0
-    for c in blank:
+    for c in blank.lstrip("\r\n"):
         if c == "\t":
             col, alt = (col // 8 + 1) * 8, alt + 1
         elif c == "\f":
@@ -142,39 +174,47 @@ def _fields_ok(body: str, depth: int = 0) -> bool:
     return True
 
 
+def _python_literal(text: str, grammar: Grammar) -> int:
+    c = text[0]
+    if text[-1] in "\"'" and len(text) > 1:
+        return grammar.kinds["STR"] if _string_ok(text) else _BAD
+    if c.isalpha() or c == "_":
+        return grammar.identifier
+    if c.isdigit() or c == "." and len(text) > 1:
+        return grammar.kinds["NUM"] if len(text) > 1 or text in "0123456789" and not text.isalpha() else _BAD
+    return _BREAK if "\n" in text else _BAD
+
+
+@functools.cache
+def _python_kinds() -> _Kinds:
+    return _Kinds(_python()[0], _python_literal)
+
+
 def _python_lines(src: str) -> list[tuple[str, tuple[int, ...]]] | None:
     """Logical lines with their indentation."""
     lines, _ = _python()
-    kinds, name, number, string = lines.kinds, lines.identifier, lines.kinds["NUM"], lines.kinds["STR"]
+    kinds = _python_kinds()
     out, cur, stack, blank = [], [], [], ""
-    for nl, text, word, num, op, bad in _PY.findall("\n" + src + "\n"):
-        if word:
-            cur.append(kinds.get(word, name) if word not in ("NUM", "STR", "ID") else name)
-        elif op:
-            if op in "([{":
-                stack.append((op, cur))
-                cur = []
-            elif op in ")]}":
-                if not stack or stack[-1][0] != _CLOSE[op]:
-                    return None
-                _, outer = stack.pop()
-                outer.append(lines.group(_CLOSE[op], tuple(cur), {}))
-                cur = outer
-            else:
-                cur.append(kinds.get(op if op != "~" else "~~", _ERROR))
-        elif nl:
+    for text in _PY.findall("\n" + src + "\n"):
+        kind = kinds[text]
+        if kind >= 0:
+            cur.append(kind)
+        elif kind >= -3:
+            stack.append((kind, cur))
+            cur = []
+        elif kind >= -6:
+            if not stack or stack[-1][0] != kind + 3:
+                return None
+            _, outer = stack.pop()
+            outer.append(lines.group(_CLOSE[text], tuple(cur), {}, _PYTHON_LISTS))
+            cur = outer
+        elif kind == _BREAK:
             if not stack:
                 if cur:
                     out.append((blank, tuple(cur)))
                     cur = []
-                blank = nl[nl.rfind("\n") + 1 :]
-        elif num:
-            cur.append(number)
-        elif text:
-            if not _string_ok(text):
-                return None
-            cur.append(string)
-        elif bad and not bad.isspace():
+                blank = text
+        else:
             return None
     return None if stack or cur else out
 
@@ -234,21 +274,21 @@ _SIMPLE = r'"(?:[^"\\\n]|\\.)*"'
 
 def _lexer(skip: str, word: str, string: str, ops: str) -> re.Pattern:
     operators = "|".join(re.escape(o) for o in sorted(ops.split(), key=len, reverse=True))
-    return re.compile(rf"((?:\s+|{_COMMENTS}{skip})*+)(?:({word})|({_NUMBER})|({string})|(/\*|{operators})|([\s\S])|\Z)")
+    return re.compile(rf"(?:{skip})*+({word}|{_NUMBER}|{string}|/\*|{operators}|[\s\S])")
 
 
 _OPS = "( ) [ ] { } ; , . @ = < > ! ~ ? : + - * / & | ^ % == <= >= != && || ++ -- += -= *= /= &= |= ^= %= <<= << -> :: ..."
 _LEX = {
-    "java": _lexer("", r"(?:[^\W\d]|\$)[\w$]*", rf'"""[\s\S]*?(?<!\\)"""|{_SIMPLE}|{_CHAR}', _OPS),
+    "java": _lexer(rf"\s+|{_COMMENTS}", r"(?:[^\W\d]|\$)[\w$]*", rf'"""[\s\S]*?(?<!\\)"""|{_SIMPLE}|{_CHAR}', _OPS),
     "csharp": _lexer(
-        r"|\#(?:if|else|elif|endif|region|endregion|pragma|nullable|define|undef|line|warning|error)\b[^\n]*",
+        rf"\s+|{_COMMENTS}|" + r"\#(?:if|else|elif|endif|region|endregion|pragma|nullable|define|undef|line|warning|error)\b[^\n]*",
         r"@?[^\W\d]\w*",
         rf'\$*"""[\s\S]*?"""|(?:@\$|\$@)"(?:[^"]|"")*"|@"(?:[^"]|"")*"|\$"(?:[^"\\\n{{]|\\.|\{{\{{|\{{[^{{}}\n]*\}})*"|{_SIMPLE}(?:u8)?|{_CHAR}',
         _OPS + " => .. ?? ??=",
     ),
-    "typescript": _lexer(
-        "",
-        r"(?:[^\W\d]|\$)[\w$]*",
+    "typescript": _lexer(  # line breaks, and remarks that hold one, are tokens
+        r"[^\S\n]+|//[^\n]*|/\*[^*\n]*+(?:\*(?!/)[^*\n]*+)*+\*/",
+        r"\n\s*|/\*[\s\S]*?\*/|(?:[^\W\d]|\$)[\w$]*",
         rf"{_SIMPLE}|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{(?:[^{{}}`]|\{{[^{{}}`]*\}}|`[^`]*`)*\}})*`|(?:(?<=[=(,:\[!&|?;{{}}\n])|(?<=[=(,:\[!&|?;{{}}\n] )|(?<=return ))/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*",
         _OPS.replace(" ->", "").replace(" ::", "") + " => ?? ??= ?. === !== ** **= ||= &&= #",
     ),
@@ -285,38 +325,50 @@ def _braces(language: str) -> tuple[Grammar, dict]:
     return grammar, {name: cut for name in _SEQUENCES[language]}
 
 
+def _braces_literal(language: str):
+    def literal(text: str, grammar: Grammar) -> int:
+        c = text[0]
+        if c == "\n" or text.startswith("/*") and len(text) > 3:
+            return _BREAK
+        if (text[-1] in "\"'`" or c in "\"'`/" or c in "$@" and '"' in text) and len(text) > 1:
+            return grammar.kinds["STR"] if c not in "`$@" or _holes_ok(language, text) else _BAD
+        if c.isalpha() or c in "_$@" and len(text) > 1 or c == "_" or c == "$":
+            return grammar.identifier
+        if c.isdigit() or c == "." and len(text) > 1:
+            return grammar.kinds["NUM"]
+        return _BAD
+
+    return literal
+
+
+@functools.cache
+def _braces_kinds(language: str) -> _Kinds:
+    return _Kinds(_braces(language)[0], _braces_literal(language))
+
+
 def _folded(language: str, src: str) -> list[int] | None:
     grammar, sequences = _braces(language)
-    kinds, name, number, string = grammar.kinds, grammar.identifier, grammar.kinds["NUM"], grammar.kinds["STR"]
-    lines = language == "typescript"
+    kinds = _braces_kinds(language)
     cur, stack, newline = [], [], 0
-    for skip, word, num, text, op, bad in _LEX[language].findall(src):
-        if lines:
-            newline = NEWLINE if "\n" in skip else 0
-        if word:
-            cur.append((kinds.get(word, name) if word not in ("NUM", "STR", "ID") else name) | newline)
-        elif op:
-            if op in "([{":
-                stack.append((op, cur, newline))
-                cur = []
-            elif op in ")]}":
-                if not stack or stack[-1][0] != _CLOSE[op]:
-                    return None
-                bracket, outer, flag = stack.pop()
-                outer.append(grammar.group(bracket, tuple(cur), sequences) | flag)
-                cur = outer
-            elif op == "/*":
+    for text in _LEX[language].findall(src):
+        kind = kinds[text]
+        if kind >= 0:
+            cur.append(kind | newline)
+        elif kind >= -3:
+            stack.append((kind, cur, newline))
+            cur = []
+        elif kind >= -6:
+            if not stack or stack[-1][0] != kind + 3:
                 return None
-            else:
-                cur.append(kinds.get(op if op != "~" else "~~", _ERROR) | newline)
-        elif num:
-            cur.append(number | newline)
-        elif text:
-            if text[0] in "`$@" and not _holes_ok(language, text):
-                return None
-            cur.append(string | newline)
-        elif bad:
+            _, outer, flag = stack.pop()
+            outer.append(grammar.group(_CLOSE[text], tuple(cur), sequences, _LISTS[language]) | flag)
+            cur = outer
+        elif kind == _BREAK:
+            newline = NEWLINE
+            continue
+        else:
             return None
+        newline = 0
     return None if stack else cur
 
 
