@@ -105,16 +105,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 SQL: dict[str, str] = {
     "p2_found": r"""
         SELECT 'doc_chunks' AS tab, doc_chunk_id AS rec_id,
-               CASE WHEN list_max(list_transform(string_split_regex(content, '[ \t\r\n]'), x -> length(x))) > 1000 THEN 'forced' ELSE 'natural' END AS cut
+               CASE WHEN list_max(list_transform(string_split_regex(content, '[ \t\r\n]'), lambda x: length(x))) > 1000 THEN 'forced' ELSE 'natural' END AS cut
         FROM doc_chunks WHERE length(content) > 1000
         UNION ALL
         SELECT 'code_chunks', chunk_id,
-               CASE WHEN list_max(list_transform(string_split(content, chr(10)), x -> length(regexp_replace(x, '[ \t\r]', '', 'g')))) > 1200 THEN 'forced' ELSE 'natural' END
+               CASE WHEN list_max(list_transform(string_split(content, chr(10)), lambda x: length(regexp_replace(x, '[ \t\r]', '', 'g')))) > 1200 THEN 'forced' ELSE 'natural' END
         FROM code_chunks WHERE length(regexp_replace(content, '[ \t\r\n]', '', 'g')) > 1200""",
     "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
 SQL["p1_found"] = r"""
-    WITH w AS (SELECT pattern_id AS id, list_distinct(list_transform(regexp_extract_all(concat_ws(chr(10), before_code, after_code, migration_type), '[A-Za-z0-9_]+'), x -> lower(x))) AS words FROM migration_patterns),
+    WITH w AS (SELECT pattern_id AS id, list_distinct(list_transform(regexp_extract_all(concat_ws(chr(10), before_code, after_code, migration_type), '[A-Za-z0-9_]+'), lambda x: lower(x))) AS words FROM migration_patterns),
          t AS (SELECT id, len(words) AS n, unnest(words) AS word FROM w),
          c AS (SELECT a.id AS pattern_a, b.id AS pattern_b, a.n + b.n AS both_n, count(*) AS common FROM t a JOIN t b ON a.word = b.word AND a.id < b.id GROUP BY ALL)
     SELECT pattern_a, pattern_b FROM c WHERE common >= 0.8 * (both_n - common)"""
