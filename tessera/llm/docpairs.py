@@ -28,7 +28,9 @@ def _parens(string: str, comment: str, quotes: str) -> str:
 
 _PY_PARENS = _parens(f"{_TRIPLE}|{_STRING}", r"#[^\n]*+", "\"'")
 _PY_HEAD = rf"(?:async[ \t]+)?def[ \t]+([^\W\d]\w*)[ \t]*(?:\[[^\]\n]*\][ \t]*)?{_PY_PARENS}[ \t]*(?:->[^:\n]*(?:\[[^\]]*\])?[^:\n]*)?:"
-_DOCABLE = rf"[rRuU]?(?:{_TRIPLE}|{_STRING})(?=[ \t]*+(?:#[^\n]*+)?(?:[\r\n;]|\z))"
+_QUOTED = f"{_TRIPLE}|{_STRING}"
+#: A string that is a statement, with what ends it: it may document. Contents get a line break at their end.
+_DOCABLE = rf"[rRuU]?(?:{_QUOTED})[ \t]*+(?:#[^\n]*+)?(?:\r?\n|;)"
 _PYTHON = rf"{_PY_HEAD}|{_DOCABLE}|[rRbBuUfFtT]{{0,2}}(?:{_TRIPLE}|{_STRING})|#[^\n]*+|\s++|;|[^\s\"'#;][^\"'#\n;]*+|[\s\S]"
 
 _COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
@@ -92,7 +94,8 @@ def _language(chunks: DataFrame) -> Column:
 def description(doc: Column) -> Column:
     """What a documentation comment or string says before its first tag or section, on one line; missing if that says nothing: fewer than four
     words, or a note that it is still to be written."""
-    text = F.regexp_replace(doc, r"^[rRuU]?(?:\"\"\"|'''|\"|')|(?:\"\"\"|'''|\"|')\z", "")
+    bare = F.coalesce(F.nullif(F.regexp_extract(doc, rf"\A[rRuU]?({_QUOTED})[ \t]*+(?:#[^\n]*+)?[\r\n;]*\z", 1), F.lit("")), doc)
+    text = F.regexp_replace(bare, r"^(?:\"\"\"|'''|\"|')|(?:\"\"\"|'''|\"|')\z", "")
     text = F.regexp_replace(text, r"\A/\*\*+|\*+/\z", "")
     text = F.regexp_replace(text, r"(?m)^[ \t]*(?:///|\*+(?!/))[ \t]?", "")
     text = F.regexp_replace(text, r"(?i)</?summary\s*/?>", " ")
@@ -107,46 +110,55 @@ def _squeezed(text: Column) -> Column:
 
 
 def tokens(chunks: DataFrame, whole: bool = False) -> DataFrame:
-    """Rows (rid, pos, kind, name, text, size, ...) of the tokens of each chunk.
+    """Rows (rid, pos, kind, text, ...) of the tokens of each chunk, with the text of those that name or document.
 
     Kinds: H head, D documentation comment, S string that may document, A annotation, O and X braces, E semicolon, C remark, W blanks,
     T anything else. Unless `whole`, blanks, annotations and in Python remarks are left out, and so are chunks without any documentation; only heads carry
     what belongs to the chunk.
     """
     own = chunks.select("chunk_id", "file_path", "language", "node_type", "content", "docstring", F.monotonically_increasing_id().alias("rid")).withColumn("lang", _language(chunks))
-    spare = F.when((F.col("node_type") == "function") & F.col("docstring").isNotNull() & ~F.contains(_squeezed(F.col("content")), F.trim(_squeezed(F.col("docstring")))), F.col("docstring"))
+    elsewhere = ~F.contains(F.col("content"), F.trim("docstring")) & ~F.contains(_squeezed(F.col("content")), F.trim(_squeezed(F.col("docstring"))))
+    spare = F.when((F.col("node_type") == "function") & F.col("docstring").isNotNull() & elsewhere, F.col("docstring"))
     own = own.filter("content is not null and lang is not null").withColumn("spare", spare)
     if not whole:
-        py = F.col("content").contains("def ") & (F.col("spare").isNotNull() | F.col("content").rlike(r":[ \t]*(?:#[^\n]*)?\s*[rRuU]?[\"']"))
+        py = F.col("content").contains("def ")
         own = own.filter(F.when(F.col("lang") == "python", py).otherwise(F.col("content").contains("/**") | F.col("content").contains("///") | F.col("spare").isNotNull()))
-    cut = F.coalesce(*[F.when(F.col("lang") == name, F.regexp_extract_all("content", F.lit(p), F.lit(0))) for name, p in _TOKENS.items()])
+    cut = F.coalesce(*[F.when(F.col("lang") == name, F.regexp_extract_all(F.concat("content", F.lit("\n")), F.lit(p), F.lit(0))) for name, p in _TOKENS.items()])
     rows = own.select("rid", "lang", "chunk_id", "file_path", "spare", F.posexplode(cut).alias("pos", "tok"))
-    tok, py = F.col("tok"), F.col("lang") == "python"
-    start = F.substring("tok", 1, 1)
-    names = []
-    for name, (p, groups) in _HEADS.items():
-        found = F.coalesce(*[F.nullif(F.regexp_extract("tok", rf"\A(?:{p})\z", g), F.lit("")) for g in range(1, groups + 1)])
-        may = tok.endswith(":") & tok.contains("def") if name == "python" else (tok.endswith("{") & (F.length("tok") > 1)) | tok.endswith("=>")
-        names.append(F.when((F.col("lang") == name) & may & tok.contains("("), found) if name != "typescript" else F.when((F.col("lang") == name) & may, found))
-    rows = rows.withColumn("name", F.coalesce(*names))
-    quoted = tok.rlike(r"\A[rRuU]?[\"']")
+    tok, py, one = F.col("tok"), F.col("lang") == "python", F.length("tok") == 1
+    start, end = F.substring("tok", 1, 1), F.right("tok", F.lit(1))
+    if not whole:
+        c, braces = F.ascii("tok"), F.col("lang").isin("java", "typescript")
+        left_out = c.isin(9, 10, 12, 13, 32) | (py & (c == 35)) | (braces & (c == 64)) | ((F.col("lang") == "csharp") & (c == 91) & tok.endswith("]"))
+        rows = rows.filter(~left_out)
+    # First and last characters tell the kinds apart; a head's pattern is the only one that goes on to a brace.
     kind = (
-        F.when(F.col("name").isNotNull(), "H")
-        .when(F.trim(F.translate("tok", "\t\r\n\f", "    ")) == "", "W")
-        .when(py, F.when(start == "#", "C").when(tok == ";", "E").when(quoted & tok.rlike(r"[\"']\z"), "S").otherwise("T"))
-        .when(tok.rlike(r"\A/\*\*(?!/)") | tok.startswith("///") & ~tok.startswith("////"), "D")
-        .when(tok.startswith("//") | tok.startswith("/*"), "C")
-        .when(tok == "{", "O")
-        .when(tok == "}", "X")
-        .when(tok == ";", "E")
-        .when(((start == "@") & ~tok.rlike(r"\A@[$\"]")) | ((F.col("lang") == "csharp") & tok.rlike(r"\A\[\s*(?:\w+:\s*)?[A-Z][\s\S]*\]\z")), "A")
+        F.when(start.isin(" ", "\t", "\n", "\r", "\f"), "W")
+        .when(
+            py,
+            F.when(start == "#", "C")
+            .when(start == ";", "E")
+            .when((end == ":") & start.isin("d", "a") & tok.rlike(r"\A(?:async[ \t]+)?def[ \t]"), "H")
+            .when(end.isin("\n", ";") & ~one, "S")
+            .otherwise("T"),
+        )
+        .when(start == "/", F.when(tok.startswith("/**") & (tok != "/**/") | tok.startswith("///") & ~tok.startswith("////"), "D").when(one, "T").otherwise("C"))
+        .when(start == "{", "O")
+        .when(start == "}", "X")
+        .when(start == ";", "E")
+        .when((end == "{") | tok.endswith("=>"), "H")
+        .when((start == "@") & ~tok.startswith('@"') & ~tok.startswith("@$") | (start == "[") & (end == "]") & (F.col("lang") == "csharp"), "A")
         .otherwise("T")
     )
     rows = rows.withColumn("kind", kind)
-    if not whole:
-        rows = rows.filter(~F.col("kind").isin("W", "A") & ~(py & (F.col("kind") == "C")))
     head = F.col("kind") == "H"
-    return rows.select("rid", "pos", "kind", "name", F.when(F.col("kind").isin("D", "S"), tok).alias("text"), *[F.when(head, F.col(c)).alias(c) for c in ("lang", "chunk_id", "file_path", "spare")], *([F.length("tok").alias("size"), "tok", F.col("lang").alias("l")] if whole else []))
+    return rows.select("rid", "pos", "kind", F.when(F.col("kind").isin("D", "S", "H"), tok).alias("text"), *[F.when(head, F.col(c)).alias(c) for c in ("lang", "chunk_id", "file_path", "spare")], *([F.length("tok").alias("size"), "tok", F.col("lang").alias("l")] if whole else []))
+
+
+def name_of(head: Column, lang: Column) -> Column:
+    """The name in a head; missing if the token is none."""
+    groups = {name: [F.nullif(F.regexp_extract(head, rf"\A(?:{p})\z", g), F.lit("")) for g in range(1, n + 1)] for name, (p, n) in _HEADS.items()}
+    return F.coalesce(*[F.when(lang == name, F.coalesce(*found)) for name, found in groups.items()])
 
 
 def documented(rows: DataFrame) -> DataFrame:
@@ -169,8 +181,8 @@ def functions(chunks: DataFrame) -> DataFrame:
     Chunks without content or of a language without lexer have none; repeated rows count by themselves. Functions within strings and
     remarks are none. A function without a body is none.
     """
-    own = documented(tokens(chunks)).withColumn("description", description(F.col("doc")))
-    return own.filter("description is not null").select("rid", "pos", "chunk_id", "file_path", F.col("name").alias("func_name"), "description")
+    own = documented(tokens(chunks)).filter("doc is not null").select("rid", "pos", "chunk_id", "file_path", name_of(F.col("text"), F.col("lang")).alias("func_name"), description(F.col("doc")).alias("description"))
+    return own.filter("func_name is not null and description is not null")
 
 
 def valid_only(rows: DataFrame, checked: DataFrame) -> DataFrame:
@@ -203,7 +215,7 @@ def pairs(chunks: DataFrame, checked: DataFrame) -> DataFrame:
     marked = py.withColumn("indent", F.coalesce(F.lag(breaks).over(w), F.when(F.col("pos") == 0, F.lit(0)))).withColumn("from", F.col("end") - F.col("size"))
     heads = marked.filter("kind = 'H'").select("rid", "pos", F.col("from").alias("start"), F.coalesce("indent", F.lit(0)).alias("own"))
     lines = marked.filter("indent is not null and kind not in ('C', 'W')").select("rid", F.col("from").alias("at"), "indent")
-    ends = heads.join(lines, "rid").filter("at > start and indent <= own and not false").groupBy("rid", "pos").agg(F.min("at").alias("stop"))
+    ends = heads.join(lines, "rid").filter("at > start and indent <= own").groupBy("rid", "pos").agg(F.min("at").alias("stop"))
     blocks = heads.join(ends, ["rid", "pos"], "left").select("rid", "pos", "start", "stop")
     named = valid_only(functions(chunks), checked)
     text = chunks.select(F.monotonically_increasing_id().alias("rid"), "content")
