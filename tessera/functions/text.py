@@ -24,7 +24,7 @@ def uuid5(key: Column, namespace: str = URL_NAMESPACE) -> Column:
     """The name-based UUID of `key`, as Python's uuid5; missing for a missing key."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(key, "utf-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F).bitwiseOR(0x80)))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
+    return F.when(key.isNotNull(), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12)))
 
 
 def chunk_key(path: Column, start: Column, end: Column) -> Column:
