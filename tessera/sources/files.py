@@ -55,7 +55,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def as_text(content: Column) -> Column:
     """Bytes as UTF-8 with bad ones replaced; missing for blank files."""
-    text = F.decode(content, "utf-8")
+    text = F.make_valid_utf8(content.cast("string"))
     return F.when(F.length(F.regexp_replace(text, r"\s", "")) > 0, text)
 
 

@@ -106,6 +106,12 @@ def windowed(events: DataFrame, ts: str, value: str, width: str = "1 hour", late
 
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """All that a stream has now, through to a table in memory; for tests and replays."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    spark, idle = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    spark.conf.set(idle, "false")  # states that can time out ask for batches without end
+    try:
+        query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(idle, before)
     return stream.sparkSession.table(name)
