@@ -211,8 +211,10 @@ def pairs(chunks: DataFrame, checked: DataFrame) -> DataFrame:
     bodies = rows.withColumn("stop", stop).filter("kind = 'H' and l <> 'python'").select("rid", "pos", (F.col("end") - F.col("size")).alias("start"), "stop")
     # Python: the first line after the head that is indented no deeper, where lines begin after blanks that hold a line break.
     py = rows.filter("l = 'python'")
-    breaks = F.when(F.col("kind") == "W", F.when(F.col("tok").contains("\n"), F.length(F.substring_index("tok", "\n", -1))).when(F.col("pos") == 0, F.col("size")))
-    marked = py.withColumn("indent", F.coalesce(F.lag(breaks).over(w), F.when(F.col("pos") == 0, F.lit(0)))).withColumn("from", F.col("end") - F.col("size"))
+    p1, p2 = F.lag("tok", 1).over(w), F.lag("tok", 2).over(w)  # a string that documents ends with its line break
+    blank = F.trim(F.translate(p1, "\t\r\n\f", "    ")) == ""
+    after_break = F.when(blank, F.when(p1.contains("\n"), F.length(F.substring_index(p1, "\n", -1))).when(p2.isNull() | p2.endswith("\n"), F.length(p1))).when(p1.isNull() | p1.endswith("\n"), 0)
+    marked = py.withColumn("indent", after_break).withColumn("from", F.col("end") - F.col("size"))
     heads = marked.filter("kind = 'H'").select("rid", "pos", F.col("from").alias("start"), F.coalesce("indent", F.lit(0)).alias("own"))
     lines = marked.filter("indent is not null and kind not in ('C', 'W')").select("rid", F.col("from").alias("at"), "indent")
     ends = heads.join(lines, "rid").filter("at > start and indent <= own").groupBy("rid", "pos").agg(F.min("at").alias("stop"))

@@ -44,8 +44,11 @@ CompFor = ('async'? 'for' Targets 'in' Or ('if' Cond)*)+ ;
 Cond = Or | ID ':=' Expr ;
 DictBody = (Item (',' Item)* ','? | Star | Comp | Expr ':' Expr CompFor)? ;
 Item = Expr ':' Expr | '**' Bit ;
-Args = (Arg (',' Arg)* ','? | Comp)? ;
-Arg = Named | ID '=' Expr | '*' Expr | '**' Expr ;
+Args = (PosArgs (',' KeyArgs)? ','? | KeyArgs ','? | Comp)? ;
+PosArgs = PosArg (',' PosArg)* ;
+PosArg = Named | '*' Expr ;
+KeyArgs = KeyArg (',' KeyArg)* ;
+KeyArg = ID '=' Expr | '*' Expr | '**' Expr ;
 Index = Slice (',' Slice)* ','? ;
 Slice = Named | '*' Bit | Expr? ':' Expr? (':' Expr?)? ;
 LParams = (LParam (',' LParam)* ','?)? ;
@@ -346,7 +349,7 @@ UType = ('|' | '&')? PType (('|' | '&') PType)* ;
 PType = ('keyof' | 'readonly' | 'unique' | 'infer')* TAtom (@[Empty] | @[IndexType])* ;
 Empty = ;
 IndexType = Type ;
-TAtom = Dotted TArgs? | LIT | '-' NUM | @(TypeGroup) | @[Tuple] | @{TypeBody} | 'this' | 'void' | 'typeof' Dotted TArgs? | 'import' @(Args) ('.' ID)* TArgs? | (ID | 'this') 'is' Type | 'asserts' (ID | 'this') ('is' Type)? | 'infer' ID ('extends' Type)? ;
+TAtom = Dotted TArgs? | LIT | '-' NUM | @(TypeGroup) | @[Tuple] | @{TypeBody} | 'this' | 'void' | 'typeof' Dotted TArgs? | 'typeof'? 'import' @(Args) ('.' ID)* TArgs? | (ID | 'this') 'is' Type | 'asserts' (ID | 'this') ('is' Type)? | 'infer' ID ('extends' Type)? ;
 TypeGroup = Type ;
 Tuple = (TupleItem (',' TupleItem)*)? ','? ;
 TupleItem = '...'? (ID '?'? ':')? Type '?'? ;

@@ -50,7 +50,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     level = (F.lit(float(total_tokens)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     t = t.withColumn("level", level)
     t = t.withColumn("final", F.min(F.when(F.col("level") < F.col("cap") / F.col("weight"), F.col("level"))).over(every))
-    return t.withColumn("budget", F.least("cap", F.coalesce(F.greatest(F.col("final"), F.lit(0.0)) * F.col("weight"), F.col("cap")))).drop("cap", "level", "final")
+    return t.withColumn("budget", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.greatest(F.col("final"), F.lit(0.0)) * F.col("weight")))).drop("cap", "level", "final")
 
 
 def running(sizes: DataFrame, seed: int = 7) -> DataFrame:
