@@ -60,21 +60,13 @@ def _closeness(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """For pivot orders of queries and postings, the sum over pivots of min(l - place in q, l - place in x): the footrule distance with
     absent pivots at place l is l(l+1) minus twice that."""
     length = q.shape[1]
-    out = np.zeros((len(q), len(x)), np.int16)
-    weight = np.arange(length, 0, -1, dtype=np.int16)
-
-    def files(p: np.ndarray):
-        flat = p.ravel()
-        by = np.argsort(flat, kind="stable")
-        names, starts = np.unique(flat[by], return_index=True)
-        return dict(zip(names.tolist(), np.split(by, starts[1:])))
-
-    posted = files(x)
-    for name, at in files(q).items():
-        other = posted.get(name)
-        if other is not None:
-            rows, cols = at // length, other // length
-            out[rows[:, None], cols[None, :]] += np.minimum(weight[at % length][:, None], weight[other % length][None, :])
+    names, local = np.unique(np.concatenate([x.ravel(), q.ravel()]), return_inverse=True)
+    weight = np.arange(length, 0, -1, dtype=np.int8)
+    posted = np.zeros((len(names), len(x)), np.int8)  # an inverted file a row, dense within the block
+    posted[local[: x.size].reshape(x.shape), np.arange(len(x))[:, None]] = weight
+    out = np.empty((len(q), len(x)), np.int16)
+    for i, files in enumerate(local[x.size :].reshape(q.shape)):
+        np.minimum(posted[files], weight[:, None]).sum(0, dtype=np.int16, out=out[i])
     return out
 
 
