@@ -578,6 +578,14 @@ def markdown_chunks(s: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", "chunk_index", tx.title(F.col("content")).alias("title"), "content")
 
 
+@query()
+def ingested_docs(s: SparkSession, d: str) -> DataFrame:
+    """Documents as points with keys, titles and vectors; the splitter has no SQL."""
+    from tessera.plans import ingest
+
+    return ingest.doc_points(table(s, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content")))
+
+
 @query()
 def diff_summaries(s: SparkSession, d: str) -> DataFrame:
     own = table(s, d, "migration_patterns")
