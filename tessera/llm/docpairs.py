@@ -202,11 +202,12 @@ def pairs(chunks: DataFrame, checked: DataFrame) -> DataFrame:
     depth = F.sum(F.when(opens, 1).when(F.col("kind") == "X", -1).otherwise(0)).over(w)
     rows = rows.withColumn("end", F.sum("size").over(w)).withColumn("depth", depth)
     rows = rows.withColumn("level", F.when(opens, F.col("depth") - 1).otherwise(F.col("depth")))
-    solid = Window.partitionBy("rid").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    island = Window.partitionBy("rid", "level").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    after = F.first(F.when(~F.col("kind").isin("W", "C"), F.col("kind")), ignorenulls=True).over(solid)
-    closing = F.first(F.when(F.col("kind") == "X", F.col("end")), ignorenulls=True).over(island)
-    ending = F.first(F.when(F.col("kind") == "E", F.col("end")), ignorenulls=True).over(island)
+    # Windows from the end backward: the last value so far is the nearest that follows, in one pass.
+    solid = Window.partitionBy("rid").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    island = Window.partitionBy("rid", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(~F.col("kind").isin("W", "C"), F.col("kind")), ignorenulls=True).over(solid)
+    closing = F.last(F.when(F.col("kind") == "X", F.col("end")), ignorenulls=True).over(island)
+    ending = F.last(F.when(F.col("kind") == "E", F.col("end")), ignorenulls=True).over(island)
     stop = F.when(F.col("tok").endswith("{") | (after == "O"), closing).otherwise(ending)
     bodies = rows.withColumn("stop", stop).filter("kind = 'H' and l <> 'python'").select("rid", "pos", (F.col("end") - F.col("size")).alias("start"), "stop")
     # Python: the first line after the head that is indented no deeper, where lines begin after blanks that hold a line break.
