@@ -40,7 +40,7 @@ def walk(spark: SparkSession, root: str, endings: tuple[str, ...] = WALKED) -> D
     """Rows (path, length, content) of the source files under a folder, path relative to it: no pruned or hidden folders, nothing that the
     `.gitignore` at the root names. The content is binary; files are read by the executors. A folder without any gives none."""
     base = root.rstrip("/")
-    rules = [r["value"] for r in spark.read.text(f"{base}/.gitignore").collect()] if _exists(spark, f"{base}/.gitignore") else []
+    rules = _lines(spark, f"{base}/.gitignore")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(endings) + "}").load(base)
     own = found.withColumn("path", F.regexp_replace("path", "^[a-z]+:/*" + re.escape("/" + base.split("://")[-1].lstrip("/")) + "/|^[a-z]+:" + re.escape(base) + "/", ""))
     folder = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
@@ -53,6 +53,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _lines(spark: SparkSession, path: str) -> list[str]:
+    """Lines of one small file, none if it is absent; Spark's readers pass over hidden files."""
+    if not _exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
+
+
 def as_text(content: Column) -> Column:
     """Bytes as UTF-8 with bad ones replaced; missing for blank files."""
     text = F.make_valid_utf8(content.cast("string"))
