@@ -4,6 +4,9 @@ Pivots are drawn from the vectors; a vector is represented by its nearest pivots
 first of them and, as a query, visits the files of its very first ones. There the rows are ranked by the footrule distance of their
 pivot orders, and the nearest by that measure, with all ties, are reranked by cosine. Files that grow large are cut into blocks, and
 blocks of queries meet blocks of postings. Equal vectors are one entry that carries its smallest ids.
+
+A direction that many different vectors have (scaled copies) is crowded: its smallest entries stand for it in the index, all its vectors get
+its smallest ids, and a query from outside that it is near to meets all of them.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ RERANKED = 0.7  # share of a file that is reranked for a query, the nearest by f
 LEAST = 64  # and at least so many
 BLOCK = 4096  # rows of a block of a file
 DECIMALS = 9
+CROWD = 64  # different vectors of one direction from which on it is crowded; more than k
+GRID = 2.0**-16  # diameter of the cells of directions: vectors of one cell have a cosine of 1 to nine decimals
+REACH = 2e-5  # by which the cosines of a crowded direction may differ, seen from elsewhere
+SLACK = 1e-5  # twice the error of a cosine in float32
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -42,6 +49,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return y / np.linalg.norm(y, axis=1, keepdims=True)
 
 
+def _direction(x: np.ndarray) -> np.ndarray:
+    """Hashes of directions: rows of one cell of a grid of unit vectors have the same."""
+    factors = np.random.default_rng(7).integers(1, 2**63, x.shape[1], dtype=np.uint64) | np.uint64(1)
+    return (np.rint(_unit(x) * (math.sqrt(x.shape[1]) / GRID)).astype(np.int64).view(np.uint64) * factors).sum(1, dtype=np.uint64).view(np.int64)
+
+
 def pivot_count(n: int) -> int:
     """Twice the root of the number of vectors: files and the search for pivots then grow alike."""
     return int(min(MAX_PIVOTS, n, max(32, math.ceil(2 * math.sqrt(n)))))
@@ -80,14 +93,16 @@ def _nearest(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarray, c
     else:
         cos = q.astype(np.float32) @ x.astype(np.float32).T
     cos[q_id[:, None] == x_id[None, :]] = -3
-    more = min(n, k + 8)
-    top = np.argpartition(-cos, more - 1, axis=1)[:, :more] if more < n else np.tile(np.arange(n), (len(q), 1))
-    good = np.take_along_axis(cos, top, 1) > -2
-    exact = np.round(np.einsum("ij,ikj->ik", q, x[top]), DECIMALS)
-    order = np.lexsort((x_id[top], -np.where(good, exact, -3)), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(q)), order.shape[1])
-    cols, ok = np.take_along_axis(top, order, 1).ravel(), np.take_along_axis(good, order, 1).ravel()
-    return rows[ok], cols[ok], np.take_along_axis(exact, order, 1).ravel()[ok]
+    kth = np.partition(cos, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), np.float32(-2))
+    rows, cols = np.nonzero(cos >= np.maximum(kth - np.float32(SLACK), np.float32(-2))[:, None])  # with all that may be tied
+    exact = np.empty(len(rows))
+    for at in range(0, len(rows), 65536):
+        part = slice(at, at + 65536)
+        exact[part] = np.round(np.einsum("ij,ij->i", q[rows[part]], x[cols[part]]), DECIMALS)
+    order = np.lexsort((x_id[cols], -exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    ok = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[ok], cols[ok], exact[ok]
 
 
 def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, posted: int = POSTED, visited: int = VISITED, reranked: float = RERANKED) -> DataFrame:
@@ -99,11 +114,25 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
     """
     spark = df.sparkSession
     rows = usable(df, id_col, vec_col, dim).withColumn("k1", F.xxhash64("vec")).withColumn("k2", F.xxhash64(F.lit(1), "vec"))
-    rows = staged(rows.withColumn("id", F.col("id").cast("bigint")), "vectors")
+    rows = rows.withColumn("id", F.col("id").cast("bigint"))
+
+    def directed(batches):
+        for b in batches:
+            own = _direction(_matrix(b.column(1), dim)) if len(b) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=["id", "vec", "k1", "k2", "d"])
+
+    rows = staged(rows.mapInArrow(directed, "id bigint, vec array<float>, k1 bigint, k2 bigint, d bigint"), "vectors")
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))).filter(F.col("n") <= k + 1)  # pruned before the shuffle
     own = first.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("id")).alias("members"), F.min("id").alias("cid"))  # k + 1 ids at most
-    heads = own.join(first.filter("n = 1").select("k1", "k2", "vec"), ["k1", "k2"])
-    heads = staged(heads, "vector-heads")
+    heads = own.join(first.filter("n = 1").select("k1", "k2", "vec", "d"), ["k1", "k2"])
+    heads = everyone = staged(heads, "vector-heads")
+    crowds = staged(heads.groupBy("d").agg(F.count("*").alias("size")).filter(F.col("size") > max(CROWD, k)), "crowded-directions")
+    crowded = crowds.count() > 0
+    if crowded:
+        inside = heads.join(crowds.select("d"), "d").select("d", "cid", "members")
+        inside = inside.withColumn("n", F.row_number().over(Window.partitionBy("d").orderBy("cid"))).filter(F.col("n") <= k + 1)  # pruned before the shuffle
+        fronts = staged(inside, "crowd-fronts")
+        heads = staged(heads.join(crowds.select("d"), "d", "left_anti").unionByName(heads.join(fronts.select("cid"), "cid", "left_semi")), "vector-entries")
     n = heads.count()
     empty = spark.createDataFrame([], "id bigint, neighbour bigint, cosine double, place int")
     if not n:
@@ -171,12 +200,51 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
 
     met = index.mapInArrow(routed, "file int, qb int, xb int, role tinyint, cid bigint, vec array<float>, pivots array<smallint>")
     hits = met.groupBy("file", "qb", "xb").applyInArrow(search, "cid bigint, other bigint, cosine double").dropDuplicates(["cid", "other"])
-    best = hits.withColumn("n", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("cosine"), "other"))).filter(F.col("n") <= k)
+    if crowded:
+        hits = staged(hits, "vector-hits")
+    first_k = Window.partitionBy("cid").orderBy(F.desc("cosine"), "other")
+    best = hits.withColumn("n", F.row_number().over(first_k)).filter(F.col("n") <= k)
+    if crowded:
+        # Queries from outside a crowd that one of its fronts comes near: they meet all of it, in blocks.
+        limit = best.filter(F.col("n") == k).select("cid", F.col("cosine").alias("kth"))
+        met = hits.join(fronts.select(F.col("cid").alias("other"), "d"), "other").join(limit, "cid", "left").filter(F.col("cosine") >= F.coalesce("kth", F.lit(-2.0)) - REACH)
+        asking = met.select("cid", "d").distinct().join(fronts.select("cid", "d"), ["cid", "d"], "left_anti").join(heads.select("cid", "vec"), "cid").join(crowds, "d")
+        count = F.ceil(F.col("size") / BLOCK).cast("int")
+        asking = asking.select("d", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), F.lit(1).alias("role"), "cid", "vec")
+        asked = everyone.join(crowds, "d").join(asking.select("d").distinct(), "d", "left_semi")
+        asked = asked.select("d", F.pmod(F.xxhash64("cid"), count).cast("int").alias("block"), F.lit(2).alias("role"), "cid", "vec")
+
+        def meet(t: pa.Table) -> pa.Table:
+            t = t.combine_chunks()
+            role, ids = t.column("role").to_numpy(), t.column("cid").to_numpy()
+            units = _unit(_matrix(t.column("vec").combine_chunks(), dim))
+            is_q, is_x = np.flatnonzero(role == 1), np.flatnonzero(role == 2)
+            parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for sel in np.array_split(is_q, math.ceil(len(is_q) / 512)) if len(is_q) and len(is_x) else []:
+                r, c, s = _nearest(units[sel], units[is_x], ids[sel], ids[is_x], np.zeros((len(sel), len(is_x)), np.int16), k, 1.0)
+                parts.append((ids[sel][r], ids[is_x][c], s))
+            out = [np.concatenate(x) for x in zip(*parts)]
+            return pa.table({"cid": out[0], "other": out[1], "cosine": out[2]})
+
+        more = asking.unionByName(asked).groupBy("d", "block").applyInArrow(meet, "cid bigint, other bigint, cosine double")
+        best = hits.unionByName(more).dropDuplicates(["cid", "other"]).withColumn("n", F.row_number().over(first_k)).filter(F.col("n") <= k)
+        best = staged(best, "vector-best")
     named = best.join(own.select(F.col("cid").alias("other"), "members"), "other")
     near = named.groupBy("cid").agg(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct((-F.col("cosine")).alias("far"), m.alias("id"))))).alias("near"))  # k classes of k + 1 ids
     classes = own.join(near, "cid", "left").select("k1", "k2", "members", "near")
-    mates = F.transform(F.filter("members", lambda m: m != F.col("id")), lambda m: F.struct(F.lit(-1.0).alias("far"), m.alias("id")))
-    listed = rows.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", F.slice(F.array_sort(F.concat(mates, F.coalesce("near", F.array().cast("array<struct<far:double,id:bigint>>")))), 1, k).alias("near"))
+
+    def listing(members, near):
+        mates = F.transform(F.filter(members, lambda m: m != F.col("id")), lambda m: F.struct(F.lit(-1.0).alias("far"), m.alias("id")))
+        rest = F.filter(F.coalesce(near, F.array().cast("array<struct<far:double,id:bigint>>")), lambda m: m["id"] != F.col("id"))
+        return F.slice(F.array_sort(F.array_distinct(F.concat(mates, rest))), 1, k).alias("near")
+
+    alone = rows.join(crowds.select("d"), "d", "left_anti") if crowded else rows
+    listed = alone.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", listing(F.col("members"), F.col("near")))
+    if crowded:
+        # All of a crowd have its smallest ids at a cosine of 1, and those that its first vector finds so elsewhere.
+        held = fronts.groupBy("d").agg(F.flatten(F.collect_list("members")).alias("members"), F.min("cid").alias("cid"))  # k + 1 classes of k + 1 ids
+        held = held.join(near, "cid", "left").select("d", "members", F.filter("near", lambda m: m["far"] == -1).alias("near"))
+        listed = listed.unionByName(rows.select("id", "d").join(held, "d").select("id", listing(F.col("members"), F.col("near"))))
     return listed.select("id", F.posexplode("near").alias("pos", "x")).select("id", F.col("x.id").alias("neighbour"), (-F.col("x.far")).alias("cosine"), (F.col("pos") + 1).alias("place"))
 
 

@@ -81,3 +81,24 @@ def test_large_files_are_cut(spark, monkeypatch):
     monkeypatch.setattr(nb, "BLOCK", 16)
     cut = {(r["id"], r["neighbour"]) for r in nb.nearest(df, "id", "vec", dim=8).collect()}
     assert len(whole & cut) >= 0.97 * len(whole)
+
+
+def test_many_vectors_of_one_direction(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(600, 16)).astype(np.float32)
+    of = rng.permutation(600)
+    v[of[:200]] = (v[of[0]] * rng.uniform(0.2, 5, size=(200, 1))).astype(np.float32)  # scaled copies, none of them equal
+    v[of[200:240]] = (v[of[200]] * rng.uniform(0.2, 5, size=(40, 1))).astype(np.float32)  # too few to be crowded
+    v[of[240:300]] = v[of[0]] + 0.3 * rng.normal(size=(60, 16))  # near to the crowd: its order is in the last decimals
+    df = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in enumerate(v)], "id long, vec array<float>")
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 9)
+    np.fill_diagonal(cos, -2)
+    monkeypatch.setattr(nb, "BLOCK", 64)
+    got = {}
+    for r in nb.nearest(df, "id", "vec", dim=16, visited=24, posted=24, reranked=1.0).orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append((r["neighbour"], r["cosine"]))
+    for i in range(600):
+        best = np.lexsort((np.arange(600), -cos[i]))[:5]
+        assert [j for j, _ in got[i]] == best.tolist(), i
+        assert np.allclose([c for _, c in got[i]], cos[i][best], atol=1.1e-9, rtol=0)
