@@ -54,9 +54,10 @@ _NAMED = re.compile(
 _NAME_BEFORE = re.compile(r"[\w$\-]*\Z")
 _BARE = re.compile(r"(?<![\w$.\-\"'`?&;])(?P<name>[A-Za-z_][\w\-]*)\s?=\s?(?P<v>[A-Za-z0-9+/_.~!@#$%^&*?\-]{8,}=*)(?![\w(\[\"'])")
 _LITERAL = re.compile(rf"{_QUOTED}")
-_TRIGGER = re.compile(r"-----BEGIN|://[^\s/]*@|[?&][a-z_]+=|(?i:assword|passwd|pwd|passphrase)|(?:Account|Access)Key|SharedAccessSig|[Bb]earer |BEARER |[Bb]asic |BASIC |eyJ|AKIA|ASIA|gh[pousr]_|github_pat|[sr]k_live|[sr]k_test|xox[a-z]-|AIza|glpat-|npm_|pypi-|SG\.|(?:pat|glx|nvk)[_-]| -u |--user|--proxy-user")
-#: Pieces of which a text must hold one to be searched for forms, or for names.
-_FORM_PIECES = ("://", "-----BEGIN", "assword", "ASSWORD", "asswd", "ASSWD", "wd=", "WD=", "Pwd", "pwd", "assphrase", "AccessKey", "AccountKey", "SharedAccessSig", "earer ", "EARER ", "asic ", "ASIC ", "eyJ", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "k_live", "k_test", "xox", "AIza", "glpat-", "npm_", "pypi-", "SG.", "pat_", "pat-", "glx", "nvk", " -u ", "--user", "--proxy-user")
+_TRIGGER = re.compile(r"-----BEGIN|://[^\s/]*@|[?&][a-z_]+=|(?i:assword|passwd|pwd|passphrase)|(?:Account|Access)Key|SharedAccessSig|[Bb]earer |BEARER |[Bb]asic |BASIC |eyJ|AKIA|ASIA|gh[pousr]_|github_pat|[sr]k_live|[sr]k_test|xox[a-z]-|AIza|glpat-|npm_|pypi-|SG\.|(?:pat|glx|nvk)[_-]|\s-u[ =]|--user|--proxy-user")
+#: Pieces of which a text must hold one to be searched for forms, as they are or in any case, or for names. Each form has one.
+_FORM_PIECES = ("://", "-----BEGIN", "AccessKey", "AccountKey", "SharedAccessSig", "earer ", "EARER ", "asic ", "ASIC ", "eyJ", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "k_live", "k_test", "xox", "AIza", "glpat-", "npm_", "pypi-", "SG.", "pat_", "pat-", "glx", "nvk", "-u ", "-u=", "--user", "--proxy-user", "token=", "sig=", "signature=", "key=", "auth=", "secret=")
+_FORM_WORDS = ("assword", "passwd", "pwd", "passphrase")
 _NAME_PIECES = ("pass", "pwd", "pw", "token", "secret", "key", "credential", "sig", "access", "jwt", "bearer")
 _PARTS = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 _ENCODED = re.compile(r"(?<![\w+/\-])(?=[a-z_/+\-]*[A-Z0-9])(?=[A-Z_/+\-]*[a-z0-9])[A-Za-z0-9+/_\-]{24,}={0,2}|%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}|&#x?[0-9A-Fa-f]+;")
@@ -194,10 +195,10 @@ def _basic(value: str) -> bool:
 def scan(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
     """Credentials in a text as (start, end, kind), the places to mask, in order and apart from each other."""
     hits: list[tuple[int, int, str]] = []
-    if any(piece in text for piece in _FORM_PIECES):
+    low = text.lower()
+    if any(piece in text for piece in _FORM_PIECES) or any(piece in low for piece in _FORM_WORDS):
         for a, b in _lines(text, _TRIGGER):
             _forms(text, a, b, hits)
-    low = text.lower()
     if any(piece in low for piece in _NAME_PIECES):
         _names(text, hits, depth)
     if depth < DEPTH:

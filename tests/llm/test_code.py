@@ -117,3 +117,17 @@ def test_credentials_in_rows(spark, rows):
     out = {r["chunk_id"]: r for r in secrets.redacted(df).collect()}
     assert out[1]["content"].count("\n") == pem.count("\n") and out[1]["content"].endswith('password = "*************"') and out[2]["content"] is None and out[1]["n_masked"] == 2
     assert secrets.places(df.limit(0)).count() == 0
+
+
+def test_each_form_alone_is_searched():
+    v, t = "Xk29dLq81mZ0", "a8F3kQ9zLw27RtYbN5cV"
+    for name in "access_token auth_token accesstoken token sig signature api_key apikey key auth secret client_secret password passwd pwd".split():
+        assert [h[2] for h in secrets.scan(f'fetch("/files/a?{name}={t}")')] == ["query"], name
+    for name in "Password pwd PASSWORD PWD AccountKey SharedAccessKey SharedAccessSignature".split():
+        assert secrets.scan(f'c = "a=b; {name} = {t}"'), name
+    for said in ("PASSPHRASE: ", "PassPhrase is ", "PWD: ", "Pwd ", "pwd was ", "PASSWD: ", "password ", "PASSWORD is "):
+        assert [h[2] for h in secrets.scan(f"# {said}{v}")] == ["login"], said
+    for flag in (" -u=", "\t-u ", "\n-u ", " -u ", " --user ", " --user=", " --proxy-user="):
+        assert [h[2] for h in secrets.scan(f"curl{flag}joe:{v} h")] == ["user"], flag
+    for text in (f"s3://joe:{v}@h", f"Bearer {t}", f"BEARER {t}", "basic am9lOlhrMjlkTHE4MQ==", "eyJhbGciOiJI.eyJzdWIi.c2lnbmF0dXJl", "AKIA" + "Q7" * 8, "ghr_" + t * 2, "github_pat_" + t * 2, "rk_test_" + t, "xoxe-" + t, "AIza" + "aB3dE" * 7, "glpat-" + t, "npm_" + "aB3d" * 9, "pypi-" + t * 2, f"SG.{t}.{t}", "pat-" + t * 2, "nvk_" + t * 2):
+        assert secrets.scan(text), text
