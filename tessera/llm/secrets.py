@@ -1,9 +1,10 @@
 """Credentials written into source code: found by form and by name, through layers of encoding, and masked.
 
 A content is scanned for forms that are credentials by themselves (addresses with passwords, headers, tokens with a known make-up, private keys)
-and for literals that a name marks (assignments, arguments, defaults, remarks). Literals that may hold more are decoded - base64, hex,
-percent and backslash escapes, again and again - and what comes out is scanned again or, if it is binary, read as a key container (DER or an SSH key). A hit
-inside an encoded literal masks the whole literal. Rows are independent: no shuffle.
+and for literals that a name marks (assignments, arguments, defaults, remarks). What may hold more is decoded - base64, hex, percent and
+backslash escapes, again and again until nothing is left to decode - and what comes out is scanned again or, if it is binary, read as a key container (DER or
+an SSH key). That is done for literals on a line, parts of a concatenation together, literals over lines, runs wrapped over lines and runs without quotes. A hit
+inside an encoded literal masks the whole literal, the innermost if they are nested. Rows are independent: no shuffle.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 5  # layers of encoding that are opened; each is shorter than the one around it
-
 _PASS = "password passwd pwd pass passphrase passcode pw".split()
 _TOKEN = "token secret apikey credential credentials signature sig authkey bearer jwt passkey".split()
 _KEYED = "api access private signing secret encryption shared account client master auth service license session deploy app host storage webhook hmac aes rsa ssh".split()
@@ -61,6 +60,11 @@ _FORM_WORDS = ("assword", "passwd", "pwd", "passphrase")
 _NAME_PIECES = ("pass", "pwd", "pw", "token", "secret", "key", "credential", "sig", "access", "jwt", "bearer")
 _PARTS = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 _ENCODED = re.compile(r"(?<![\w+/\-])(?=[a-z_/+\-]*[A-Z0-9])(?=[A-Z_/+\-]*[a-z0-9])[A-Za-z0-9+/_\-]{24,}={0,2}|%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}|&#x?[0-9A-Fa-f]+;")
+_BREAK = re.compile(r"(?:\\[nr])+(?:\\?\r?\n[ \t]*)?|[ \t]*\\?\r?\n[ \t]*(?:(?://+|--)[ \t]+|[#*]+[ \t]*)?")
+_WRAPPED = re.compile(rf"(?<![\w+/\-])(?:[A-Za-z0-9+/_\-]{{16,}}(?:{_BREAK.pattern}))+[A-Za-z0-9+/_\-]+={{0,2}}(?![\w+/\-])")
+_CHAIN = re.compile(rf"(?:{_QUOTED})(?:\s*(?:\+|\.|&|\\\n)?\s*[rbuf@$]{{0,2}}(?:{_QUOTED}))+")
+_LONG = re.compile(rf"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`")
+_RUN = re.compile(r"(?:[\w.\-]+[=:](?![\s=\"'`<>]|//|$))?([^\s\"'`<>]+)")
 _PEM_END = re.compile(r"-----END[ ](?:[A-Z0-9]+[ ])*PRIVATE[ ]KEY(?:[ ]BLOCK)?-----")
 
 
@@ -141,17 +145,47 @@ def key_container(b: bytes) -> bool:
 def _decoded(value: str):
     """What a literal may stand for: texts, or bytes that are no text."""
     if re.search(r"%[0-9A-Fa-f]{2}", value):
-        yield urllib.parse.unquote(value)
+        yield urllib.parse.unquote(re.sub(r"%(?:25)+(?=[0-9A-Fa-f]{2})", "%", value))  # layers of the sign alone at once
     if re.search(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3}|[nrt\"'\\/])", value):
         yield re.sub(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|([0-7]{3})|(.))", lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else chr(int(m[3], 8)) if m[3] else {"n": "\n", "r": "\r", "t": "\t"}.get(m[4], m[4]), value)
     if re.search(r"&#x?[0-9A-Fa-f]+;", value):
+        value = re.sub(r"&#(?:38|x26);(?:#(?:38|x26);)*(?=#)", "&", value)
         yield re.sub(r"&#(?:x([0-9A-Fa-f]{1,6})|(\d{1,7}));", lambda m: chr(min(int(m[1], 16) if m[1] else int(m[2]), 0x10FFFF)), value)
-    for part in _PARTS.findall(value):
+    for part in [*_PARTS.findall(value), *(x for _, _, x in _wrapped(value))]:
         for raw in _binary(part):
             text = _text(raw)
             yield text if text is not None else raw
 
 
+def _wrapped(value: str):
+    """Encoded runs that go on over lines, as (start, end, joined); also without a first or last line, which may be a word of its own."""
+    for m in _WRAPPED.finditer(value):
+        breaks = [x.span() for x in _BREAK.finditer(value, *m.span())]
+        lines = list(zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()]))
+        for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            own = lines[a : len(lines) - b]
+            if len(own) > 1:
+                yield own[0][0], own[-1][1], "".join(value[i:j] for i, j in own)
+
+
+def _opened(value: str) -> bool:
+    """Whether a credential comes out of a text, through any layers of encoding. Each is shorter than the one around it, so there is an end."""
+    seen, left = {value}, [value]
+    while left:
+        inner = left.pop()
+        for out in _decoded(inner):
+            if isinstance(out, bytes):
+                if key_container(out):
+                    return True
+            elif len(out) < len(inner) and out not in seen:
+                seen.add(out)
+                if _plain(out, True):
+                    return True
+                if _ENCODED.search(out) or _WRAPPED.search(out):
+                    left.append(out)
+    return False
+
+
 def _binary(part: str):
     if len(part) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", part):
         yield bytes.fromhex(part)
@@ -192,25 +226,59 @@ def _basic(value: str) -> bool:
     return False
 
 
-def scan(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
-    """Credentials in a text as (start, end, kind), the places to mask, in order and apart from each other."""
+def _plain(text: str, inside: bool) -> list[tuple[int, int, str]]:
+    """Credentials that stand in a text as they are; inside: it was decoded."""
     hits: list[tuple[int, int, str]] = []
     low = text.lower()
     if any(piece in text for piece in _FORM_PIECES) or any(piece in low for piece in _FORM_WORDS):
         for a, b in _lines(text, _TRIGGER):
             _forms(text, a, b, hits)
     if any(piece in low for piece in _NAME_PIECES):
-        _names(text, hits, depth)
-    if depth < DEPTH:
-        for a, b in _lines(text, _ENCODED) if not depth else [(0, len(text))]:
-            for m in _LITERAL.finditer(text, a, b) if not depth else [re.compile(r"[\s\S]*").match(text)]:
-                s, e = (m.start() + 1, m.end() - 1) if not depth else m.span()
-                inner = text[s:e]
-                if _ENCODED.search(inner) and not any(x < e and s < y for x, y, _ in hits):
-                    for out in _decoded(inner):
-                        if key_container(out) if isinstance(out, bytes) else len(out) < len(inner) and scan(out, depth + 1):
-                            hits.append((s, e, "encoded"))
-                            break
+        _names(text, hits, inside)
+    return hits
+
+
+def _layers(text: str, hits: list) -> None:
+    """Adds what is credentials only once it is decoded."""
+
+    def free(s: int, e: int) -> bool:
+        return not any(x < e and s < y for x, y, _ in hits)
+
+    encoded = list(_lines(text, _ENCODED))
+    for a, b in encoded:
+        for m in _LITERAL.finditer(text, a, b):
+            s, e = m.start() + 1, m.end() - 1
+            if _ENCODED.search(text, s, e) and free(s, e) and _opened(text[s:e]):
+                hits.append((s, e, "encoded"))
+    for m in _CHAIN.finditer(text):
+        parts = [(x.start() + 1, x.end() - 1) for x in _LITERAL.finditer(text, *m.span()) if len(x[0]) > 2]
+        value = "".join(text[s:e] for s, e in parts)
+        if len(parts) > 1 and (_ENCODED.search(value) or _WRAPPED.search(value)) and all(free(s, e) for s, e in parts) and _opened(value):
+            hits.extend((s, e, "encoded") for s, e in parts)
+    wrapped = list(_wrapped(text))
+    if not encoded and not wrapped:
+        return
+    for m in _LONG.finditer(text):
+        if "\n" in m[0]:
+            q = 3 if m[0].startswith(('"""', "'''")) else 1
+            inner = m[0][q:-q]
+            s, e = m.start() + q + len(inner) - len(inner.lstrip()), m.end() - q - len(inner) + len(inner.rstrip())
+            if s < e and (_ENCODED.search(text, s, e) or _WRAPPED.search(text, s, e)) and free(s, e) and _opened(text[s:e]):
+                hits.append((s, e, "encoded"))
+    for s, e, value in wrapped:
+        if free(s, e) and any(key_container(x) if isinstance(x, bytes) else _plain(x, True) or _opened(x) for x in _decoded(value)):
+            hits.append((s, e, "encoded"))
+    for a, b in encoded:
+        for m in _RUN.finditer(text, a, b):
+            if _ENCODED.search(text, *m.span(1)) and free(*m.span(1)) and _opened(m[1]):
+                runs = [x.span() for x in _PARTS.finditer(text, *m.span(1)) if _opened(x[0])]
+                hits.extend((s, e, "encoded") for s, e in runs or [m.span(1)])
+
+
+def scan(text: str) -> list[tuple[int, int, str]]:
+    """Credentials in a text as (start, end, kind), the places to mask, in order and apart from each other."""
+    hits = _plain(text, False)
+    _layers(text, hits)
     hits.sort()
     kept: list[tuple[int, int, str]] = []
     for h in hits:
@@ -265,7 +333,7 @@ def _forms(text: str, at: int, to: int, hits: list) -> None:
             at = max(m.start() + 1, a)
 
 
-def _names(text: str, hits: list, depth: int) -> None:
+def _names(text: str, hits: list, inside: bool) -> None:
     at = 0
     while m := _NAMED.search(text, at):
         at = m.end()
@@ -291,7 +359,7 @@ def _names(text: str, hits: list, depth: int) -> None:
         kind = kind_of(m["name"])
         if kind and (like_password(m["v"]) and re.search(r"\d", m["v"]) if kind == "password" else like_token(m["v"])):
             line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
-            if depth or re.search(r"#|//|\*|--|^\s*(?:export\s+)?$", line):
+            if inside or re.search(r"#|//|\*|--|^\s*(?:export\s+)?$", line):
                 hits.append((*m.span("v"), kind))
 
 

@@ -131,3 +131,30 @@ def test_each_form_alone_is_searched():
         assert [h[2] for h in secrets.scan(f"curl{flag}joe:{v} h")] == ["user"], flag
     for text in (f"s3://joe:{v}@h", f"Bearer {t}", f"BEARER {t}", "basic am9lOlhrMjlkTHE4MQ==", "eyJhbGciOiJI.eyJzdWIi.c2lnbmF0dXJl", "AKIA" + "Q7" * 8, "ghr_" + t * 2, "github_pat_" + t * 2, "rk_test_" + t, "xoxe-" + t, "AIza" + "aB3dE" * 7, "glpat-" + t, "npm_" + "aB3d" * 9, "pypi-" + t * 2, f"SG.{t}.{t}", "pat-" + t * 2, "nvk_" + t * 2):
         assert secrets.scan(text), text
+
+
+def test_layers_without_quotes_over_lines_and_deep():
+    enc = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    said = "password=Xk29dLq81mZ0 for the user"
+    ed25519 = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(7, 39))
+    number = lambda n, x: b"\x02\x82" + n.to_bytes(2, "big") + bytes((x + 7 * i) % 251 + 1 for i in range(n))
+    body = b"\x02\x01\x00" + number(256, 3) + b"\x02\x03\x01\x00\x01" + number(256, 9)
+    key = enc(b"\x30\x82" + len(body).to_bytes(2, "big") + body)
+    lines = [key[i : i + 64] for i in range(0, len(key), 64)]
+    first = lambda t: (t.count("\n", 0, secrets.scan(t)[0][0]) + 1, secrets.masked(t, secrets.scan(t)))
+    assert first(f"x = 1\n# {enc(said)} ends\n") == (2, f"x = 1\n# {'*' * len(enc(said))} ends\n")
+    assert first(f"a: b\ndata: {enc(ed25519)}\n")[0] == 2 and first(f"data={enc(ed25519)}\n")[1].startswith("data=**")
+    assert first("// see https%3A%2F%2Fjoe%3AXk29dLq81m%40host\n")[0] == 1
+    for joint, before, after in (("\n", 'k = """\n', '\n"""'), ("\n  ", "k = `", "`;"), ("\n# ", "# ", "\n# Then more\n"), ("\n", "key\n", "\nThen\n"), ("\\n", "'", "'"), ('" +\n  "', 'k = "', '";'), ("'\n  '", "k = ('", "')"), ('\\n" + "', 'k = "', '";')):
+        text = before + joint.join(lines) + after
+        out = secrets.masked(text, secrets.scan(text))
+        assert not any(line in out for line in lines), text
+        assert len(out) == len(text) and out.count("\n") == text.count("\n") and out.startswith(before[:2])
+    hexed = bytes(ed25519).hex()
+    assert secrets.scan(f'k = "{hexed[:32]}" + "{hexed[32:]}"') and secrets.scan(f"k = '''\n{hexed[:48]}\n{hexed[48:]}\n'''")
+    deep = said
+    for _ in range(9):
+        deep = enc(deep)
+    assert [h[2] for h in secrets.scan(f'x = "{deep}"')] == ["encoded"]
+    assert secrets.scan('x = "https%' + "25" * 3000 + '3A//joe%3AXk29dLq81m@host"')
+    assert not secrets.scan(f"# {enc('nothing to be seen in here, go on')}\nk = '''\n{enc(bytes(range(200)))}\n'''\n")
