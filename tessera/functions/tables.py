@@ -120,47 +120,179 @@ def diff_summary(before: Column, after: Column, context: int = 2, most: int = 60
     return run(before, after)
 
 
-def python_chunks(code: Column, limit: int = 1200) -> Column:
-    """An array of (start_line, end_line, node_type, name, content) of a Python source: its top-level statements in runs of at most `limit`
-    characters that are no blanks; a class above that comes as its header and its members. A source that doesn't parse is one chunk of code."""
+CHUNK = "array<struct<start_line:int,end_line:int,node_type:string,name:string,content:string,part:int,parent_class:string,parent_context:string>>"
+
+
+def _solid(text: str) -> int:
+    return len(re.sub(r"\s", "", text))
+
+
+class _Chunks:
+    """Chunks of a source in the making: runs of imports and of other code come together, and what is above the limit is cut."""
+
+    def __init__(self, lines: list[str], limit: int):
+        self.lines, self.limit, self.out = lines, limit, []
+
+    def text(self, a: int, b: int) -> str:
+        return "\n".join(self.lines[a - 1 : b])
+
+    def fits(self, a: int, b: int) -> bool:
+        return _solid(self.text(a, b)) <= self.limit
+
+    def add(self, a: int, b: int, kind: str, name: str | None, parent: str | None = None, context: tuple[str, ...] = ()) -> None:
+        own = {"node_type": kind, "name": name, "part": 0, "parent_class": parent, "parent_context": "\n".join(context) or None}
+        last = self.out[-1] if self.out else None
+        if last and kind in ("import", "code") and not last["part"] and all(last[k] == own[k] for k in ("node_type", "parent_context")) and self.fits(last["start_line"], b):
+            last |= {"end_line": b, "content": self.text(last["start_line"], b)}
+            return
+        while a <= b:
+            to, size = a, _solid(self.lines[a - 1])
+            while to < b and (more := _solid(self.lines[to])) + size <= self.limit:
+                to, size = to + 1, size + more
+            for part, text in enumerate([self.text(a, to)] if size <= self.limit else self.pieces(self.lines[a - 1])):
+                if text.strip():
+                    self.out.append(own | {"start_line": a, "end_line": to, "content": text, "part": part})
+            a = to + 1
+
+    def pieces(self, line: str) -> list[str]:
+        """A line above the limit, cut after the last sign that ends something, or anywhere."""
+        out = []
+        while len(line) > self.limit:
+            cut = max(line.rfind(c, self.limit // 2, self.limit) for c in ";},) ") + 1 or self.limit
+            out.append(line[:cut])
+            line = line[cut:]
+        return [*out, line]
+
+    def close(self, a: int, b: int, parent: str | None, context: tuple[str, ...]) -> None:
+        """The end of a block goes with the chunk before it if there is room."""
+        last = self.out[-1] if self.out else None
+        if last and not last["part"] and self.fits(last["start_line"], b):
+            last |= {"end_line": b, "content": self.text(last["start_line"], b)}
+        else:
+            self.add(a, b, "code", None, parent, context)
+
+
+_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{[^{}]*\})*\})*`"
+_REGEX = r"(?:(?<=[=(,:;!&|?{}\[\n])|(?<=\breturn)|(?<=^))[ \t]*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/"
+_QUIET = rf"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"\"\"[\s\S]*?\"\"\"|(?:@\$?|\$@)\"(?:[^\"]|\"\")*\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+_SILENT = {"typescript": re.compile(f"{_QUIET}|{_TEMPLATE}|{_REGEX}"), "": re.compile(_QUIET)}
+_NOTE = re.compile(r"\s*(?:@(?!interface)[\w.]+(?:\(.*\))?|\[[^\]]*\])?\s*")
+_ON = re.compile(r"\s*(?:[{.?:&|+,)\]]|=>|(?:extends|implements|where|throws)\b)")
+_MODS = r"(?:(?:public|private|protected|internal|static|final|sealed|partial|strictfp|unsafe|new|readonly|override|virtual|abstract|async|synchronized|native|extern|default|get|set)\s+)*"
+_CLASS = re.compile(rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?{_MODS}(class|interface|struct|record|enum)\s+(\w+)")
+_FUNCTION = re.compile(r"(?:async\s+)?function\s+(\w+)")
+_METHOD = re.compile(rf"{_MODS}(?:[\w.<>\[\],? ]+\s)?[*#]?([\w$]+)\s*(?:<[^()]*>)?\s*\(")
+_NO_METHOD = {"if", "for", "while", "switch", "catch", "return", "throw", "do", "else", "foreach", "lock", "using", "fixed", "function", "await", "yield"}
+
+
+def _brace_chunks(source: str, language: str, limit: int) -> list[dict]:
+    script = language in ("typescript", "javascript", "tsx", "jsx")
+    lines = source.split("\n")
+    mask = lambda m: re.sub(r"[^\n]", " " if m[0].lstrip()[:2] in ("//", "/*") else "_", m[0])
+    bare = _SILENT["typescript" if script else ""].sub(mask, source).split("\n")
+    depth, now = [], 0
+    for line in bare:
+        now += sum(line.count(c) for c in "{[(") - sum(line.count(c) for c in "}])")
+        depth.append(now)
+    chunks = _Chunks(lines, limit)
+
+    def unit(i: int, b: int, base: int) -> int:
+        """The last line of the statement or member that begins at line i, with what is noted before it."""
+        while i < b and depth[i - 1] <= base and _NOTE.fullmatch(bare[i - 1]):
+            i += 1
+        while i < b:
+            end = bare[i - 1].rstrip()
+            then = next((bare[j] for j in range(i, b) if bare[j].strip()), "")
+            ended = script or not end.strip() or end.endswith((";", "}")) or end.lstrip().startswith("#")
+            if depth[i - 1] <= base and ended and (end.endswith(";") or not _ON.match(then)):
+                break
+            i += 1
+        return i
+
+    def walk(a: int, b: int, base: int, parent: str | None, context: tuple[str, ...], members: bool) -> None:
+        while a <= b:
+            if not lines[a - 1].strip():
+                a += 1
+                continue
+            e = unit(a, b, base)
+            while e > a and not lines[e - 1].strip():
+                e -= 1
+            code = next((i for i in range(a, e + 1) if not _NOTE.fullmatch(bare[i - 1])), a)
+            head = " ".join(" ".join(bare[code - 1 : e]).split("{")[0].split())
+            kind, name, of = "code", None, None
+            if m := _CLASS.match(head):
+                of = name = m[2]
+                kind = "class" if m[1] == "class" and not (script and head.startswith(("export", "abstract", "declare"))) else "code"
+            elif m := _FUNCTION.match(head) if script else None:
+                kind, name = "function", m[1]
+            elif re.match(r"import\b(?!\s*[(.])", head):
+                kind = "import"
+            elif members and (m := _METHOD.match(head)) and m[1] not in _NO_METHOD and "=" not in head[: m.end()] and head.split("(")[0].split()[0] not in _NO_METHOD | {"new"} and (not script or "{" in " ".join(bare[code - 1 : e])):
+                kind, name = "function", m[1]
+            opened = next((i for i in range(code, e) if "{" in bare[i - 1] and depth[i - 1] > base), e)
+            if chunks.fits(a, e) or opened >= e - 1:
+                chunks.add(a, e, kind, name, parent, context)
+            else:
+                chunks.add(a, opened, kind, name, parent, context)
+                shown = lines[code - 1].strip().rstrip("{").rstrip()
+                walk(opened + 1, e - 1, depth[opened - 1], of or parent, (*context, shown) if name else context, bool(of))
+                chunks.close(e, e, parent, context)
+            a = e + 1
+
+    walk(1, len(lines), 0, None, (), False)
+    return chunks.out
+
+
+def brace_chunks(code: Column, language: Column, limit: int = 1200) -> Column:
+    """An array like that of `python_chunks`, of a source in Java, C#, TypeScript or JavaScript: its statements and members along the
+    blocks. What is above the limit comes as its header and what is in its block; what has no block is cut between lines, a line after a sign."""
+
+    @pandas_udf(CHUNK)
+    def run(s: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([_brace_chunks(t, k, limit) if t and t.strip() else [] for t, k in zip(s, kind)])
 
-    def size(lines: list[str]) -> int:
-        return len(re.sub(r"\s", "", "".join(lines)))
+    return run(code, language)
+
+
+def python_chunks(code: Column, limit: int = 1200) -> Column:
+    """An array of (start_line, end_line, node_type, name, content, part, parent_class, parent_context) of a Python source: its top-level
+    statements in runs of at most `limit` characters that are no blanks; a class or function above that comes as its header and what is in it, all else
+    is cut between lines, and a line into parts. Contexts are the first lines of the classes and functions around. A source that doesn't parse is code."""
 
     def one(source: str | None) -> list[dict]:
         if not source or not source.strip():
             return []
         lines = source.split("\n")
+        chunks = _Chunks(lines, limit)
         try:
             body = ast.parse(source).body
         except (SyntaxError, ValueError):
-            return [{"start_line": 1, "end_line": len(lines), "node_type": "code", "name": None, "content": source}]
-        out: list[dict] = []
+            chunks.add(1, len(lines), "code", None)
+            return chunks.out
 
         def first(node) -> int:
             return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
 
-        def add(a: int, b: int, kind: str, name: str | None) -> None:
-            text = lines[a - 1 : b]
-            if out and out[-1]["node_type"] == kind and kind in ("import", "code") and size(lines[out[-1]["start_line"] - 1 : b]) <= limit:
-                out[-1] |= {"end_line": b, "content": "\n".join(lines[out[-1]["start_line"] - 1 : b])}
-            else:
-                out.append({"start_line": a, "end_line": b, "node_type": kind, "name": name, "content": "\n".join(text)})
-
-        def walk(nodes) -> None:
+        def walk(nodes, parent: str | None, context: tuple[str, ...], after: int | None = None) -> None:
             for node in nodes:
                 a, b = first(node), node.end_lineno
+                if after is not None:  # remarks between the statements of a function stay
+                    if b <= after:
+                        continue
+                    a, after = after + 1, b
                 kind = "class" if isinstance(node, ast.ClassDef) else "function" if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) else "import" if isinstance(node, (ast.Import, ast.ImportFrom)) else "code"
-                if kind == "class" and size(lines[a - 1 : b]) > limit and first(node.body[0]) > a:
-                    add(a, first(node.body[0]) - 1, kind, node.name)
-                    walk(node.body)
+                if kind in ("class", "function") and not chunks.fits(a, b) and first(node.body[0]) > node.lineno:
+                    to = first(node.body[0]) - 1
+                    chunks.add(a, to, kind, node.name, parent, context)
+                    inner = (*context, lines[node.lineno - 1].strip())
+                    walk(node.body, node.name if kind == "class" else parent, inner, to if kind == "function" else None)
                 else:
-                    add(a, b, kind, getattr(node, "name", None))
+                    chunks.add(a, b, kind, getattr(node, "name", None), parent, context)
 
-        walk(body)
-        return out
+        walk(body, None, ())
+        return chunks.out
 
-    @pandas_udf("array<struct<start_line:int,end_line:int,node_type:string,name:string,content:string>>")
+    @pandas_udf(CHUNK)
     def run(s: pd.Series) -> pd.Series:
         return s.map(one)
 

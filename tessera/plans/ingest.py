@@ -23,15 +23,15 @@ def doc_points(docs: DataFrame, make=em.HashedProjection) -> DataFrame:
 
 def code_points(sources: DataFrame, make=em.HashedProjection, limit: int = 1200) -> DataFrame:
     """Rows of the chunks of sources (path, content) that are in a known language; others and blank ones give none. Python is cut along its syntax, other
-    languages are one chunk of code a file here."""
+    languages along their blocks, in chunks of at most `limit` characters that are no blanks. A chunk's context is that of its blocks, or the path."""
     known = sources.withColumn("language", tx.language_of_path(F.col("path"))).filter("language is not null and content is not null")
-    whole = F.array(F.struct(F.lit(1).alias("start_line"), tx.line_count(F.col("content")).alias("end_line"), F.lit("code").alias("node_type"), F.lit(None).cast("string").alias("name"), F.col("content").alias("content")))
     python = known.filter("language = 'python'").select("path", "language", F.explode(tf.python_chunks(F.col("content"), limit)).alias("c"))
-    other = known.filter("language <> 'python'").select("path", "language", F.explode(whole).alias("c"))
+    other = known.filter("language <> 'python'").select("path", "language", F.explode(tf.brace_chunks(F.col("content"), F.col("language"), limit)).alias("c"))
     rows = python.unionByName(other).select("path", "language", "c.*")
+    key = tx.chunk_key(F.col("path"), F.col("start_line"), F.col("end_line"))
     own = rows.select(
-        tx.uuid5(tx.chunk_key(F.col("path"), F.col("start_line"), F.col("end_line"))).alias("point_id"), F.col("path").alias("file_path"), "language", "content", "node_type", "name", "start_line", "end_line",
-        tx.docstring(F.col("content"), F.col("language")).alias("docstring"),
+        tx.uuid5(F.when(F.col("part") > 0, F.concat(key, F.lit(":"), F.col("part").cast("string"))).otherwise(key)).alias("point_id"), F.col("path").alias("file_path"), "language", "content", "node_type", "name", "start_line", "end_line",
+        tx.docstring(F.col("content"), F.col("language")).alias("docstring"), "parent_class", F.coalesce("parent_context", "path").alias("parent_context"),
     )
     return own.withColumn("dense", em.embedding(F.col("content"), make))
 

@@ -30,3 +30,25 @@ def test_ingest_twice_changes_nothing(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "docs"))
     assert n > 1 and docs.count() == n and docs.agg(F.max(F.length("content"))).first()[0] <= 1000
     assert ingest.terms_of(docs).filter("term = 'word'").count() == n
+
+
+def test_all_languages_are_cut_and_know_their_parents(spark):
+    java = "import a.B;\n\n/** Says. */\npublic class Big extends C {\n  int x = 1; // }\n" + "".join(f"  @Override\n  public int m{i}(int a) {{\n    return a + {i}; // {'w' * 300}\n  }}\n\n" for i in range(8)) + "}\n"
+    cs = "using System;\nnamespace N\n{\n  class Deep\n  {\n" + "".join(f"    public string P{i}(int a)\n    {{\n      return @\"}}\" + \"{'v' * 400}\";\n    }}\n" for i in range(5)) + "  }\n}\n"
+    ts = "import { a } from './a';\nimport b from 'b';\nfunction small() {\n  return `${a}}`;\n}\nclass W {\n" + "".join(f"  run{i}(x: number) {{\n    return /[}}]/.test('{'z' * 500}');\n  }}\n" for i in range(4)) + "}\n"
+    js = "var q=[" + ",".join(f"{{a:{i}}}" for i in range(900)) + "];"
+    py = "class K:\n    def long(self):\n        x = 0\n" + "".join(f"        # step {i}\n        x += call_{i}(x, {i})\n" for i in range(120)) + "        return x\n"
+    sources = {"B.java": java, "D.cs": cs, "w.ts": ts, "min.js": js, "k.py": py}
+    got = {}
+    for r in ingest.code_points(spark.createDataFrame(list(sources.items()), "path string, content string")).collect():
+        got.setdefault(r["file_path"], []).append(r)
+    solid = lambda t: "".join(t.split())
+    for path, text in sources.items():
+        rows = sorted(got[path], key=lambda r: r["start_line"]) if path != "min.js" else sorted(got[path], key=lambda r: js.index(r["content"]))
+        assert all(len(solid(r["content"])) <= 1200 for r in rows) and len({r["point_id"] for r in rows}) == len(rows) > 1, path
+        assert "".join(solid(r["content"]) for r in rows) == solid(text), path
+    kinds = {p: [(r["node_type"], r["name"], r["parent_class"]) for r in sorted(got[p], key=lambda r: r["start_line"])] for p in got}
+    assert kinds["B.java"] == [("import", None, None), ("class", "Big", None), ("code", None, "Big"), *(("function", f"m{i}", "Big") for i in range(8))]
+    assert [k for k in kinds["D.cs"] if k[0] != "code"] == [("class", "Deep", None), *(("function", f"P{i}", "Deep") for i in range(5))]
+    assert kinds["w.ts"] == [("import", None, None), ("function", "small", None), ("class", "W", None), *(("function", f"run{i}", "W") for i in range(4))]
+    assert {r["parent_context"] for r in got["B.java"]} == {"B.java", "public class Big extends C"} and {r["parent_context"] for r in got["k.py"]} >= {"class K:", "class K:\ndef long(self):"}
