@@ -556,7 +556,7 @@ def migration_order(s: SparkSession, d: str) -> DataFrame:
 @query()
 def python_import_edges(s: SparkSession, d: str) -> DataFrame:
     """Imports of Python files, resolved; the syntax tree has no SQL."""
-    files = table(s, d, "code_chunks").filter("lower(file_path) like '%.py' and content is not null").select("file_path", "content")
+    files = tf.assembled(table(s, d, "code_chunks").filter("lower(file_path) like '%.py'"))
     found = files.select(tx.module_name(F.col("file_path")).alias("src"), F.explode(tf.python_imports(F.col("content"))).alias("i"))
     name = F.when(F.col("i.level") > 0, tx.resolve_relative(F.col("i.level"), F.col("i.name"), F.col("src"))).otherwise(F.col("i.name"))
     return found.select("src", name.alias("dst")).filter("dst is not null and src <> dst").distinct()

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -80,6 +81,32 @@ def python_imports(code: Column) -> Column:
     return run(code)
 
 
+def assembled(chunks: DataFrame) -> DataFrame:
+    """Rows (file_path, content), one for each file of code chunks: the content of its chunks, one for each start_line (of redelivered ones the
+    smallest chunk_id), at its line, with empty lines between. Rows without path, start_line or content add nothing. A task holds one file at a time."""
+    own = chunks.select("file_path", "start_line", "chunk_id", "content").filter("file_path is not null and start_line is not null and content is not null")
+    placed = own.repartition("file_path").sortWithinPartitions("file_path", "start_line", "chunk_id")
+
+    def run(batches):
+        path, last, lines = None, None, []
+        for b in batches:
+            out = []
+            for p, start, content in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
+                if p != path:
+                    if path is not None:
+                        out.append((path, "\n".join(lines)))
+                    path, last, lines = p, None, []
+                if start != last:
+                    last = start
+                    lines.extend([""] * (start - 1 - len(lines)))
+                    lines.extend(content.split("\n"))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["file_path", "content"])
+        if path is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array(["\n".join(lines)])], names=["file_path", "content"])
+
+    return placed.mapInArrow(run, "file_path string, content string")
+
+
 SCRIPT_IMPORT = r"(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)[\"'](\.{1,2}/[^\"']*)[\"']"
 SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 

@@ -85,3 +85,19 @@ def test_script_targets(spark, rows):
     imports = spark.createDataFrame([("a/x.ts", "a", "./y"), ("a/x.ts", "a", "../b"), ("a/x.ts", "a", "./none")], "src string, folder string, spec string")
     files = spark.createDataFrame([("a/y.js",), ("a/y.ts",), ("b/index.js",)], "file_path string")
     assert rows(tf.script_targets(imports, files)) == [("a/x.ts", "../b", "b/index.js"), ("a/x.ts", "./y", "a/y.ts")]
+
+
+def test_imports_are_those_of_whole_files(spark, rows, tmp_path):
+    from tessera import catalog
+
+    chunks = [
+        ("a/m.py", 1, 3, "import one\n\nclass C:"),
+        ("a/m.py", 4, 4, "    def f(self):\n        import two\n        return two"),  # doesn't parse alone
+        ("a/m.py", 4, 9, "import again"),  # redelivered
+        ("a/bad.py", 1, 5, "import three"),
+        ("a/bad.py", 2, 6, "def ("),
+        ("a/n.ts", 1, 7, "import four"),
+        ("a/none.py", None, 8, "import five"),
+    ]
+    spark.createDataFrame(chunks, "file_path string, start_line int, chunk_id long, content string").write.parquet(str(tmp_path / "code_chunks.parquet"))
+    assert rows(catalog.python_import_edges(spark, str(tmp_path))) == [("a.m", "one"), ("a.m", "two")]
