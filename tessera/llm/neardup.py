@@ -177,10 +177,13 @@ def all_pairs(member: DataFrame, pairs: DataFrame) -> DataFrame:
     return inside.union(across)
 
 
-def groups(member: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows (id, class_id, group_id, n_links): a record's class, its connected group of classes, and the links of its class."""
+def groups(member: DataFrame, pairs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Rows (id, class_id, group_id, n_links): a record's class, its connected group of classes, and the links of its class. Of the records of `ids`
+    (id), those in no class, which have no words, are each a class and group of their own."""
     linked = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     known = linked.join(ends, "node").withColumnRenamed("node", "class_id")
+    if ids is not None:
+        member = member.unionByName(ids.filter("id is not null").join(member.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("class_id")))
     out = member.join(known, "class_id", "left")
     return out.select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

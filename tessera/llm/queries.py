@@ -19,8 +19,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    member, pairs = neardup.near_duplicates(table(spark, d, "migration_patterns"), "pattern_id", PATTERN_FIELDS)
-    return neardup.groups(member, pairs).withColumnRenamed("id", "pattern_id")
+    patterns = table(spark, d, "migration_patterns")
+    member, pairs = neardup.near_duplicates(patterns, "pattern_id", PATTERN_FIELDS)
+    return neardup.groups(member, pairs, patterns.select(F.col("pattern_id").alias("id"))).withColumnRenamed("id", "pattern_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -102,3 +102,14 @@ def test_many_vectors_of_one_direction(spark, monkeypatch):
         best = np.lexsort((np.arange(600), -cos[i]))[:5]
         assert [j for j, _ in got[i]] == best.tolist(), i
         assert np.allclose([c for _, c in got[i]], cos[i][best], atol=1.1e-9, rtol=0)
+
+
+def test_groups_have_a_row_for_every_pattern(spark, tmp_path):
+    from tessera.llm import queries
+
+    fields = ", ".join(f"{c} string" for c in queries.PATTERN_FIELDS)
+    texts = [(1, "a b c d"), (2, "d c b a"), (3, None), (4, "— é"), (5, "other words"), (None, "a b c d")]
+    rows = [(i, t, *[None] * (len(queries.PATTERN_FIELDS) - 1)) for i, t in texts]
+    spark.createDataFrame(rows, f"pattern_id long, {fields}").write.parquet(str(tmp_path / "migration_patterns.parquet"))
+    got = sorted((r["pattern_id"], r["class_id"], r["group_id"], r["n_links"]) for r in queries.p1_groups(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 1, 0), (2, 1, 1, 0), (3, 3, 3, 0), (4, 4, 4, 0), (5, 5, 5, 0)]
