@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import staged
-
-MAX_ROUNDS = 10_000
+from tessera.session import dropped, staged
 
 
 def known_edges(imports: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -26,14 +24,15 @@ def roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _trimmed(edges: DataFrame) -> DataFrame:
     """The edges that may lie on a cycle: those whose ends have both an edge in and an edge out, again and again."""
     cur, n = staged(edges.select("src", "dst").filter("src <> dst").distinct(), "trim"), -1
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round but the last takes an edge away
         now = cur.count()
         if now == n or not now:
             return cur
         n = now
         into, out = cur.select(F.col("dst").alias("src")).distinct(), cur.select(F.col("src").alias("dst")).distinct()
-        cur = staged(cur.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "trim")
-    return cur
+        new = staged(cur.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "trim")
+        dropped(cur)
+        cur = new
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
@@ -46,14 +45,13 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     kind = edges.schema["src"].dataType.simpleString()
     out = spark.createDataFrame([], f"node {kind}, component {kind}")
     left = _trimmed(edges)
-    for _ in range(MAX_ROUNDS):
-        if not left.take(1):
-            return out
+    while left.take(1):  # every round takes at least the origins of the colours out
         colour = staged(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("c", F.col("node")), "colour")
         while True:
             spread = left.join(colour.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "c")
             new = staged(colour.union(spread).groupBy("node").agg(F.max("c").alias("c")), "colour")
             changed = new.join(colour.withColumnRenamed("c", "old"), "node").filter("c <> old").take(1)
+            dropped(colour)
             colour = new
             if not changed:
                 break
