@@ -109,37 +109,54 @@ def sketched(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     return classes.select("id", "words").mapInArrow(run, f"id {id_type}, words array<bigint>, reg binary, keys array<bigint>")
 
 
-def bucket_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs a < b of ids of rows (id, key) that share a key.
+def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """`rows` (id, key) of the keys that more than one row has, with `blocks`, the number of blocks of about `block` rows that the key is cut into,
+    and `mine`, the block of the row."""
+    big = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+    own = rows.join(big, key).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    return own.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def together(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs a < b of ids of rows (id, key) that share a key, once for each key they share.
 
     A bucket of n rows is cut into blocks of about `block`, and pairs of blocks are the join keys, so a bucket of any size is
     spread over tasks and none is cut short.
     """
-    big = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    own = rows.join(big, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = own.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = _blocked(rows, "key", block)
     left = own.select("key", F.col("id").alias("a"), F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)).alias("j"))
     right = own.select("key", F.col("id").alias("b"), F.col("mine").alias("j"), F.explode(F.sequence(F.lit(0), "mine")).alias("i"))
     met = left.join(right, ["key", "i", "j"]).filter((F.col("i") < F.col("j")) & (F.col("a") != F.col("b")) | (F.col("a") < F.col("b")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def bucket_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs of `together`."""
+    return together(rows, block).distinct()
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """Rows (a, b, similarity) of the pairs at or above the threshold."""
-    own = sketches.select("id", "words", "reg")
-    both = pairs.join(own.toDF("a", "words_a", "reg_a"), "a").join(own.toDF("b", "words_b", "reg_b"), "b").select("a", "b", "words_a", "words_b", "reg_a", "reg_b")
+    """Rows (a, b, similarity) of the pairs at or above the threshold. The registers of both go first; words travel for the pairs whose estimate is
+    not further below the threshold than `margin` alone."""
     id_type = pairs.schema["a"].dataType.simpleString()
 
-    def run(batches):
+    def estimate(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+            ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(len(batch), -1) for k in (4, 5))
+            keep = pa.array((joint_estimate(ra, rb, na, nb) >= threshold - margin) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    def exact(batches):
         for batch in batches:
             if not len(batch):
                 continue
             (fa, ea), (fb, eb) = _lists(batch.column(2)), _lists(batch.column(3))
             na, nb = np.diff(ea), np.diff(eb)
-            ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(len(batch), -1) for k in (4, 5))
-            keep = np.flatnonzero((joint_estimate(ra, rb, na, nb) >= threshold - margin) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9))
             at, sim = [], []
-            for i in keep.tolist():
+            for i in range(len(batch)):
                 common = len(np.intersect1d(fa[ea[i] : ea[i + 1]], fb[eb[i] : eb[i + 1]], assume_unique=True))
                 union = int(na[i] + nb[i]) - common
                 if common >= threshold * union - 1e-9:
@@ -148,33 +165,57 @@ def verified(pairs: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD
             at = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sim, pa.float64())], names=["a", "b", "similarity"])
 
-    return both.mapInArrow(run, f"a {id_type}, b {id_type}, similarity double")
+    def with_both(p: DataFrame, own: DataFrame) -> DataFrame:
+        names = own.columns[1:]
+        both = p.join(own.toDF("a", *[f"{c}_a" for c in names]), "a").join(own.toDF("b", *[f"{c}_b" for c in names]), "b")
+        return both.select("a", "b", *[f"{c}_{side}" for c in names for side in "ab"])
+
+    likely = with_both(pairs, sketches.select("id", F.size("words").alias("n"), "reg")).mapInArrow(estimate, f"a {id_type}, b {id_type}")
+    return with_both(likely, sketches.select("id", "words")).mapInArrow(exact, f"a {id_type}, b {id_type}, similarity double")
+
+
+def _with_keys(sets: DataFrame) -> DataFrame:
+    return sets.select("id", "words", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words", F.size("words")).alias("k2"))
+
+
+def _one_record(sets: DataFrame) -> DataFrame:
+    """Staged `sets` (id, words) with keys of the words, the rows of a repeated id as one, which has the words of all of them."""
+    sets = staged(_with_keys(sets), "word-sets")
+    twice = staged(sets.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated-ids")
+    if not twice.take(1):
+        return sets
+    words = sets.join(twice, "id").select("id", F.explode("words").alias("w")).distinct()
+    merged = words.groupBy("id").agg(F.array_sort(F.collect_list("w")).alias("words"))  # no more than the distinct words of a record
+    return staged(sets.join(twice, "id", "left_anti").unionByName(_with_keys(merged)), "word-sets")
 
 
 def near_duplicates(df: DataFrame, id_col: str, fields: Sequence[str], threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Membership (id, class_id) of the records in classes of equal words, and pairs (a, b, similarity) between class representatives.
 
-    A missing field has no words; a record without words or id is in no class. A class is named by its smallest id. Pairs have a < b and a share
+    A missing field has no words; a record without words or id is in no class; rows of one id are one record with the words of all. A class is named by its smallest id. Pairs have a < b and a share
     of common words of `threshold` or more; none between representatives is left out but for the banding, see `BANDS`. Other columns of `df`
     don't matter. An empty table gives empty results.
     """
-    sets = word_sets(df, id_col, fields).withColumn("k1", F.xxhash64("words")).withColumn("k2", F.xxhash64(F.lit(1), "words", F.size("words")))
-    sets = staged(sets, "word-sets")
+    sets = _one_record(word_sets(df, id_col, fields))
     heads = sets.groupBy("k1", "k2").agg(F.min("id").alias("class_id"))
     member = staged(sets.select("id", "k1", "k2").join(heads, ["k1", "k2"]).select("id", "class_id"), "classes")
-    classes = sets.select("id", "words").join(member.filter("id = class_id").select("id").distinct(), "id").dropDuplicates(["id"])
+    classes = sets.select("id", "words").join(member.filter("id = class_id").select("id"), "id")
     sketches = staged(sketched(classes, bands, rows), "sketches")
     pairs = bucket_pairs(sketches.select("id", F.explode("keys").alias("key")))
     return member, verified(pairs, sketches, threshold)
 
 
-def all_pairs(member: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of records: of one class, or of two linked classes."""
-    m1, m2 = member.toDF("a", "class_a"), member.toDF("b", "class_b")
-    inside = m1.join(m2, F.col("class_a") == F.col("class_b")).filter("a < b").select("a", "b")
+def all_pairs(member: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b), a < b, of records: of one class, or of two linked classes. Classes are cut into blocks of about `block` records that meet
+    each other, so neither a class nor a link of two large ones is one task's work."""
+    inside = together(member.select("id", F.col("class_id").alias("key")), block)
+    sizes = member.groupBy("class_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = member.join(sizes, "class_id").select("id", "class_id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine"))
     linked = pairs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
-    across = linked.join(m1, "class_a").join(m2, "class_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return inside.union(across)
+    linked = linked.join(sizes.toDF("class_a", "n_a"), "class_a").join(sizes.toDF("class_b", "n_b"), "class_b")
+    linked = linked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)))
+    across = linked.join(placed.toDF("a", "class_a", "i"), ["class_a", "i"]).join(placed.toDF("b", "class_b", "j"), ["class_b", "j"])
+    return inside.union(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def groups(member: DataFrame, pairs: DataFrame, ids: DataFrame | None = None) -> DataFrame:

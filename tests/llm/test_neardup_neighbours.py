@@ -113,3 +113,20 @@ def test_groups_have_a_row_for_every_pattern(spark, tmp_path):
     spark.createDataFrame(rows, f"pattern_id long, {fields}").write.parquet(str(tmp_path / "migration_patterns.parquet"))
     got = sorted((r["pattern_id"], r["class_id"], r["group_id"], r["n_links"]) for r in queries.p1_groups(spark, str(tmp_path)).collect())
     assert got == [(1, 1, 1, 0), (2, 1, 1, 0), (3, 3, 3, 0), (4, 4, 4, 0), (5, 5, 5, 0)]
+
+
+def test_repeated_ids_are_one_record_and_lose_no_link(spark, rows):
+    words = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, words), (1, "other " + words), (2, words + " more"), (3, "x y z"), (3, "x y z"), (None, words)], "id long, t string")
+    member, pairs = nd.near_duplicates(df, "id", ["t"])
+    assert rows(member.select("id")) == [(1,), (2,), (3,)]
+    assert rows(nd.all_pairs(member, pairs)) == [(1, 2)]
+
+
+def test_large_classes_meet_in_blocks(spark, rows):
+    member = spark.createDataFrame([(i, 0) for i in range(40)] + [(i, 100) for i in range(100, 117)] + [(500, 500)], "id long, class_id long")
+    pairs = spark.createDataFrame([(0, 100, 0.9), (100, 500, 0.8)], "a long, b long, similarity double")
+    got = rows(nd.all_pairs(member, pairs, block=5))
+    a, b = range(40), range(100, 117)
+    want = {(x, y) for c in (a, b) for x in c for y in c if x < y} | {(x, y) for x in a for y in b} | {(y, 500) for y in b}
+    assert len(got) == len(set(got)) and set(got) == want
