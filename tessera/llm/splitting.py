@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import running_sum
+from tessera.session import staged
 
 BLANKS = " \t\r\n"
 TRAILING = r"[ \t\r\n]++\z"
+PART = 512  # numbers that are summed up at a time
+DOC_PIECE = "struct<content:string,forced:boolean>"
+CODE_PIECE = "struct<content:string,start_line:int,end_line:int,forced:boolean>"
 
 
 def doc_pattern(limit: int, overlap: int) -> str:
@@ -52,72 +56,74 @@ def _tiles(content: Column, pattern: str) -> Column:
     return F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
 
 
-def _once(df: DataFrame, tiles: Column) -> DataFrame:
-    """`df` with `__tiles`, behind a generator, so that later expressions don't each run the regular expression again."""
-    return df.select("*", F.explode(F.array(tiles)).alias("__tiles"))
+def _once(df: DataFrame, value: Column, name: str = "__tiles") -> DataFrame:
+    """`df` with `value`, behind a generator, so that later expressions don't each compute it again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _previous(tiles: Column, i: Column) -> Column:
     """The two tiles before tile `i`, which counts from 0."""
-    return F.array_join(F.slice(tiles, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), "")
+    return F.concat(F.when(i > 1, F.get(tiles, i - 2)).otherwise(""), F.when(i > 0, F.get(tiles, i - 1)).otherwise(""))
+
+
+def _sums_before(values: Column) -> Column:
+    """The sum of the numbers before each number, in time that grows with the array: sums within parts of `PART`, shifted by the sums of the parts."""
+
+    def sums(xs: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("before"), F.lit(0).alias("total"))
+        return F.aggregate(xs, start, lambda s, x: F.struct(F.concat(s["before"], F.array(s["total"])).alias("before"), (s["total"] + x).alias("total")))
+
+    last = F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / PART).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda j: sums(F.slice(values, j * PART + 1, PART)))
+    return _let(parts, lambda own: _let(sums(F.transform(own, lambda p: p["total"]))["before"], lambda shift: F.flatten(F.zip_with(own, shift, lambda p, s: F.transform(p["before"], lambda b: b + s)))))
 
 
 def split_docs(docs: DataFrame, limit: int = 1000, overlap: int = 100, content_col: str = "content") -> DataFrame:
-    """`docs` with `over` (content above the limit), `forced` (a cut within a word was needed) and `pieces`, an array of strings.
+    """`docs` with `over` (content above the limit), `forced` (a cut within a word was needed) and `pieces`, an array of (content, forced).
 
     Sizes are code points. A content within the limit is its own only piece; a missing one has none, nor has a blank one. No piece is
     longer than the limit; each but the first starts with the last `overlap` characters before it, except a word of more than
     limit - overlap characters, which is a piece by itself. Pieces without their overlap give the content again, but for pieces of blanks,
-    which are dropped. Other columns stay as they are.
+    which are dropped. A piece is forced if it begins within a word. Other columns stay as they are.
     """
-    return _with_pieces(docs, content_col, F.length(content_col) > limit, doc_pattern(limit, overlap), lambda t: _doc_pieces(t, limit, overlap), _doc_forced)
+    content = F.col(content_col)
+    over = F.coalesce(F.length(content) > limit, F.lit(False))
+    out = _once(docs.withColumn("over", over), F.when(F.col("over"), _tiles(content, doc_pattern(limit, overlap))))
+    none = F.array().cast(f"array<{DOC_PIECE}>")
+    whole = F.when(F.translate(content, BLANKS, "") != "", F.array(F.struct(content.alias("content"), F.lit(False).alias("forced"))))
+    out = _once(out, F.coalesce(F.when(F.col("over"), _doc_pieces(F.col("__tiles"), limit, overlap)).otherwise(whole), none), "pieces")
+    return out.withColumn("forced", F.exists("pieces", lambda p: p["forced"])).drop("__tiles")
 
 
 def _doc_pieces(tiles: Column, limit: int, overlap: int) -> Column:
     def piece(core: Column, i: Column) -> Column:
-        back = F.when(i == 0, F.lit("")).otherwise(F.right(_previous(tiles, i), F.lit(overlap)))
-        return F.when(F.length(core) > limit - overlap, core).otherwise(F.concat(back, core))
+        before = _previous(tiles, i)
+        back = F.when(F.length(core) > limit - overlap, F.lit("")).otherwise(F.right(before, F.lit(overlap)))
+        inside = (i > 0) & ~before.rlike(r"[ \t\r\n]\z") & ~core.rlike(r"\A[ \t\r\n]")
+        return F.struct(F.concat(back, core).alias("content"), inside.alias("forced"))
 
     kept = F.filter(F.transform(tiles, lambda c, i: F.struct(c.alias("core"), i.alias("i"))), lambda x: F.translate(x["core"], BLANKS, "") != "")
     return F.transform(kept, lambda x: piece(x["core"], x["i"]))
 
 
-def _doc_forced(tiles: Column) -> Column:
-    nexts = F.slice(tiles, F.lit(2), F.greatest(F.size(tiles) - 1, F.lit(0)))
-    inside = F.zip_with(F.slice(tiles, F.lit(1), F.size(nexts)), nexts, lambda a, b: ~a.rlike(r"[ \t\r\n]\z") & ~b.rlike(r"\A[ \t\r\n]"))
-    return F.exists(inside, lambda x: x)
-
-
-def _code_forced(tiles: Column) -> Column:
-    before = F.slice(tiles, F.lit(1), F.greatest(F.size(tiles) - 1, F.lit(0)))
-    return F.exists(before, lambda x: ~x.rlike(r"\n\z"))
-
-
-def _with_pieces(df: DataFrame, content_col: str, over: Column, pattern: str, pieces, forced) -> DataFrame:
-    over = F.coalesce(over, F.lit(False))
-    content = F.col(content_col)
-    out = _once(df.withColumn("over", over), F.when(F.col("over"), _tiles(content, pattern)))
-    tiles = F.col("__tiles")
-    whole = F.when(F.translate(content, BLANKS, "") == "", F.array().cast("array<string>")).when(content.isNull(), F.array().cast("array<string>")).otherwise(F.array(content))
-    made = pieces(tiles)
-    return out.withColumn("forced", F.when(F.col("over"), forced(tiles)).otherwise(False)).withColumn("pieces", F.when(F.col("over"), made).otherwise(whole)).drop("__tiles")
-
-
 def split_code(chunks: DataFrame, limit: int = 1200, reserve: int = 200, overlap_lines: int = 2, content_col: str = "content", start_col: str = "start_line") -> DataFrame:
-    """`chunks` with `over`, `forced` (a cut within a line was needed) and `pieces`, an array of (content, start_line, end_line).
+    """`chunks` with `over`, `forced` (a cut within a line was needed) and `pieces`, an array of (content, start_line, end_line, forced).
 
     Sizes are characters that are not space, tab or line break. A piece ends at blank lines or a line end where there is one within
     limit - reserve, or else within the limit, else at a blank, else anywhere. It starts with the `overlap_lines` lines before it, or fewer, as they fit; a
     piece that starts within a line has no overlap. Lines are counted from `start_col` (missing: the piece's lines are missing). A
-    content within the limit is one piece without its trailing line breaks; a missing or blank one has none.
+    content within the limit is one piece without its trailing line breaks; a missing or blank one has none. A piece is forced if it begins within
+    a line. The work grows with the content: a file of megabytes in one row is cut in seconds.
     """
     content = F.col(content_col)
     over = F.coalesce(F.length(F.translate(content, BLANKS, "")) > limit, F.lit(False))
     out = _once(chunks.withColumn("over", over), F.when(F.col("over"), _tiles(content, code_pattern(limit, reserve))))
+    out = _once(out, _sums_before(F.transform("__tiles", _breaks)), "__at")
     trimmed = F.regexp_replace(content, TRAILING, "")
-    whole = F.when(F.translate(content, BLANKS, "") != "", F.array(_piece(trimmed, F.col(start_col))))
-    made = F.when(F.col("over"), _code_pieces(F.col("__tiles"), F.col(start_col), limit, overlap_lines)).otherwise(whole)
-    return out.withColumn("forced", F.when(F.col("over"), _code_forced(F.col("__tiles"))).otherwise(False)).withColumn("pieces", F.coalesce(made, F.array().cast("array<struct<content:string,start_line:int,end_line:int>>"))).drop("__tiles")
+    whole = F.when(F.translate(content, BLANKS, "") != "", F.array(_piece(trimmed, F.col(start_col), F.lit(False))))
+    made = F.when(F.col("over"), _code_pieces(F.col("__tiles"), F.col("__at"), F.col(start_col), limit, overlap_lines)).otherwise(whole)
+    out = _once(out, F.coalesce(made, F.array().cast(f"array<{CODE_PIECE}>")), "pieces")
+    return out.withColumn("forced", F.exists("pieces", lambda p: p["forced"])).drop("__tiles", "__at")
 
 
 def _let(value: Column, use) -> Column:
@@ -129,14 +135,12 @@ def _breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "\n", ""))
 
 
-def _piece(content: Column, first: Column) -> Column:
-    return F.struct(content.alias("content"), first.cast("int").alias("start_line"), (first + _breaks(content)).cast("int").alias("end_line"))
+def _piece(content: Column, first: Column, forced: Column) -> Column:
+    return F.struct(content.alias("content"), first.cast("int").alias("start_line"), (first + _breaks(content)).cast("int").alias("end_line"), forced.alias("forced"))
 
 
-def _code_pieces(tiles: Column, start: Column, limit: int, overlap_lines: int) -> Column:
-    lines_before = F.transform(F.sequence(F.lit(0), F.greatest(F.size(tiles) - 1, F.lit(0))), lambda i: F.aggregate(F.slice(F.transform(tiles, _breaks), F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    both = F.arrays_zip(tiles.alias("core"), lines_before.alias("at"))
-    both = F.transform(both, lambda x, i: F.struct(x["core"].alias("core"), x["at"].alias("at"), i.alias("i")))
+def _code_pieces(tiles: Column, at: Column, start: Column, limit: int, overlap_lines: int) -> Column:
+    both = F.transform(tiles, lambda c, i: F.struct(c.alias("core"), F.get(at, i).alias("at"), i.alias("i")))
     kept = F.filter(both, lambda x: F.translate(x["core"], BLANKS, "") != "")
 
     def solid(t: Column) -> Column:
@@ -148,9 +152,12 @@ def _code_pieces(tiles: Column, start: Column, limit: int, overlap_lines: int) -
         return F.filter(backs, lambda b: solid(b) <= room)
 
     def piece(x: Column) -> Column:
-        prev = F.when(x["i"] == 0, F.lit("")).otherwise(_previous(tiles, x["i"]))
-        back = F.try_element_at(F.filter(fitting(prev, x["core"]), lambda b: b != ""), F.lit(1))
-        return _let(F.coalesce(back, F.lit("")), lambda b: _let(F.regexp_replace(F.concat(b, x["core"]), TRAILING, ""), lambda c: _piece(c, start + x["at"] - _breaks(b))))
+        def cut(prev: Column) -> Column:
+            back = F.try_element_at(F.filter(fitting(prev, x["core"]), lambda b: b != ""), F.lit(1))
+            inside = (x["i"] > 0) & ~prev.rlike(r"\n\z")
+            return _let(F.coalesce(back, F.lit("")), lambda b: _let(F.regexp_replace(F.concat(b, x["core"]), TRAILING, ""), lambda c: _piece(c, start + x["at"] - _breaks(b), inside)))
+
+        return _let(_previous(tiles, x["i"]), cut)
 
     return F.transform(kept, piece)
 
@@ -160,11 +167,11 @@ def doc_pieces(docs: DataFrame, limit: int = 1000, overlap: int = 100) -> DataFr
     document in the order of the old one (missing ones first, then by doc_chunk_id). Rows are numbered by running sums, so a document
     of any size is spread over tasks."""
     own = docs.select("doc_chunk_id", "file_path", "title", "source", "chunk_index", "content", F.monotonically_increasing_id().alias("__row"))
-    made = split_docs(own, limit, overlap)
+    made = staged(split_docs(own, limit, overlap).drop("content"), "doc-pieces")  # the row numbers and the pieces of one reading
     sizes = made.select("file_path", "chunk_index", "doc_chunk_id", "__row", F.size("pieces").cast("bigint").alias("n"))
     ends = running_sum(sizes, "file_path", ["chunk_index", "doc_chunk_id", "__row"], "n").select("__row", "n", "upto")
     rows = made.join(ends, "__row").select("doc_chunk_id", "file_path", "title", "source", (F.col("upto") - F.col("n")).alias("first"), F.posexplode("pieces").alias("pos", "piece"))
-    return rows.select("doc_chunk_id", "file_path", "title", "source", (F.col("first") + F.col("pos")).cast("int").alias("chunk_index"), F.col("piece").alias("content"))
+    return rows.select("doc_chunk_id", "file_path", "title", "source", (F.col("first") + F.col("pos")).cast("int").alias("chunk_index"), F.col("piece.content").alias("content"))
 
 
 def code_pieces(chunks: DataFrame, limit: int = 1200) -> DataFrame:
@@ -175,7 +182,7 @@ def code_pieces(chunks: DataFrame, limit: int = 1200) -> DataFrame:
 
 
 def found(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Rows (tab, rec_id, cut) of contents that were cut: 'forced' if a cut was needed where there is no boundary, else 'natural'."""
+    """Rows (tab, rec_id, cut) of contents that were cut: 'forced' if a piece begins where there is no boundary, else 'natural'."""
     cut = F.when(F.col("forced"), "forced").otherwise("natural").alias("cut")
     d = split_docs(docs).filter("over").select(F.lit("doc_chunks").alias("tab"), F.col("doc_chunk_id").alias("rec_id"), cut)
     c = split_code(chunks).filter("over").select(F.lit("code_chunks").alias("tab"), F.col("chunk_id").alias("rec_id"), cut)
