@@ -15,9 +15,10 @@ from tessera.session import staged
 
 
 def token_sizes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", folder: str | None = None) -> DataFrame:
-    """Rows (row_no, doc_id, source, n_tokens), one for each document, whatever repeats or is missing."""
+    """Rows (row_no, doc_id, source, mark, n_tokens), one for each document, whatever repeats or is missing. `mark` is a hash of the text; `row_no`
+    tells rows apart, is another one in every run, and decides nothing but which of entirely equal rows comes first."""
     own = staged(documents.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "mix-input")
-    return own.drop("text").join(encode_corpus(own, "row_no", "text", folder=folder, counts=True), "row_no")
+    return own.select("row_no", "doc_id", "source", F.xxhash64("text").alias("mark")).join(encode_corpus(own, "row_no", "text", folder=folder, counts=True), "row_no")
 
 
 def _targets(targets: DataFrame) -> DataFrame:
@@ -55,8 +56,9 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
 def running(sizes: DataFrame, seed: int = 7) -> DataFrame:
     """Sizes with `upto`, the tokens of the source up to and with the document in random order; no source is gathered in one task."""
-    keyed = sizes.filter(F.col("source").isNotNull() & (F.col("n_tokens") > 0)).select("row_no", "doc_id", "source", "n_tokens", F.xxhash64(F.lit(seed), "doc_id", "row_no").alias("key"))
-    return running_sum(keyed, "source", ["key", "row_no"], "n_tokens").drop("key")
+    used = sizes.filter(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
+    keyed = used.select("row_no", "doc_id", "source", "n_tokens", F.xxhash64(F.lit(seed), "doc_id", "source", "mark").alias("key"), "mark")
+    return running_sum(keyed, "source", ["key", "doc_id", "mark", "row_no"], "n_tokens").drop("key", "mark")
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +66,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
     A source is used in whole passes while its budget lasts; in the last pass, documents in random order up to the one nearest to the
     budget. No document is used more often than max_repeats (missing: once). Documents of no target source and documents without
-    tokens are not used; targets without documents are reported with 0. The order depends on the seed and the rows alone. The report:
+    tokens are not used; targets without documents are reported with 0. The order depends on the seed, doc_id, source and text alone, not on how the rows
+    are stored or partitioned. The report:
     (source, weight, max_repeats, n_docs, available_tokens, budget, used_docs, used_tokens, share).
     """
     sizes = staged(token_sizes(documents, folder=folder), "mix-sizes")

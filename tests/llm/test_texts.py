@@ -37,6 +37,13 @@ def test_mix_meets_shares(spark):
     assert mixing.mix(df.limit(0), targets)[0].count() == 0
 
 
+def test_mix_depends_on_rows_alone(spark):
+    rows = [(i % 90, f"text number {i % 97} " * (1 + i % 7), "ab"[i % 2]) for i in range(300)] + [(5, "same", "a")] * 4
+    targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 1)], "source string, weight double, max_repeats int")
+    one, two = (mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n), targets)[0].collect() for n in (2, 7))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and one
+
+
 def test_doc_splitting(spark):
     rng = random.Random(2)
     words = lambda n: " ".join("x" * rng.randint(1, 12) for _ in range(n))
@@ -47,11 +54,12 @@ def test_doc_splitting(spark):
         over = t is not None and len(t) > 1000
         r = out[i]
         assert r["over"] == over and r["forced"] == bool(over and re.search(r"[^ \t\r\n]{1001}", t)), i
-        assert all(0 < len(p) <= 1000 and p.strip() for p in r["pieces"])
+        pieces = [p["content"] for p in r["pieces"]]
+        assert all(0 < len(p) <= 1000 and p.strip() for p in pieces)
         if t and t.strip():
-            assert "".join("".join(r["pieces"]).split()).startswith("".join(t.split())[:50])
+            assert "".join("".join(pieces).split()).startswith("".join(t.split())[:50])
             at = 0  # every piece stands in the text, overlapping or meeting the one before
-            for p in r["pieces"]:
+            for p in pieces:
                 k = t.rfind(p, 0, at + len(p))
                 k = k if k >= 0 and k + len(p) > at else t.find(p, at)
                 assert k >= 0 and (k <= at or not t[at:k].strip())
@@ -79,6 +87,18 @@ def test_code_splitting(spark):
     assert got == [(0, 3), (1, 2), (2, 1), (3, 1), (4, 1)][: len(got)] and len(got) >= 4
 
 
+def test_code_of_megabytes_in_one_row(spark):
+    """The work grows with the content: four million characters in one row."""
+    text = "".join(f"    value_{i} = call({i}, other)\n" for i in range(110_000))
+    df = spark.createDataFrame([(1, text, 11)], "chunk_id long, content string, start_line int")
+    pieces = splitting.split_code(df).first()["pieces"]
+    assert pieces[0]["start_line"] == 11 and pieces[-1]["end_line"] == 110_010 and not any(p["forced"] for p in pieces)
+    lines, last = text.split("\n"), 10
+    for p in pieces:
+        assert p["start_line"] <= last + 1 <= p["end_line"] and lines[p["end_line"] - 11] == p["content"].rsplit("\n", 1)[-1]
+        last = p["end_line"]
+
+
 def brute(texts, least):
     where = {}
     for i, t in texts.items():
