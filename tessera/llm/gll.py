@@ -232,7 +232,8 @@ class Grammar:
         """The kind of a group with this content.
 
         `sequences`: rules that are repetitions, with what cuts contents into their parts. `lists`: rules that derive any elements between
-        commas, also one after the last, with the rule of the elements. Parts of long contents are recognised one by one first.
+        commas, also one after the last, with the rule of the elements: parts are recognised one by one first, which is the same for contents of any
+        length and quicker for long ones.
         """
         key = (bracket, content)
         kind = self.masks.get(key)
@@ -243,7 +244,7 @@ class Grammar:
                 if cut:
                     parts = all(self.derives(rule, part) for part in cut(content))
                 else:
-                    parts = element is not None and len(content) > 24 and all(self.derives(element, part) for part in self._elements(content))
+                    parts = element is not None and bool(content) and all(self.derives(element, part) for part in self._elements(content))
                 if parts or self.derives(rule, content):
                     mask |= 1 << i
                     own |= self._bit["g", (bracket, rule)]

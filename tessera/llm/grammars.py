@@ -15,7 +15,8 @@ ImportNames = ID ('as' ID)? (',' ID ('as' ID)?)* ;
 ImportList = ImportNames ','? ;
 Names = ID (',' ID)* ;
 Dotted = ID ('.' ID)* ;
-Assign = (Targets '=')+ (Star | Yield) | Target AugOp (Star | Yield) | Target ':' Expr ('=' (Star | Yield))? ;
+Assign = (Targets '=')+ (Star | Yield) | OneTarget AugOp (Star | Yield) | OneTarget ':' Expr ('=' (Star | Yield))? ;
+OneTarget = ID | Primary '.' ID | Primary @[Index] | @(OneTarget) ;
 AugOp = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**=' ;
 Targets = SElem (',' SElem)* ','? ;
 SElem = '*'? Target ;
@@ -24,8 +25,11 @@ TargetGroup = Targets? ;
 TargetList = Targets? ;
 DelTarget = ID | Primary '.' ID | Primary @[Index] | @(TargetGroup) | @[TargetList] ;
 Yield = 'yield' ('from' Expr | Star?) ;
-Star = StarItem (',' StarItem)* ','? ;
+Star = StarOne (',' StarOne)* ','? ;
+StarOne = '*' Bit | Expr ;
+StarNamed = StarItem (',' StarItem)* ','? ;
 StarItem = '*' Bit | Named ;
+OneOrMore = Named | StarItem ',' (StarItem (',' StarItem)* ','?)? ;
 Named = (ID ':=')? Expr ;
 Expr = Or ('if' Or 'else' Expr)? | 'lambda' LParams ':' Expr ;
 Or = Not (('and' | 'or') Not)* ;
@@ -37,24 +41,32 @@ Unary = ('+' | '-' | '~~')* 'await'? Primary ;
 Primary = Atom Trailer* ;
 Trailer = '.' ID | @(Args) | @[Index] ;
 Atom = ID | NUM | STR+ | 'None' | 'True' | 'False' | '...' | @(Paren) | @[ListBody] | @{DictBody} ;
-Paren = (Star | Yield | Comp)? ;
-ListBody = (Star | Comp)? ;
+Paren = (OneOrMore | Yield | Comp)? ;
+ListBody = (StarNamed | Comp)? ;
 Comp = Named CompFor ;
-CompFor = ('async'? 'for' Targets 'in' Or ('if' Cond)*)+ ;
-Cond = Or | ID ':=' Expr ;
-DictBody = (Item (',' Item)* ','? | Star | Comp | Expr ':' Expr CompFor)? ;
+CompFor = ('async'? 'for' Targets 'in' Or ('if' Or)*)+ ;
+DictBody = (Item (',' Item)* ','? | StarNamed | Comp | Expr ':' Expr CompFor)? ;
 Item = Expr ':' Expr | '**' Bit ;
 Args = (PosArgs (',' KeyArgs)? ','? | KeyArgs ','? | Comp)? ;
 PosArgs = PosArg (',' PosArg)* ;
 PosArg = Named | '*' Expr ;
-KeyArgs = KeyArg (',' KeyArg)* ;
-KeyArg = ID '=' Expr | '*' Expr | '**' Expr ;
+KeyArgs = KeyOrStar (',' KeyOrStar)* (',' KeyOrMap)* | KeyOrMap (',' KeyOrMap)* ;
+KeyOrStar = ID '=' Expr | '*' Expr ;
+KeyOrMap = ID '=' Expr | '**' Expr ;
 Index = Slice (',' Slice)* ','? ;
 Slice = Named | '*' Bit | Expr? ':' Expr? (':' Expr?)? ;
-LParams = (LParam (',' LParam)* ','?)? ;
-LParam = ID ('=' Expr)? | '*' ID? | '**' ID | '/' ;
-Params = (Param (',' Param)* ','?)? ;
-Param = ID (':' Expr)? ('=' Expr)? | '*' (ID (':' '*'? Expr)?)? | '**' ID (':' Expr)? | '/' ;
+LParams = (LFront (',' LBack)? ','? | LBack ','?)? ;
+LFront = LSet | LBare (',' LBare)* ',' '/' (',' LSet)? | (LBare ',')* LDefault (',' LDefault)* ',' '/' (',' LDefault)* ;
+LSet = LBare (',' LBare)* (',' LDefault)* | LDefault (',' LDefault)* ;
+LBare = ID ;
+LDefault = ID '=' Expr ;
+LBack = '*' ID (',' (LBare | LDefault))* (',' '**' ID)? | '*' (',' (LBare | LDefault))+ (',' '**' ID)? | '**' ID ;
+Params = (Front (',' Back)? ','? | Back ','?)? ;
+Front = ParamSet | Bare (',' Bare)* ',' '/' (',' ParamSet)? | (Bare ',')* Default (',' Default)* ',' '/' (',' Default)* ;
+ParamSet = Bare (',' Bare)* (',' Default)* | Default (',' Default)* ;
+Bare = ID (':' Expr)? ;
+Default = ID (':' Expr)? '=' Expr ;
+Back = '*' ID (':' '*'? Expr)? (',' (Bare | Default))* (',' '**' ID (':' Expr)?)? | '*' (',' (Bare | Default))+ (',' '**' ID (':' Expr)?)? | '**' ID (':' Expr)? ;
 TypeParams = TypeParam (',' TypeParam)* ','? ;
 TypeParam = ('*' | '**')? ID (':' Expr)? ('=' Expr)? ;
 IfHead = 'if' Named ':' ;
@@ -63,16 +75,16 @@ ElseHead = 'else' ':' ;
 WhileHead = 'while' Named ':' ;
 ForHead = 'async'? 'for' Targets 'in' Star ':' ;
 TryHead = 'try' ':' ;
-ExceptHead = 'except' (Star ('as' ID)?)? ':' ;
-GroupHead = 'except' '*' Star ('as' ID)? ':' ;
+ExceptHead = 'except' (Expr ('as' ID)?)? ':' ;
+GroupHead = 'except' '*' Expr ('as' ID)? ':' ;
 FinallyHead = 'finally' ':' ;
 WithHead = 'async'? 'with' (WithItem (',' WithItem)* | @(WithItems)) ':' ;
 WithItems = WithItem (',' WithItem)* ','? ;
 WithItem = Expr ('as' '*'? Target)? ;
-DefHead = 'async'? 'def' ID @[TypeParams]? @(Params) ('->' Star)? ':' ;
+DefHead = 'async'? 'def' ID @[TypeParams]? @(Params) ('->' Expr)? ':' ;
 ClassHead = 'class' ID @[TypeParams]? @(Args)? ':' ;
 Decorator = '@' Named ;
-MatchHead = 'match' Star ':' ;
+MatchHead = 'match' OneOrMore ':' ;
 CaseHead = 'case' Patterns ('if' Named)? ':' ;
 Patterns = Pattern (',' Pattern)* ','? ;
 Pattern = ('*' ID | Closed ('|' Closed)*) ('as' ID)? ;
@@ -302,7 +314,8 @@ Ordering = Expr ('ascending' | 'descending')? ;
 
 TYPESCRIPT_RESERVED = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with"
 
-#: TypeScript, JavaScript and the declarations of both; `~` is a line end that ends a statement.
+#: TypeScript, JavaScript, the declarations of both, and the elements of their dialect with markup; `~` is a line end that ends a statement.
+#: Kinds that begin with `<` or end with `>` come from the lexer of that dialect alone.
 TYPESCRIPT = """
 File = Block ;
 Block = Stmt* ;
@@ -368,7 +381,13 @@ Bin = Unary (BinOp Unary | ('as' | 'satisfies') ('const' | Type))* ;
 BinOp = '??' | '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' | '**' | 'in' | 'instanceof' ;
 Unary = ('+' | '-' | '!' | '~~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await') Unary | TArgs Unary | Primary ('++' | '--')? ;
 Primary = Atom Suffix* ;
-Atom = ID | LIT | 'this' | 'super' | @(Group) | @[Elements] | @{ObjLit} | 'new' NewTail | 'async'? 'function' '*'? ID? TParams? @(Params) (':' Type)? @{Block} | Class | 'import' (@(Args) | '.' ID) | '#' ID ;
+Atom = ID | LIT | 'this' | 'super' | @(Group) | @[Elements] | @{ObjLit} | 'new' NewTail | 'async'? 'function' '*'? ID? TParams? @(Params) (':' Type)? @{Block} | Class | 'import' (@(Args) | '.' ID) | '#' ID | @#Element# ;
+Element = '<tag' Attr* ('/>' | '<open' Child* '</tag') | '<frag' Child* '</tag' ;
+Attr = '<name' ('=' ('<str' | @{Embedded} | @#Element#))? | @{Spread} ;
+Child = '<text' | @{Filling} | @#Element# ;
+Embedded = Expr ;
+Spread = '...' Assign ;
+Filling = ('...'? Expr)? ;
 NewTail = 'new' NewTail | '.' ID | Atom NewSuffix* TArgs? @(Args)? ;
 NewSuffix = '.' (ID | Word | '#' ID) | @[Index] | '!' ;
 Group = Expr ;

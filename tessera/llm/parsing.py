@@ -31,18 +31,19 @@ def files(chunks: DataFrame) -> DataFrame:
     A file's source is the content of its chunks, one for each start_line (of redelivered ones the smallest chunk_id), at its line, with
     empty lines between. Its language and repo are those of most of its rows, the language without regard to case and blanks around it, or by
     the extension if all are missing. `valid` is missing for languages without a grammar. Rows without path, start_line or content add nothing.
+    Of a gap between chunks no more than two empty lines are held, which parse as any number does.
     """
     own = chunks.select("file_path", "start_line", "chunk_id", "repo", language_of(F.col("language")).alias("language"), "content")
     own = own.filter("file_path is not null and start_line is not null and content is not null")
     placed = own.repartition("file_path").sortWithinPartitions("file_path", "start_line", "chunk_id")
 
     def run(batches):
-        path, lines, langs, repos, last, out = None, [], Counter(), Counter(), None, []
+        path, lines, count, langs, repos, last, out = None, [], 0, Counter(), Counter(), None, []
 
         def done():
             ext = path[path.rfind(".") :].lower() if "." in path else ""
             lang = _most(langs) or EXTENSIONS.get(ext)
-            out.append((path, _most(repos), lang, len(lines), valid(lang, "\n".join(lines))))
+            out.append((path, _most(repos), lang, count, valid(lang, "\n".join(lines))))
 
         def flush():
             cols = list(zip(*out)) if out else [()] * 5
@@ -54,15 +55,18 @@ def files(chunks: DataFrame) -> DataFrame:
                 if p != path:
                     if path is not None:
                         done()
-                    path, lines, langs, repos, last = p, [], Counter(), Counter(), None
+                    path, lines, count, langs, repos, last = p, [], 0, Counter(), Counter(), None
                 if lang:
                     langs[lang] += 1
                 if repo:
                     repos[repo] += 1
                 if start != last:
                     last = start
-                    lines.extend([""] * (start - 1 - len(lines)))
-                    lines.extend(content.split("\n"))
+                    gap = max(start - 1 - count, 0)
+                    own = content.split("\n")
+                    lines.extend([""] * min(gap, 2))
+                    lines.extend(own)
+                    count += gap + len(own)
             if len(out) > 1000:
                 yield flush()
         if path is not None:

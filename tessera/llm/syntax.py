@@ -11,13 +11,14 @@ from tessera.llm.gll import BRACKETS, GROUP, NEWLINE, Grammar
 LANGUAGES = {"python": "python", "java": "java", "csharp": "csharp", "c#": "csharp", "typescript": "typescript", "javascript": "typescript", "tsx": "typescript", "jsx": "typescript"}
 EXTENSIONS = {".py": "python", ".java": "java", ".cs": "csharp", ".ts": "typescript", ".tsx": "typescript", ".js": "typescript", ".jsx": "typescript"}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
+_CLOSE_OF = {-1: "(", -2: "[", -3: "{"}
 _ERROR = (1 << 28) - 1  # a kind that no terminal matches
 _PATH = re.compile(r"\s*[^\W\d]\w*(?:\.[^\W\d]\w*)*\s*\Z")
 
 _OPEN, _SHUT, _BAD, _BREAK = {"(": -1, "[": -2, "{": -3}, {")": -4, "]": -5, "}": -6}, -7, -8
 _KEPT = 200_000
 #: Rules of the grammars that are elements between commas.
-_PYTHON_LISTS = {"ListBody": "StarItem", "Index": "Slice", "PatGroup": "Pattern", "Args": "Named", "DictBody": "Item", "Paren": "StarItem"}
+_PYTHON_LISTS = {"ListBody": "StarItem", "Index": "Slice", "PatGroup": "Pattern", "Args": "Named", "DictBody": "Item", "Paren": "Named"}
 _LISTS = {
     "java": {"ArrayInit": "VarInit", "AnnArray": "AnnVal"},
     "csharp": {"ArrayInit": "VarInit", "Init": "InitItem", "Elements": "Expr"},
@@ -50,21 +51,25 @@ _HEADS = [h for h in g.PYTHON_LINES if h not in ("Line", "Decorator", "MatchHead
 _LINES = [*g.PYTHON_LINES, *(h + "1" for h in _HEADS)]
 _INT = r"(?:[1-9](?:_?\d)*|0(?:_?0)*)"
 _DIGITS = r"\d(?:_?\d)*"
-_FIELD = r"\{[^{}\n]*(?:\{[^{}\n]*\}[^{}\n]*)*\}"
+_PY_NUMBER = rf"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:{_DIGITS})?\.{_DIGITS}(?:[eE][-+]?{_DIGITS})?[jJ]?|{_DIGITS}\.(?:[eE][-+]?{_DIGITS})?[jJ]?|{_DIGITS}[eE][-+]?{_DIGITS}[jJ]?|{_DIGITS}[jJ]|{_INT})"
+_FIELD = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
 _PY = re.compile(
     rf"""(?:[ \t\f]|\\\r?\n|\#[^\n]*)*+(
     \r?\n[ \t\f]*
-  | (?:[rR]?[fFtT]|[fFtT][rR])(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"(?:[^"\\\n{{]|\\N\{{[^}}\n]*\}}|\\.|\{{\{{|{_FIELD})*"|'(?:[^'\\\n{{]|\\N\{{[^}}\n]*\}}|\\.|\{{\{{|{_FIELD})*')
-  | (?:[rR][bB]?|[bB][rR]?|[uU])?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
+  | (?:[rR]?[fFtT]|[fFtT][rR])(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|\'\'\'(?:[^\\]|\\.)*?\'\'\'|(?!\"\"\"|\'\'\')(?:"(?:[^"\\\n{{]|\\N\{{[^}}\n]*\}}|\\.|\{{\{{|{_FIELD})*"|'(?:[^'\\\n{{]|\\N\{{[^}}\n]*\}}|\\.|\{{\{{|{_FIELD})*'))
+  | (?:[rR][bB]?|[bB][rR]?|[uU])?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|\'\'\'(?:[^\\]|\\.)*?\'\'\'|(?!\"\"\"|\'\'\')(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'))
   | [^\W\d]\w*
-  | (?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:{_DIGITS})?\.{_DIGITS}(?:[eE][-+]?{_DIGITS})?[jJ]?|{_DIGITS}\.(?:[eE][-+]?{_DIGITS})?[jJ]?|{_DIGITS}[eE][-+]?{_DIGITS}[jJ]?|{_DIGITS}[jJ]|{_INT})(?![\w"'])
+  | {_PY_NUMBER}(?![\w"']|(?<=\d)\.[^\W\d])
   | \*\*=|//=|>>=|<<=|\.\.\.|->|:=|[-+*/%&|^@=<>!]=|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{{}},:;.=]
-  | .
+  | \d\w*\.?\w*|.
     )""",
     re.X | re.S,
 )
+_NUMBER_ONLY = re.compile(_PY_NUMBER)
 _BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?![0-9a-fA-F]{8})|N(?!\{))")
-_EASY_FIELDS = re.compile(r"(?:[^{}]|\{\{|\}\}|\{\s*[^\W\d]\w*(?:\.[^\W\d]\w*)*\s*=?(?:![rsa])?(?::[^{}]*)?\})*\Z")
+_NAME = rf"(?!(?:{'|'.join(w for w in g.PYTHON_RESERVED.split() if w.islower())})\b)[^\W\d]\w*"
+_PY_PATH = re.compile(rf"\s*{_NAME}(?:\.{_NAME})*\s*\Z")
+_EASY_FIELDS = re.compile(rf"(?:[^{{}}]|\{{\{{|\}}\}}|\{{\s*{_NAME}(?:\.{_NAME})*\s*=?(?:![rsa])?(?::[^{{}}]*)?\}})*\Z")
 
 
 @functools.cache
@@ -160,7 +165,7 @@ def _fields_ok(body: str, depth: int = 0) -> bool:
             if j >= n:
                 return False
             expr = re.sub(r"(?:(?<![=!<>])=)?\s*(?:![rsa])?\s*\Z", "", body[i + 1 : colon or j])
-            if not _PATH.match(expr) and not python_expression(expr):
+            if not _PY_PATH.match(expr) and not python_expression(expr):
                 return False
             if colon and "{" in body[colon:j] and not _fields_ok(body[colon + 1 : j], depth + 1):
                 return False
@@ -181,7 +186,7 @@ def _python_literal(text: str, grammar: Grammar) -> int:
     if c.isalpha() or c == "_":
         return grammar.identifier
     if c.isdigit() or c == "." and len(text) > 1:
-        return grammar.kinds["NUM"] if len(text) > 1 or text in "0123456789" and not text.isalpha() else _BAD
+        return grammar.kinds["NUM"] if _NUMBER_ONLY.fullmatch(text) else _BAD
     return _BREAK if "\n" in text else _BAD
 
 
@@ -389,13 +394,141 @@ def _holes_ok(language: str, text: str) -> bool:
     return True
 
 
+_MARKUP = re.compile(r"(?=[A-Za-z_$>])(?![A-Za-z_$][\w$]*\s*(?:,|extends\b))")
+_TAG_NAME = re.compile(r"\s*([A-Za-z_$][\w$.:\-]*)?\s*")
+_IN_TAG = re.compile(r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/)*([A-Za-z_$][\w$:\-]*|\"[^\"]*\"|'[^']*'|/\s*>|[\s\S])")
+_TAG_END = re.compile(r"<\s*/\s*([A-Za-z_$][\w$.:\-]*)?\s*>")
+_TEXT_RUN = re.compile(r"[^<>{}]+")
+#: Words after which an operand follows, so that `<` begins an element.
+_OPERAND_FOLLOWS = frozenset("return case default typeof void delete await yield throw else do in of instanceof new extends as".split())
+
+
+def _folded_markup(src: str) -> list[int] | None:
+    """As `_folded`, for the dialect with elements: where an operand may stand, `<` and a name or `>` begin one. An element is a group; its
+    tags must match, in its texts braces hold expressions."""
+    grammar, sequences = _braces("typescript")
+    kinds, lex, lists, own = _braces_kinds("typescript"), _LEX["typescript"], _LISTS["typescript"], grammar.kinds
+    cur, stack, newline, at, value, mode = [], [], 0, 0, False, "code"  # the stack holds (bracket, tokens outside, flag, mode outside, name)
+
+    def close(bracket: str) -> None:
+        nonlocal cur, mode, value
+        _, outer, flag, mode, _ = stack.pop()
+        outer.append(grammar.group(bracket, tuple(cur), sequences, lists) | flag)
+        cur, value = outer, True
+
+    while True:
+        if mode == "code":
+            m = lex.match(src, at)
+            if not m:
+                break
+            text, at = m[1], m.end()
+            if text == "<" and not value and _MARKUP.match(src, at):
+                stack.append(["#", cur, newline, mode, None])
+                cur, newline, mode = [], 0, "name"
+                continue
+            kind = kinds[text]
+            if kind >= 0:
+                cur.append(kind | newline)
+                value = text[0] in "\"'`/$_" and len(text) > 1 or text[0].isalnum() and text not in _OPERAND_FOLLOWS or text[0] in "_$"
+            elif kind >= -3:
+                stack.append([_CLOSE_OF[kind], cur, newline, mode, None])
+                cur, value = [], False
+            elif kind >= -6:
+                if not stack or stack[-1][0] != _CLOSE[text]:
+                    return None
+                close(_CLOSE[text])
+            elif kind == _BREAK:
+                newline = NEWLINE
+                continue
+            else:
+                return None
+            newline = 0
+        elif mode == "name":
+            m = _TAG_NAME.match(src, at)
+            at, name = m.end(), m[1] or ""
+            stack[-1][4] = name
+            if name and src[at : at + 1] == "<":  # arguments of types
+                depth, end = 0, at
+                while end < len(src):
+                    depth += (src[end] == "<") - (src[end] == ">" and src[end - 1] != "=")
+                    end += 1
+                    if not depth:
+                        break
+                types = _folded("typescript", src[at:end])
+                if depth or types is None or not grammar.derives("TArgs", tuple(types)):
+                    return None
+                at = end
+            if not name:
+                if src[at : at + 1] != ">":
+                    return None
+                at += 1
+            cur.append(own["<tag"] if name else own["<frag"])
+            mode = "tag" if name else "texts"
+        elif mode == "tag":
+            m = _IN_TAG.match(src, at)
+            if not m:
+                return None
+            text, at = m[1], m.end()
+            if text == "{":
+                stack.append(["{", cur, 0, mode, None])
+                cur, mode, value = [], "code", False
+            elif text == "<":
+                stack.append(["#", cur, 0, mode, None])
+                cur, mode = [], "name"
+            elif text == ">":
+                cur.append(own["<open"])
+                mode = "texts"
+            elif text[0] == "/" and len(text) > 1:
+                cur.append(own["/>"])
+                close("#")
+            elif text == "=":
+                cur.append(own["="])
+            elif len(text) > 1 and text[0] in "\"'":
+                cur.append(own["<str"])
+            elif text[0].isalpha() or text[0] in "_$":
+                cur.append(own["<name"])
+            else:
+                return None
+        else:
+            c = src[at : at + 1]
+            if c == "{":
+                stack.append(["{", cur, 0, mode, None])
+                cur, mode, value, at = [], "code", False, at + 1
+            elif c == "<":
+                m = _TAG_END.match(src, at)
+                if m:
+                    if (m[1] or "") != stack[-1][4]:
+                        return None
+                    at = m.end()
+                    cur.append(own["</tag"])
+                    close("#")
+                else:
+                    stack.append(["#", cur, 0, mode, None])
+                    cur, mode, at = [], "name", at + 1
+            else:
+                m = _TEXT_RUN.match(src, at)
+                if not m:
+                    return None
+                at = m.end()
+                cur.append(own["<text"])
+    return None if stack else cur
+
+
 def braces_valid(language: str, src: str) -> bool:
+    """Whether any dialect of the language accepts the source."""
     grammar, sequences = _braces(language)
     grammar.match.setdefault(_ERROR, 0)
-    kinds = _folded(language, src.removeprefix("\ufeff"))
-    if kinds is None:
+    src = src.removeprefix("\ufeff")
+    kinds = _folded(language, src)
+    if kinds is not None and _derived(language, grammar, sequences, tuple(kinds)):
+        return True
+    if language != "typescript" or "<" not in src:
         return False
-    content = tuple(kinds)
+    kinds = _folded_markup(src)
+    return kinds is not None and _derived(language, grammar, sequences, tuple(kinds))
+
+
+def _derived(language: str, grammar: Grammar, sequences: dict, content: tuple[int, ...]) -> bool:
     if language == "typescript":
         cut = sequences["Block"]
         if content and all(grammar.derives("Block", part) for part in cut(content)):

@@ -29,20 +29,65 @@ def test_grammars(language):
     assert syntax.valid("cobol", "x") is None and syntax.valid(None, "x") is None
 
 
-PIECES = ["x", " = ", "1", "(", ")", "\n", "    ", "def f():", "if a:", "else:", "'s'", "[", "]", ",", ":", "return", "lambda", " for ", " in ", "+", "not ", "*", "=="]
+PIECES = ["x", " = ", "1", "(", ")", "\n", "    ", "def f():", "if a:", "else:", "'s'", "[", "]", ",", ":", "return", "lambda ", " for ", " in ", "+", "not ", "*", "==", "**", "/", ":=", "f", "(", ")", "y", ", ", "-> ", " if ", " else ", "await ", "yield ", "1.", '""', '"', "def f(", "del ", "@"]
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=3000, deadline=None, derandomize=True)
 @given(st.lists(st.sampled_from(PIECES), max_size=12))
 def test_python_as_the_language_itself(pieces):
     src = "".join(pieces)
-    try:
-        ast.parse(src)
-        ok = True
-    except (SyntaxError, ValueError):
-        ok = False
-    if ok:  # all that is valid is accepted; the grammar leaves a few rules about names and order aside
-        assert syntax.valid("python", src)
+    assert syntax.valid("python", src) == parses(src), src
+
+
+@pytest.mark.parametrize("src", [
+    "f(**k, *a)", "f(*a, **k, b=1)", "f(**k, b)", "x:=1", "(x:=1)", "(*a)", "(*a,)", "[*a]", "lambda *: 1", "lambda *, a: 1", "lambda a, /, b=1, *c, d, e=2, **f: 1", "def f(a=1, b): pass", "def f(a, b=1, /, c=2, *, d, **k): pass",
+    "def f(a, b=1, /, c, *, d, **k): pass", "def f(*,): pass", "def f(*, **k): pass", "def f(a, /,): pass", "def f(/, a): pass", "def f(**k,): pass", "def f(**k, a): pass", "try: pass\nexcept A, b: pass", "try: pass\nexcept (A, B) as e: pass",
+    "def f() -> a, b: pass", "return x:=1", "[x for x in y if z := 1]", "[x for x in y if (z := 1)]", "(a, b): int", "(a): int = 1", "(a, b) += 1", "a[x:=1]", "f(x:=1)", "{x:=1}", "match a, *b:\n  case _: pass", "match *b:\n  case _: pass", "a[]", "[]", "{}", "a[1,]",
+    "f(a for a in b, 1)", "f(a for a in b)", "f(a, b, c, d, e, f, g, h, i, j, k, l, m, n=1)", "f(a, b, c, d, e, f, g, h, i, j, k, l, m, n=1, o)", "f'{from}'", "f'{a\n}'", '""' * 3, '"" ""', '"' * 3 + "a" + '"' * 2, "1.real", "1..real", "x = ''''a''",
+])
+def test_rules_of_python(src):
+    assert syntax.valid("python", src) == parses(src)
+
+
+def parses(src):
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(src)
+            return True
+        except (SyntaxError, ValueError):
+            return False
+
+
+@pytest.mark.parametrize("src, valid", [
+    ('const A = () => <div className="x">Hi {name} <b/></div>;', True), ("export default function App({a}: P) { return (<><Foo.Bar x={1} {...p} y='z' on={() => { go() }}/>text</>) }", True), ("const el = cond ? <A<T> k={v}/> : null", True),
+    ("const f = <T,>(x: T) => <p>{/* c */}</p>", True), ("const a = <div>\n {list.map(i => <li key={i}>{i} isn't</li>)}\n</div>", True), ("const a: Array<string> = []; const b = <i/>;", True), ("const x = a < b && c > d;", True), ("let a = <T>y;", True),
+    ("let a = <b>x</c>", False), ("let a = <b>x > y</b>", False), ("let a = <b x=1></b>", False), ("const a = <div>{</div>", False), ("const a = <div>{a b}</div>", False), ("const a = <div>", False), ("const a = <div {b}/>", False), ("const a = (<div/>", False),
+])
+@pytest.mark.parametrize("language", ["tsx", "jsx", "typescript", "JavaScript "])
+def test_elements_in_any_dialect(src, valid, language):
+    assert syntax.valid(language, src) == valid
+
+
+def test_lists_of_any_length_are_as_their_grammar_says():
+    lines, _ = syntax._python()
+    comma, name, star = lines.kinds[","], lines.identifier, lines.kinds["*"]
+    for n in (1, 2, 9, 40):
+        for parts in ([(name,)] * n, [(name,)] * (n - 1) + [()], [(star, name)] * n, [(star, name)] * (n - 1) + [()], [()] * n):
+            content = tuple(k for i, part in enumerate(parts) for k in ((comma,) if i else ()) + part)
+            for bracket in "([{":
+                quick = lines.group(bracket, content, {}, syntax._PYTHON_LISTS)
+                lines.masks.clear()
+                assert quick == lines.group(bracket, content, {}, {})
+                lines.masks.clear()
+
+
+def test_a_gap_of_any_size_is_held_in_little(spark):
+    df = spark.createDataFrame([(1, "a.py", "R", "python", "x = 1", 1), (2, "a.py", "R", "python", "y = (", 2_000_000_000)], "chunk_id long, file_path string, repo string, language string, content string, start_line int")
+    r = parsing.files(df).first()
+    assert (r["valid"], r["n_lines"]) == (False, 2_000_000_000)
 
 
 def test_recogniser_is_general():
