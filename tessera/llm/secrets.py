@@ -9,8 +9,8 @@ inside an encoded literal masks the whole literal, the innermost if they are nes
 
 from __future__ import annotations
 
-import base64
 import binascii
+import math
 import re
 import urllib.parse
 
@@ -39,32 +39,36 @@ _FORMS = re.compile(
   | (?P<basic>\b(?:[Bb]asic|BASIC)[ ]+(?P<v_basic>[A-Za-z0-9+/\-_]{8,}={0,2}))
   | (?P<user>(?:\s-u|--user|--proxy-user)[ =]["']?[^\s:"']+:(?P<v_user>[^\s"'`]+))
   | (?P<jwt>\b(?P<v_jwt>eyJ[\w\-]{8,}\.eyJ[\w\-]{4,}\.[\w\-]{8,}))
-  | (?P<known>(?<![\w+/\-])(?P<v_known>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_\w{30,}|github_pat_\w{30,}|[sr]k_(?:live|test)_\w{16,}|xox[abeprs]-[\w\-]{10,}|AIza[\w\-]{35}|glpat-[\w\-]{20,}|npm_\w{36}|pypi-[\w\-]{30,}|SG\.[\w\-]{16,}\.[\w\-]{16,}|(?:pat|glx|nvk)[_\-][A-Za-z0-9]{30,})(?![\w+/]))
+  | (?P<known>(?<![\w+/\-])(?P<v_known>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_\w{30,}|github_pat_\w{30,}|[sr]k_(?:live|test)_\w{16,}|xox[abeprs]-[\w\-]{10,}|AIza[\w\-]{35}|glpat-[\w\-]{20,}|npm_\w{36}|pypi-[\w\-]{30,}|SG\.[\w\-]{16,}\.[\w\-]{16,})(?![\w+/]))
   | (?P<login>(?i:\b(?:password|passwd|pwd|passphrase)(?:\s*(?:is|was)?\s*[:=]|\s+is|\s+was)?)[ ]+["'`]?(?P<v_login>[^\s"'`=,;()]{6,}))
     """
 )
 #: A name, what may stand between, and a quoted value, which may go on in further quoted parts.
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
 _NAMED = re.compile(
-    rf"""(?xi)(?:pass(?:word|wd|phrase|code|key)?|pwd|(?<![a-z])pw|token|secret|key|credentials?|sig(?:nature)?|access[_-]?id|key[_-]?id|jwt|bearer)(?![\w$\-])(?P<glue>
+    rf"""(?xi)(?:pass(?:word|wd|phrase|code|key)?|pwd|(?<![a-z])pw|token|secret|key|credentials?|sig(?:nature)?|access[_-]?id|key[_-]?id|jwt|bearer)(?:[_\-]?(?:b64|base64|hex|encoded))?(?![\w$\-])(?P<glue>
     (?:["'`\]]{{0,2}}\s*(?:\?\s*)?(?::\s*[\w.<>\[\]|?]+\s*=|=>|:=|=|:|,|\(|\?\?|\|\||\bor\b|\*/)\s*))
-    (?:(?:new\s+)?[\w.]{{1,40}}\(\s*)?[rbuf@$]{{0,2}}(?P<lit>{_QUOTED})(?P<more>(?:\s*(?:\+|\.|&|\\\n)?\s*(?:{_QUOTED}))*)"""
+    (?:(?:new\s+)?[\w.]{{1,40}}\(\s*)?[rbuf@$]{{0,2}}(?P<lit>{_QUOTED})(?P<more>(?:\s*+(?:(?:\+|\.|&|\\\n)\s*+)?(?:{_QUOTED}))*)"""
 )
-_NAME_BEFORE = re.compile(r"[\w$\-]*\Z")
+_ENCODING = re.compile(r"(?i)[_\-]?(?:b64|base64|hex|encoded)\Z")
 _BARE = re.compile(r"(?<![\w$.\-\"'`?&;])(?P<name>[A-Za-z_][\w\-]*)\s?=\s?(?P<v>[A-Za-z0-9+/_.~!@#$%^&*?\-]{8,}=*)(?![\w(\[\"'])")
+_LEADING = re.compile(r"\s*(?:export\s+)?")
 _LITERAL = re.compile(rf"{_QUOTED}")
-_TRIGGER = re.compile(r"-----BEGIN|://[^\s/]*@|[?&][a-z_]+=|(?i:assword|passwd|pwd|passphrase)|(?:Account|Access)Key|SharedAccessSig|[Bb]earer |BEARER |[Bb]asic |BASIC |eyJ|AKIA|ASIA|gh[pousr]_|github_pat|[sr]k_live|[sr]k_test|xox[a-z]-|AIza|glpat-|npm_|pypi-|SG\.|(?:pat|glx|nvk)[_-]|\s-u[ =]|--user|--proxy-user")
+_TRIGGER = re.compile(r"-----BEGIN|://[^\s/]*@|[?&][a-z_]+=|(?i:assword|passwd|pwd|passphrase)|(?:Account|Access)Key|SharedAccessSig|[Bb]earer |BEARER |[Bb]asic |BASIC |eyJ|AKIA|ASIA|gh[pousr]_|github_pat|[sr]k_live|[sr]k_test|xox[a-z]-|AIza|glpat-|npm_|pypi-|SG\.|\s-u[ =]|--user|--proxy-user")
 #: Pieces of which a text must hold one to be searched for forms, as they are or in any case, or for names. Each form has one.
-_FORM_PIECES = ("://", "-----BEGIN", "AccessKey", "AccountKey", "SharedAccessSig", "earer ", "EARER ", "asic ", "ASIC ", "eyJ", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "k_live", "k_test", "xox", "AIza", "glpat-", "npm_", "pypi-", "SG.", "pat_", "pat-", "glx", "nvk", "-u ", "-u=", "--user", "--proxy-user", "token=", "sig=", "signature=", "key=", "auth=", "secret=")
+_FORM_PIECES = ("://", "-----BEGIN", "AccessKey", "AccountKey", "SharedAccessSig", "earer ", "EARER ", "asic ", "ASIC ", "eyJ", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "k_live", "k_test", "xox", "AIza", "glpat-", "npm_", "pypi-", "SG.", "-u ", "-u=", "--user", "--proxy-user", "token=", "sig=", "signature=", "key=", "auth=", "secret=")
+#: The end of a word and a long run after it, which is a token if it looks drawn at random.
+_TAGGED = re.compile(r"(?<=[A-Za-z][A-Za-z])[_\-](?P<v>[A-Za-z0-9]{30,})(?![\w+/])")
 _FORM_WORDS = ("assword", "passwd", "pwd", "passphrase")
 _NAME_PIECES = ("pass", "pwd", "pw", "token", "secret", "key", "credential", "sig", "access", "jwt", "bearer")
-_PARTS = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
-_ENCODED = re.compile(r"(?<![\w+/\-])(?=[a-z_/+\-]*[A-Z0-9])(?=[A-Z_/+\-]*[a-z0-9])[A-Za-z0-9+/_\-]{24,}={0,2}|%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}|&#x?[0-9A-Fa-f]+;")
+_PARTS = re.compile(r"[A-Za-z0-9+/_\-]{11,}={0,2}")
+_ENCODED = re.compile(r"(?<![\w+/\-])(?=[a-z_/+\-]*[A-Z0-9])(?=[A-Z_/+\-]*[a-z0-9])[A-Za-z0-9+/_\-]{11,}={0,2}|%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\[0-7]{3}|&#x?[0-9A-Fa-f]+;")
 _BREAK = re.compile(r"(?:\\[nr])+(?:\\?\r?\n[ \t]*)?|[ \t]*\\?\r?\n[ \t]*(?:(?://+|--)[ \t]+|[#*]+[ \t]*)?")
 _WRAPPED = re.compile(rf"(?<![\w+/\-])(?:[A-Za-z0-9+/_\-]{{16,}}(?:{_BREAK.pattern}))+[A-Za-z0-9+/_\-]+={{0,2}}(?![\w+/\-])")
-_CHAIN = re.compile(rf"(?:{_QUOTED})(?:\s*(?:\+|\.|&|\\\n)?\s*[rbuf@$]{{0,2}}(?:{_QUOTED}))+")
+_CHAIN = re.compile(rf"(?:{_QUOTED})(?:\s*+(?:(?:\+|\.|&|\\\n)\s*+)?[rbuf@$]{{0,2}}(?:{_QUOTED}))+")
 _LONG = re.compile(rf"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`")
 _RUN = re.compile(r"(?:[\w.\-]+[=:](?![\s=\"'`<>]|//|$))?([^\s\"'`<>]+)")
+_HEX = re.compile(r"[0-9a-fA-F]+").fullmatch
 _PEM_END = re.compile(r"-----END[ ](?:[A-Z0-9]+[ ])*PRIVATE[ ]KEY(?:[ ]BLOCK)?-----")
 
 
@@ -74,7 +78,7 @@ def placeholder(value: str) -> bool:
 
 def kind_of(name: str) -> str | None:
     """What a name says its value is: password, token, id, or nothing. Its last words decide: `token_url` names no token."""
-    words = [w.lower() for w in _WORDS.findall(name)]
+    words = [w.lower() for w in _WORDS.findall(_ENCODING.sub("", name))]
     if not words:
         return None
     last, before = words[-1], words[-2] if len(words) > 1 else ""
@@ -109,10 +113,62 @@ def like_token(value: str) -> bool:
     return bool(re.search(r"\d", value)) or _mixed(value)
 
 
+def _random(value: str) -> bool:
+    """Whether letters of both cases, with or without digits, are as mixed as if drawn at random; hex digests and names are not."""
+    counts = [value.count(c) for c in set(value)]
+    entropy = math.log2(len(value)) - sum(n * math.log2(n) for n in counts) / len(value)
+    near = list(zip(value, value[1:]))
+    changes = sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in near)
+    odd = sum(a.isupper() and b.isupper() for a, b in near) + sum(c.isdigit() for c in value)  # names have few of either
+    return value != value.lower() and value != value.upper() and entropy >= 3.9 and changes * 5 >= len(value) * 2 and odd >= 4
+
+
+def _word_start(text: str, at: int) -> int:
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_$-"):
+        at -= 1
+    return at
+
+
+#: Object identifiers under which keys are encrypted with a password, as DER: 1.2.840.113549.1.5 and 1.2.840.113549.1.12.1.
+_ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def _ssh_key(b: bytes) -> bool:
+    """Whether bytes are an SSH key: after the magic the names of cipher and derivation and its options, a number of public keys, and the private part."""
+    at = 15
+
+    def number() -> int | None:
+        nonlocal at
+        if at + 4 > len(b):
+            return None
+        at += 4
+        return int.from_bytes(b[at - 4 : at], "big")
+
+    def string() -> bytes | None:
+        nonlocal at
+        n = number()
+        if n is None or at + n > len(b):
+            return None
+        at += n
+        return b[at - n : at]
+
+    cipher, derivation, options, keys = string(), string(), string(), number()
+    if not cipher or not derivation or options is None or not keys or keys > len(b):
+        return False
+    for _ in range(keys):
+        public = string()
+        if not public or len(public) < 8 or int.from_bytes(public[:4], "big") + 4 > len(public):
+            return False
+    private = string()
+    if not private or len(private) < 16 or at != len(b):
+        return False
+    return cipher != b"none" or private[:4] == private[4:8]
+
+
 def key_container(b: bytes) -> bool:
-    """Whether bytes are a private key: an SSH key, or DER whose outermost sequence begins as private keys do."""
+    """Whether bytes are a private key: an SSH key, or DER whose outermost sequence is made up as PKCS#1, PKCS#8 (plain or encrypted), PKCS#12, SEC1 or DSA."""
     if b.startswith(b"openssh-key-v1\0"):
-        return True
+        return _ssh_key(b)
 
     def element(at: int) -> tuple[int, int, int] | None:
         if at + 2 > len(b):
@@ -129,7 +185,10 @@ def key_container(b: bytes) -> bool:
     if not top or top[0] != 0x30 or top[2] < len(b) - 2:
         return False
     first = element(top[1])
-    if not first or first[0] != 0x02:  # certificates and public keys begin with a sequence
+    if first and first[0] == 0x30:  # certificates and public keys go on with a sequence or a bit string; an encrypted key with an octet string
+        oid, data = element(first[1]), element(first[2])
+        return bool(oid and data) and oid[0] == 0x06 and b[oid[1] : oid[2]].startswith(_ENCRYPTIONS) and data[0] == 0x04 and data[2] == top[2] and data[2] - data[1] >= 16
+    if not first or first[0] != 0x02:
         return False
     version, then = int.from_bytes(b[first[1] : first[2]], "big"), element(first[2])
     if not then:
@@ -144,14 +203,14 @@ def key_container(b: bytes) -> bool:
 
 def _decoded(value: str):
     """What a literal may stand for: texts, or bytes that are no text."""
-    if re.search(r"%[0-9A-Fa-f]{2}", value):
+    if "%" in value and re.search(r"%[0-9A-Fa-f]{2}", value):
         yield urllib.parse.unquote(re.sub(r"%(?:25)+(?=[0-9A-Fa-f]{2})", "%", value))  # layers of the sign alone at once
-    if re.search(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3}|[nrt\"'\\/])", value):
+    if "\\" in value and re.search(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|[0-7]{3}|[nrt\"'\\/])", value):
         yield re.sub(r"\\(?:x([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4})|([0-7]{3})|(.))", lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else chr(int(m[3], 8)) if m[3] else {"n": "\n", "r": "\r", "t": "\t"}.get(m[4], m[4]), value)
-    if re.search(r"&#x?[0-9A-Fa-f]+;", value):
+    if "&#" in value and re.search(r"&#x?[0-9A-Fa-f]+;", value):
         value = re.sub(r"&#(?:38|x26);(?:#(?:38|x26);)*(?=#)", "&", value)
         yield re.sub(r"&#(?:x([0-9A-Fa-f]{1,6})|(\d{1,7}));", lambda m: chr(min(int(m[1], 16) if m[1] else int(m[2]), 0x10FFFF)), value)
-    for part in [*_PARTS.findall(value), *(x for _, _, x in _wrapped(value))]:
+    for part in [*_PARTS.findall(value), *(x for _, _, x in (_wrapped(value) if "\n" in value or "\\" in value else ()))]:
         for raw in _binary(part):
             text = _text(raw)
             yield text if text is not None else raw
@@ -187,12 +246,12 @@ def _opened(value: str) -> bool:
 
 
 def _binary(part: str):
-    if len(part) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", part):
+    if len(part) % 2 == 0 and _HEX(part):
         yield bytes.fromhex(part)
     body = part.rstrip("=")
     if len(body) % 4 != 1:
         try:
-            yield base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+            yield binascii.a2b_base64(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), strict_mode=True)
         except (binascii.Error, ValueError):
             pass
 
@@ -204,12 +263,19 @@ def _text(raw: bytes) -> str | None:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return text if all(c.isprintable() or c in "\n\r\t" for c in text) else None
+    return text if text.isprintable() or all(c.isprintable() or c in "\n\r\t" for c in text) else None
+
 
+def _promising(token: str) -> bool:
+    """Whether an encoded token holds text or what begins as a key container does; escapes may always."""
+    return token[0] in "%\\&" or any(raw[:1] == b"0" or raw[:8] == b"openssh-" or _text(raw) is not None for raw in _binary(token))
 
-def _pem_end(text: str, at: int) -> int | None:
-    """The end of a private key that begins at `at`; none if no key follows."""
-    end = _PEM_END.search(text, at)
+
+def _pem_end(text: str, at: int, ends: list) -> int | None:
+    """The end of a private key that begins at `at`; none if no key follows. `ends` holds the next end line found for an earlier one, or that there is none."""
+    if not ends or ends[0] is not None and ends[0].start() < at:
+        ends[:] = [_PEM_END.search(text, at)]
+    end = ends[0]
     stop = end.end() if end else None
     if stop is None:
         after = re.compile(r"(?:[A-Za-z0-9+/=\s#*]|\\[nr]|//)*").match(text, at + 20)
@@ -231,8 +297,12 @@ def _plain(text: str, inside: bool) -> list[tuple[int, int, str]]:
     hits: list[tuple[int, int, str]] = []
     low = text.lower()
     if any(piece in text for piece in _FORM_PIECES) or any(piece in low for piece in _FORM_WORDS):
+        ends: list = []
         for a, b in _lines(text, _TRIGGER):
-            _forms(text, a, b, hits)
+            _forms(text, a, b, hits, ends)
+    for m in _TAGGED.finditer(text):
+        if _random(m["v"]):
+            hits.append((_word_start(text, m.start()), m.end(), "known"))
     if any(piece in low for piece in _NAME_PIECES):
         _names(text, hits, inside)
     return hits
@@ -241,20 +311,29 @@ def _plain(text: str, inside: bool) -> list[tuple[int, int, str]]:
 def _layers(text: str, hits: list) -> None:
     """Adds what is credentials only once it is decoded."""
 
+    covered = bytearray(len(text))
+    for a, b, _ in hits:
+        covered[a:b] = b"\1" * (b - a)
+
     def free(s: int, e: int) -> bool:
-        return not any(x < e and s < y for x, y, _ in hits)
+        return covered.find(1, s, e) < 0
 
-    encoded = list(_lines(text, _ENCODED))
+    def add(s: int, e: int) -> None:
+        hits.append((s, e, "encoded"))
+        covered[s:e] = b"\1" * (e - s)
+
+    encoded = list(_lines(text, _ENCODED, _promising))
     for a, b in encoded:
         for m in _LITERAL.finditer(text, a, b):
             s, e = m.start() + 1, m.end() - 1
             if _ENCODED.search(text, s, e) and free(s, e) and _opened(text[s:e]):
-                hits.append((s, e, "encoded"))
+                add(s, e)
     for m in _CHAIN.finditer(text):
         parts = [(x.start() + 1, x.end() - 1) for x in _LITERAL.finditer(text, *m.span()) if len(x[0]) > 2]
         value = "".join(text[s:e] for s, e in parts)
         if len(parts) > 1 and (_ENCODED.search(value) or _WRAPPED.search(value)) and all(free(s, e) for s, e in parts) and _opened(value):
-            hits.extend((s, e, "encoded") for s, e in parts)
+            for s, e in parts:
+                add(s, e)
     wrapped = list(_wrapped(text))
     if not encoded and not wrapped:
         return
@@ -264,15 +343,16 @@ def _layers(text: str, hits: list) -> None:
             inner = m[0][q:-q]
             s, e = m.start() + q + len(inner) - len(inner.lstrip()), m.end() - q - len(inner) + len(inner.rstrip())
             if s < e and (_ENCODED.search(text, s, e) or _WRAPPED.search(text, s, e)) and free(s, e) and _opened(text[s:e]):
-                hits.append((s, e, "encoded"))
+                add(s, e)
     for s, e, value in wrapped:
         if free(s, e) and any(key_container(x) if isinstance(x, bytes) else _plain(x, True) or _opened(x) for x in _decoded(value)):
-            hits.append((s, e, "encoded"))
+            add(s, e)
     for a, b in encoded:
         for m in _RUN.finditer(text, a, b):
             if _ENCODED.search(text, *m.span(1)) and free(*m.span(1)) and _opened(m[1]):
                 runs = [x.span() for x in _PARTS.finditer(text, *m.span(1)) if _opened(x[0])]
-                hits.extend((s, e, "encoded") for s, e in runs or [m.span(1)])
+                for s, e in runs or [m.span(1)]:
+                    add(s, e)
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -290,21 +370,24 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
-def _lines(text: str, what: re.Pattern):
-    """Bounds of the lines in which `what` is found."""
+def _lines(text: str, what: re.Pattern, wanted=None):
+    """Bounds of the lines in which `what` is found, with what it finds as wanted."""
     at = 0
     while m := what.search(text, at):
+        if wanted and not wanted(m[0]):
+            at = m.end()
+            continue
         a = text.rfind("\n", 0, m.start()) + 1
         b = text.find("\n", m.end())
         at = b = len(text) if b < 0 else b
         yield a, b
 
 
-def _forms(text: str, at: int, to: int, hits: list) -> None:
+def _forms(text: str, at: int, to: int, hits: list, ends: list) -> None:
     while m := _FORMS.search(text, at, to):
         kind, at = m.lastgroup if not m.lastgroup.startswith("v_") else m.lastgroup[2:], m.end()
         if kind == "pem":
-            stop = _pem_end(text, m.start())
+            stop = _pem_end(text, m.start(), ends)
             if stop:
                 hits.append((m.start(), stop, "private key"))
                 at = stop
@@ -337,7 +420,7 @@ def _names(text: str, hits: list, inside: bool) -> None:
     at = 0
     while m := _NAMED.search(text, at):
         at = m.end()
-        kind = kind_of(_NAME_BEFORE.search(text, max(0, m.start() - 80), m.start("glue"))[0])
+        kind = kind_of(text[_word_start(text, m.start("glue")) : m.start("glue")])
         if not kind:
             at = m.start("glue") + 1
             continue
@@ -355,11 +438,18 @@ def _names(text: str, hits: list, inside: bool) -> None:
             hits.extend((s, e, kind) for s, e in parts)
         else:
             at = m.start("glue") + 1
+    begin = seen = 0  # of the line, and up to where it was looked through
+    remark = False
     for m in _BARE.finditer(text):
         kind = kind_of(m["name"])
         if kind and (like_password(m["v"]) and re.search(r"\d", m["v"]) if kind == "password" else like_token(m["v"])):
-            line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
-            if inside or re.search(r"#|//|\*|--|^\s*(?:export\s+)?$", line):
+            new = text.rfind("\n", seen, m.start()) + 1
+            if new:
+                begin = seen = new
+                remark = False
+            remark = remark or bool(re.search(r"#|//|\*|--", text[max(begin, seen - 1) : m.start()]))
+            seen = m.start()
+            if inside or remark or _LEADING.fullmatch(text, begin, m.start()):
                 hits.append((*m.span("v"), kind))
 
 
@@ -384,10 +474,11 @@ def places(df: DataFrame, id_col: str = "chunk_id", content_col: str = "content"
         for b in batches:
             at, rows = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                if text:
-                    for s, e, kind in scan(text):
-                        at.append(i)
-                        rows.append((text.count("\n", 0, s) + 1, kind, s, e - s))
+                line, done = 1, 0
+                for s, e, kind in scan(text) if text else ():
+                    line, done = line + text.count("\n", done, s), s
+                    at.append(i)
+                    rows.append((line, kind, s, e - s))
             cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["id", "line_no", "kind", "start", "length"])
 

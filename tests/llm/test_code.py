@@ -203,3 +203,45 @@ def test_layers_without_quotes_over_lines_and_deep():
     assert [h[2] for h in secrets.scan(f'x = "{deep}"')] == ["encoded"]
     assert secrets.scan('x = "https%' + "25" * 3000 + '3A//joe%3AXk29dLq81m@host"')
     assert not secrets.scan(f"# {enc('nothing to be seen in here, go on')}\nk = '''\n{enc(bytes(range(200)))}\n'''\n")
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def ssh_key(private=b"\1\2\3\4\1\2\3\4" + b"k" * 120, keys=1):
+    text = lambda b: len(b).to_bytes(4, "big") + b
+    public = text(b"ssh-ed25519") + text(b"p" * 32)
+    return b"openssh-key-v1\0" + text(b"none") + text(b"none") + text(b"") + keys.to_bytes(4, "big") + text(public) * keys + text(private)
+
+
+def test_key_containers_by_their_grammar():
+    oid = lambda h: der(6, bytes.fromhex(h))
+    number, pbes2, sha256, rsa = der(2, b"\0"), oid("2a864886f70d01050d"), oid("608648016503040201"), oid("2a864886f70d010101")
+    assert secrets.key_container(der(0x30, der(0x30, pbes2, der(0x30)), der(4, b"x" * 200)))  # PKCS#8, encrypted
+    assert secrets.key_container(der(0x30, number, der(0x30, rsa, der(5)), der(4, b"x" * 200)))  # PKCS#8
+    assert secrets.key_container(ssh_key()) and secrets.key_container(ssh_key(keys=2))
+    assert not secrets.key_container(der(0x30, der(0x30, sha256, der(5)), der(4, b"x" * 32)))  # a digest
+    assert not secrets.key_container(der(0x30, der(0x30, rsa, der(5)), der(3, b"\0" + b"x" * 270)))  # a public key
+    assert not secrets.key_container(b"openssh-key-v1\0" + b"junk" * 50) and not secrets.key_container(ssh_key()[:-9]) and not secrets.key_container(ssh_key(b"\1\2\3\4\4\3\2\1" + b"k" * 99))
+    for key in (ssh_key(), der(0x30, der(0x30, pbes2, der(0x30)), der(4, b"x" * 200))):
+        assert [k for _, _, k in secrets.scan(f"KEYS = '{base64.b64encode(key).decode()}'\n")] == ["encoded"]
+
+
+def test_short_long_named_and_unnamed(monkeypatch):
+    b64 = lambda t: base64.b64encode(t.encode()).decode()
+    hit = lambda t: [t[a:b] for a, b, _ in secrets.scan(t)]
+    assert hit(f'x = "{b64("pwd=hunter22")}"') == [b64("pwd=hunter22")]
+    assert hit('DB_PASS_B64 = "aHVudGVyMg=="') == ["aHVudGVyMg=="]
+    assert hit("# ask for zqv_Xk29TmWqLp07RbYc8HsNd4JfGa6EuVoZ1Ti3") == ["zqv_Xk29TmWqLp07RbYc8HsNd4JfGa6EuVoZ1Ti3"]
+    assert hit("v = 'id_4f9c0a7e4f9c0a7e4f9c0a7e4f9c0a7e'; w = 'get_VeryLongNameOfAServiceThatListsAllOrders'") == []
+    name = "a" * 300 + "_password"
+    assert hit(f"{name} = 'h8#kWq2z!'") == ["h8#kWq2z!"]
+    layered = "password: h8#kWq2z!"
+    for _ in range(9):
+        layered = b64(layered)
+    assert hit(f"x = '{layered}'") == [layered]
+    long = " ".join(f"password=abc1234{i}z" for i in range(20_000))  # one line: the time grows with it
+    assert len(secrets.scan("# " + long)) == 20_000 and len(secrets.scan("x " + long)) == 0
