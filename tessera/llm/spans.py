@@ -1,11 +1,14 @@
 """Long exact spans that documents share.
 
-Every span of `LEAST` characters holds one of the anchors of its text: places whose hash of `GRAM` characters is the smallest in a window. Anchors
+Every span of `LEAST` characters holds one of the anchors of its text: places whose hash of `GRAM` characters is the smallest in a window, or
+lies in a stretch that repeats itself with a period of at most half a gram. In such stretches all anchors but the first and the last of a row are
+left out; the stretches themselves are compared by their smallest gram, period and phase, without their text. Anchors
 that occur in one document only can't be in a shared span and are dropped; around the others, the text that a span through
 the anchor can reach - a passage of at most 2 * LEAST - GRAM characters - goes to a shard chosen by the anchor's hash. Passages of equal text are one entry
 that stands for all its documents. Each shard builds an FM-index of its passages, one for each direction, and the passages are streamed
 through both: from the anchor back and forth, backward search gives the maximal stretches that stand in another document as well. The union of
-the intervals of a document are its shared spans. Shards of a frequent anchor are cut into blocks that all its passages are streamed against.
+the intervals of a document are its shared spans. The passages of a frequent anchor are told apart by more of their text around it before they go to shards,
+so that no shard is all pairs of a boilerplate's copies.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ LEAST = 200
 GRAM = 64  # a power of two
 SHARD = 4096  # passages of a shard
 BLOCK = 1 << 18  # characters that are hashed at a time
+PARTS = 8  # ranges of places of a frequent anchor within a span, each with a text of its own that all spans of the range share
 
 
 def _blocks(column: pa.Array, least: int):
@@ -63,12 +67,15 @@ def _hashes(codes: np.ndarray, gram: int) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
-def anchors(codes: np.ndarray, starts: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of texts as (text, place in it, hash): of any `least` characters of a text at least one anchor's gram is part."""
+def anchors(codes: np.ndarray, starts: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, int, int, int, int]]]:
+    """Anchors of texts as (text, place in it, hash), and stretches of `least` or more with a short period as (text, start, end, period, hash and place of an anchor).
+
+    Any `least` characters of a text that are not within one of these stretches hold the gram of an anchor, at the same place wherever they stand.
+    """
     window = 1 << int(math.log2(least - gram + 1))  # places in a window
     n = len(codes)
     if n < gram:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), []
     h = _hashes(codes, gram)
     sizes = np.diff(starts)
     text = np.repeat(np.arange(len(sizes)), sizes)
@@ -85,7 +92,45 @@ def anchors(codes: np.ndarray, starts: np.ndarray, least: int = LEAST, gram: int
         longer[m:] = np.maximum(high[m:], high[:-m])
         high, m = longer, m * 2
     at = np.flatnonzero((high == h) & inside & (sizes[text] >= least))
-    return text[at], place[at], h[at]
+    # Equal grams at a short distance make the text between repeat itself. A gram that recurs within half its length tells its period's phase.
+    step = np.diff(at)
+    row = (h[at[1:]] == h[at[:-1]]) & (text[at[1:]] == text[at[:-1]]) & (step <= gram // 2)
+    within = np.zeros(len(at), bool)
+    within[1:-1] = row[1:] & row[:-1] & (step[1:] == step[:-1])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], within, [0]])))
+    stretches = []
+    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        t, d = int(text[at[i]]), int(step[i])
+        a, b = _extended(codes, int(at[i - 1]), int(at[j]) + gram, d, int(starts[t]), int(starts[t + 1]))
+        if b - a >= least:
+            stretches.append((t, a - int(starts[t]), b - int(starts[t]), d, int(h[at[i]]), int(place[at[i]])))
+    at = at[~within]
+    return (text[at], place[at], h[at]), stretches
+
+
+def _extended(codes: np.ndarray, a: int, b: int, d: int, first: int, last: int) -> tuple[int, int]:
+    """The longest stretch around [a, b) within [first, last) in which each code equals the one `d` further on."""
+    while a > first:
+        k = min(64, a - first)
+        other = np.flatnonzero(codes[a - k : a] != codes[a - k + d : a + d])
+        a = a - k if not len(other) else a - k + int(other[-1]) + 1
+        if len(other):
+            break
+    while b < last:
+        k = min(64, last - b)
+        other = np.flatnonzero(codes[b : b + k] != codes[b - d : b + k - d])
+        b = b + k if not len(other) else b + int(other[0])
+        if len(other):
+            break
+    return a, b
+
+
+def phases(start: int, end: int, period: int, place: int, least: int) -> list[tuple[int, int, int]]:
+    """For each phase, counted from the anchor at `place`, that a span of `least` within the stretch may begin in: (phase, begin of the first such span, end of the last)."""
+    out = []
+    for s in range(start, min(start + period, end - least + 1)):
+        out.append(((s - place) % period, s, s + (end - least - s) // period * period + least))
+    return out
 
 
 def search(passages: list[str], anchor: np.ndarray, owner: np.ndarray, indexed: np.ndarray, streamed: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,25 +190,44 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(f"doc is not null and length(text) >= {least}")
 
     def pick(batches):
+        """Anchors, without `stop`, and phases of stretches with a period, up to `stop`; their `h` names period, phase and smallest gram."""
         for b in batches:
             for rows, begins, parts in _blocks(b.column(1), least):
-                text, place, h = anchors(*_codes(parts), least, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(rows[text])), pa.array((place + begins[text]).astype(np.int32))], names=["h", "doc", "place"])
+                (text, place, h), stretches = anchors(*_codes(parts), least, gram)
+                own = [(t, s, e, hash((x, d, phase)) & (2**63 - 1)) for t, begin, end, d, x, p in stretches for phase, s, e in phases(begin, end, d, p, least)]
+                t2, s2, e2, h2 = (np.array(c, np.int64) for c in zip(*own)) if own else (np.zeros(0, np.int64),) * 4
+                both = np.concatenate([text, t2])
+                stop = pa.concat_arrays([pa.nulls(len(text), pa.int32()), pa.array((e2 + begins[t2]).astype(np.int32))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h.view(np.int64), h2])), b.column(0).take(pa.array(rows[both])), pa.array((np.concatenate([place, s2]) + begins[both]).astype(np.int32)), stop], names=["h", "doc", "place", "stop"])
+
+    marks = staged(docs.mapInArrow(pick, f"h bigint, doc {id_type}, place int, stop int"), "anchors")
 
-    marks = staged(docs.mapInArrow(pick, f"h bigint, doc {id_type}, place int"), "anchors")
-    common = marks.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h")
+    def of_several(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h")
+
+    periodic = marks.filter("stop is not null")
+    periodic = periodic.join(of_several(periodic), "h").select("doc", F.col("place").cast("bigint").alias("s"), F.col("stop").cast("bigint").alias("e"))
+    marks = marks.filter("stop is null").drop("stop")
+    common = of_several(marks)
     places = marks.join(common, "h").groupBy("doc").agg(F.collect_set(F.struct("place", "h")).alias("marks"))  # no more than its text has
 
     def cut(batches):
+        def passages(b, cols):
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), b.column(0).take(pa.array(cols[1], pa.int64())), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.string())], names=["h", "doc", "start", "anchor", "passage"])
+
         for b in batches:
-            cols = ([], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [])
             for i, (text, own) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 for m in own:
                     p = m["place"]
                     lo = max(0, p + gram - least)
                     for c, v in zip(cols, (m["h"], i, lo, p - lo, text[lo : p + least])):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), b.column(0).take(pa.array(cols[1], pa.int64())), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.string())], names=["h", "doc", "start", "anchor", "passage"])
+                    if len(cols[0]) >= 10_000:
+                        yield passages(b, cols)
+                        cols = ([], [], [], [], [])
+            if cols[0]:
+                yield passages(b, cols)
 
     cuts = docs.join(places, "doc").select("doc", "text", "marks").mapInArrow(cut, f"h bigint, doc {id_type}, start int, anchor int, passage string")
     cuts = staged(cuts.withColumn("k1", F.xxhash64("passage", "anchor")).withColumn("k2", F.xxhash64(F.lit(1), "passage")), "passages")
@@ -171,29 +235,36 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     entries = cuts.groupBy(*entry).agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.first("passage").alias("passage"))
     entries = staged(entries.withColumn("several", F.col("a") != F.col("b")), "entries")
     sizes = entries.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")  # others have no text to be compared with
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(total / shard))
-    # A frequent anchor has its own shard and as many blocks as it needs; the others share.
-    placed = entries.join(sizes, "h").withColumn("blocks", F.ceil(F.col("n") / shard).cast("int"))
-    placed = placed.withColumn("shard", F.when(F.col("blocks") > 1, F.col("h")).otherwise(F.pmod(F.col("h"), F.lit(shards))))
-    placed = placed.withColumn("mine", F.pmod("k1", F.col("blocks")).cast("int"))
-    routed = placed.select(*entry, "a", "several", "passage", "shard", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    routed = routed.filter("block = mine or not several").withColumn("indexed", F.col("block") == F.col("mine"))
+    frequent = staged(sizes.filter(F.col("n") > shard).select("h"), "frequent-anchors")
+    routed = entries.join(sizes.filter(F.col("n") <= shard).select("h"), "h").withColumn("route", F.col("h")).drop("b")
+    hits = []
+    if frequent.take(1):
+        hot = _told_apart(entries.join(frequent, "h"), least, gram)
+        groups = hot.groupBy("route").agg(F.count("*").alias("n"), F.min("a").alias("x"), F.max("b").alias("y")).filter("x <> y")
+        groups = staged(groups.select("route", "n"), "frequent-texts")
+        routed = routed.unionByName(hot.join(groups.filter(F.col("n") <= shard).select("route"), "route").select(*routed.columns))
+        hits.append(_equal_spans(hot.join(groups.filter(F.col("n") > shard).select("route"), "route"), entry, least))
+    routed = staged(routed, "routed") if hits else routed
+    total = routed.count() if hits else sizes.filter(F.col("n") <= shard).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    routed = routed.withColumn("shard", F.pmod("route", F.lit(max(1, math.ceil(total / shard)))))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         several = t.column("several").to_numpy(zero_copy_only=False)
         owner = np.unique(np.array(t.column("a").to_pylist()), return_inverse=True)[1].astype(np.int64)
         owner = np.where(several, -1 - np.arange(len(owner)), owner)  # an entry of several documents has another one for everybody
-        indexed = t.column("indexed").to_numpy(zero_copy_only=False)
+        indexed = np.ones(len(owner), bool)
         out = [np.zeros(0, np.int64)] * 3
-        if indexed.any() and not several.all():
+        if not several.all():
             out = search(t.column("passage").to_pylist(), t.column("anchor").to_numpy(), owner, indexed, ~several, least, gram)
         return t.select(entry).take(pa.array(out[0])).append_column("lo", pa.array(out[1], pa.int64())).append_column("hi", pa.array(out[2], pa.int64()))
 
-    hits = routed.groupBy("shard", "block").applyInArrow(run, "h bigint, anchor int, k1 bigint, k2 bigint, lo bigint, hi bigint")
+    hits.append(routed.groupBy("shard").applyInArrow(run, "h bigint, anchor int, k1 bigint, k2 bigint, lo bigint, hi bigint"))
     whole = entries.filter(f"several and length(passage) >= {least}").select(*entry, F.lit(0).cast("bigint").alias("lo"), F.length("passage").cast("bigint").alias("hi"))
-    spans = cuts.select(*entry, "doc", "start").join(hits.unionByName(whole), entry).select("doc", (F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi")).alias("e"))
+    for more in hits:
+        whole = whole.unionByName(more)
+    spans = cuts.select(*entry, "doc", "start").join(whole, entry).select("doc", (F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi")).alias("e"))
+    spans = spans.unionByName(periodic)
     by_doc = Window.partitionBy("doc").orderBy("s", "e")
     reach = F.max("e").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_doc))
@@ -201,6 +272,34 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return runs.select(F.col("doc").alias(id_col), "start", (F.col("stop") - F.col("start")).alias("length"))
 
 
+def _told_apart(entries: DataFrame, least: int, gram: int) -> DataFrame:
+    """A row for each entry and range of places that a span may begin at before the anchor, with `low` and `high`, the range, and `route`, a hash of the anchor, the
+    range and the text that all spans of the range hold. Entries share a span only if they share a route."""
+    spread = least - gram + 1
+    width = math.ceil(spread / PARTS)
+    ranges = [(low, min(low + width, spread) - 1) for low in range(0, spread, width)]
+
+    def core(low: int, high: int):
+        there = (F.col("anchor") >= low) & (F.length("passage") - F.col("anchor") >= least - high)
+        text = F.substring("passage", F.col("anchor") - low + 1, F.lit(least - high + low))
+        return F.when(there, F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.xxhash64(F.lit(low), "h", text).alias("route")))
+
+    each = F.filter(F.array(*[core(*r) for r in ranges]), lambda x: x.isNotNull())
+    return entries.select("*", F.explode(each).alias("x")).select(*entries.columns, "x.low", "x.high", "x.route")
+
+
+def _equal_spans(rows: DataFrame, entry: list[str], least: int) -> DataFrame:
+    """Spans (entry, lo, hi) of `least` characters that entries of several documents share, for routes that more entries have than a shard holds."""
+    at = F.explode(F.sequence(F.greatest(F.col("low"), F.col("anchor") + least - F.length("passage")), F.least(F.col("high"), F.col("anchor"))))
+    rows = rows.filter(F.greatest(F.col("low"), F.col("anchor") + least - F.length("passage")) <= F.least(F.col("high"), F.col("anchor")))
+    each = rows.select(*entry, "a", "b", "several", "passage", "route", at.alias("back"))
+    text = F.substring("passage", F.col("anchor") - F.col("back") + 1, F.lit(least))
+    each = each.select(*entry, "a", "b", "several", "back", F.xxhash64("route", "back", text).alias("w1"), F.xxhash64(F.lit(1), text).alias("w2"))
+    several = each.groupBy("w1", "w2").agg(F.min("a").alias("x"), F.max("b").alias("y")).filter("x <> y").select("w1", "w2")
+    lo = (F.col("anchor") - F.col("back")).cast("bigint")
+    return each.filter("not several").join(several, ["w1", "w2"]).select(*entry, lo.alias("lo"), (lo + least).alias("hi"))
+
+
 def coverage(documents: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_chars, n_spans, shared_chars, share), one for each row of `documents`; a missing or empty text has share 0."""
     sums = spans.groupBy(id_col).agg(F.count("*").alias("n_spans"), F.sum("length").alias("shared_chars"))

@@ -136,6 +136,35 @@ def test_spans_equal_brute_force(spark, shard):
     assert spans.shared_spans(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [4096, 4])
+def test_spans_of_runs_and_boilerplate(spark, shard):
+    """Texts with stretches of short periods, cut at all places, between others; and a frequent passage with other text around it in every copy."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    units = ["-", " ", "ab", "+--", "0, ", "=-=-~", text(31), text(32), text(33), text(70)]
+    licence, texts = text(240), {}
+    for i in range(110):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            u = rng.choice(units)
+            n = rng.choice([90, 150, 199, 200, 201, 215, 230, 260, 420])
+            k = rng.randrange(len(u))
+            parts += [(u * (n // len(u) + 3))[k : k + n], text(rng.choice([0, 1, 5, 30]))]
+        texts[i] = "".join(parts)
+    for i in range(200, 240):
+        texts[i] = text(rng.randint(0, 150)) + licence[rng.randint(0, 20) :] + text(rng.randint(0, 150))
+    texts[300], texts[301] = "-" * 700, "x" + "-" * 199 + "x"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {tuple(r) for r in spans.shared_spans(df, shard=shard).collect()} == brute(texts, 200)
+
+
+def test_runs_cost_what_other_text_does():
+    for unit in (" ", "-", "ab", "| --- "):
+        codes, starts = spans._codes([(unit * 100_000)[:100_000], "abc"])
+        kept, stretches = spans.anchors(codes, starts)
+        assert len(kept[0]) <= 4 and [(t, s, e, d) for t, s, e, d, _, _ in stretches] == [(0, 0, 100_000, len(unit))]
+
+
 def test_long_texts_in_blocks(spark, monkeypatch):
     rng = random.Random(9)
     big = "".join(rng.choice("abcd") for _ in range(9000))
