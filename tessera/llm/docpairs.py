@@ -1,27 +1,30 @@
 """Functions and methods paired with the text that documents them.
 
 A content is cut into tokens by one regular expression for its language, and the tokens become rows. Lag and lead windows over the rows
-attach comments and strings to the heads of functions; running sums give every token its depth in braces and its place, and the next closing
-brace in the island of tokens of one depth ends a function. In Python, the lines that are indented no deeper than the head end it.
+attach comments and strings to the heads of functions; running sums give every token its place and its depth in braces. The tokens of one depth
+are an island, in which the next closing brace ends a function. In Python, indentation is the depth: a line is on the islands of all heads that are
+indented no less than it, and the next line on a head's island ends its function.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.parsing import language_of
+from tessera.session import staged
 
+NESTED = 32  # parentheses in the head of a function; regular expressions nest no further than they are written
 _STRING = r'"(?:[^"\\\n]++|\\[\s\S])*+"|' + r"'(?:[^'\\\n]++|\\[\s\S])*+'"
 _TRIPLE = r'"""(?:[^\\"]++|\\[\s\S]|"(?!""))*+"""|' + r"'''(?:[^\\']++|\\[\s\S]|'(?!''))*+'''"
 
 
 def _parens(string: str, comment: str, quotes: str) -> str:
-    """Parentheses with what they hold, four deep, of which strings and comments are skipped."""
+    """Parentheses with what they hold, `NESTED` deep, of which strings and comments are skipped."""
     skip = f"{string}|{comment}"
     flat = rf"[^()/#{quotes}]++|{skip}|[/#]"
     inner = rf"\((?:{flat})*+\)"
-    for _ in range(3):
+    for _ in range(NESTED - 1):
         inner = rf"\((?:{flat}|{inner})*+\)"
     return inner
 
@@ -31,7 +34,7 @@ _PY_HEAD = rf"(?:async[ \t]+)?def[ \t]+([^\W\d]\w*)[ \t]*(?:\[[^\]\n]*\][ \t]*)?
 _QUOTED = f"{_TRIPLE}|{_STRING}"
 #: A string that is a statement, with what ends it: it may document. Contents get a line break at their end.
 _DOCABLE = rf"[rRuU]?(?:{_QUOTED})[ \t]*+(?:#[^\n]*+)?(?:\r?\n|;)"
-_PYTHON = rf"{_PY_HEAD}|{_DOCABLE}|[rRbBuUfFtT]{{0,2}}(?:{_TRIPLE}|{_STRING})|#[^\n]*+|\s++|;|[^\s\"'#;][^\"'#\n;]*+|[\s\S]"
+_PYTHON = rf"[ \t\r\n\f]*+(?:{_PY_HEAD}|{_DOCABLE}|[rRbBuUfFtT]{{0,2}}(?:{_TRIPLE}|{_STRING})|#[^\n]*+|;|[^\s\"'#;][^\"'#\n;]*+|\S)|\s++"
 
 _COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
 _DOC = r"/\*\*(?!/)[\s\S]*?\*/|///(?!/)[^\n]*+(?:\r?\n[ \t]*+///(?!/)[^\n]*+)*+"
@@ -45,7 +48,7 @@ _MOD = r"(?!(?:if|else|for|foreach|while|do|switch|case|catch|finally|try|return
 
 
 def _typed_head(parens: str, tail: str) -> str:
-    """Modifiers, types and a name before parentheses, up to the brace or arrow."""
+    """Modifiers, types and a name before parentheses, up to the brace or arrow. No language has twelve modifiers that may stand together, and none twice."""
     word = rf"{_MOD}(?:[\w.$]++(?:\s*<[^(){{}};=]*>)?(?:\s*\[[\s,]*\]|\?)*+|\((?:[^()]*)\)\??|<[^(){{}};=]*>)"
     return rf"(?:{word}\s+){{0,12}}?{_NO_NAME}([^\W\d][\w$]*)\s*(?:<[^(){{}};=]*>)?\s*{parens}\s*{tail}"
 
@@ -67,7 +70,7 @@ _TS_HEAD = (
 
 
 def _braces(head: str, string: str, parens: str, note: str, stops: str) -> str:
-    return rf"{_DOC}|{_COMMENT}|{note}|{head}|{string}|\s++|[{{}};]|[^\s{stops}/{{}};][^{stops}/{{}};\n]*+|[\s\S]"
+    return rf"[ \t\r\n\f]*+(?:{_DOC}|{_COMMENT}|{note}|{head}|{string}|[{{}};]|[^\s{stops}/{{}};][^{stops}/{{}};\n]*+|\S)|\s++"
 
 
 _AT = r"@(?!interface\b)[\w.]+[ \t]*"
@@ -109,34 +112,38 @@ def _squeezed(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", " ")
 
 
-def tokens(chunks: DataFrame, whole: bool = False) -> DataFrame:
-    """Rows (rid, pos, kind, text, ...) of the tokens of each chunk, with the text of those that name or document.
+def numbered(chunks: DataFrame) -> DataFrame:
+    """What is read of the chunks, with `rid`, which tells rows apart."""
+    return chunks.select("chunk_id", "file_path", "language", "node_type", "content", "docstring", F.monotonically_increasing_id().alias("rid"))
 
-    Kinds: H head, D documentation comment, S string that may document, A annotation, O and X braces, E semicolon, C remark, W blanks,
-    T anything else. Unless `whole`, blanks, annotations and in Python remarks are left out, and so are chunks without any documentation; only heads carry
-    what belongs to the chunk.
+
+def tokens(own: DataFrame) -> DataFrame:
+    """Rows (rid, pos, kind, size, space, indent, py, text, lang, chunk_id, file_path, spare) of the tokens of each row of `numbered`.
+
+    A token has the white space before it. Kinds: H head, D documentation comment, S string that may document, A annotation or in Python remark, O and X braces,
+    E semicolon, C remark, T anything else, also white space at the end. `size` counts its characters, `space` those of the white space, and `indent`, in Python,
+    those of the white space after a line break. Heads carry what belongs to the chunk; heads, comments and strings their text.
+    Chunks without anything that documents have no rows.
     """
-    own = chunks.select("chunk_id", "file_path", "language", "node_type", "content", "docstring", F.monotonically_increasing_id().alias("rid")).withColumn("lang", _language(chunks))
+    own = own.withColumn("lang", _language(own))
     elsewhere = ~F.contains(F.col("content"), F.trim("docstring")) & ~F.contains(_squeezed(F.col("content")), F.trim(_squeezed(F.col("docstring"))))
     spare = F.when((F.col("node_type") == "function") & F.col("docstring").isNotNull() & elsewhere, F.col("docstring"))
     own = own.filter("content is not null and lang is not null").withColumn("spare", spare)
-    if not whole:
-        py = F.col("content").contains("def ")
-        own = own.filter(F.when(F.col("lang") == "python", py).otherwise(F.col("content").contains("/**") | F.col("content").contains("///") | F.col("spare").isNotNull()))
-    cut = F.coalesce(*[F.when(F.col("lang") == name, F.regexp_extract_all(F.concat("content", F.lit("\n")), F.lit(p), F.lit(0))) for name, p in _TOKENS.items()])
-    rows = own.select("rid", "lang", "chunk_id", "file_path", "spare", F.posexplode(cut).alias("pos", "tok"))
+    quoted = F.col("content").contains('"') | F.col("content").contains("'")
+    documented = F.when(F.col("lang") == "python", F.col("content").contains("def") & quoted).otherwise(F.col("content").contains("/**") | F.col("content").contains("///"))
+    own = own.filter(documented | F.col("spare").isNotNull())
+    text = F.when(F.col("lang") == "python", F.concat("content", F.lit("\n"))).otherwise(F.col("content"))
+    cut = F.coalesce(*[F.when(F.col("lang") == name, F.regexp_extract_all(text, F.lit(p), F.lit(0))) for name, p in _TOKENS.items()])
+    rows = own.select("rid", "lang", "chunk_id", "file_path", "spare", F.posexplode(cut).alias("pos", "whole"))
+    rows = rows.withColumn("tok", F.ltrim("whole", F.lit(" \t\r\n\f")))
     tok, py, one = F.col("tok"), F.col("lang") == "python", F.length("tok") == 1
-    start, end = F.substring("tok", 1, 1), F.right("tok", F.lit(1))
-    if not whole:
-        c, braces = F.ascii("tok"), F.col("lang").isin("java", "typescript")
-        left_out = c.isin(9, 10, 12, 13, 32) | (py & (c == 35)) | (braces & (c == 64)) | ((F.col("lang") == "csharp") & (c == 91) & tok.endswith("]"))
-        rows = rows.filter(~left_out)
+    start, end, size = F.substring("tok", 1, 1), F.right("tok", F.lit(1)), F.length("whole")
     # First and last characters tell the kinds apart; a head's pattern is the only one that goes on to a brace.
     kind = (
-        F.when(start.isin(" ", "\t", "\n", "\r", "\f"), "W")
+        F.when(tok == "", "T")
         .when(
             py,
-            F.when(start == "#", "C")
+            F.when(start == "#", "A")
             .when(start == ";", "E")
             .when((end == ":") & start.isin("d", "a") & tok.rlike(r"\A(?:async[ \t]+)?def[ \t]"), "H")
             .when(end.isin("\n", ";") & ~one, "S")
@@ -150,9 +157,12 @@ def tokens(chunks: DataFrame, whole: bool = False) -> DataFrame:
         .when((start == "@") & ~tok.startswith('@"') & ~tok.startswith("@$") | (start == "[") & (end == "]") & (F.col("lang") == "csharp"), "A")
         .otherwise("T")
     )
-    rows = rows.withColumn("kind", kind)
+    space = size - F.length("tok")
+    white = F.substring("whole", F.lit(1), space)
+    indent = F.when(py & white.contains("\n"), F.length(F.substring_index(white, "\n", -1)))
+    rows = rows.withColumns({"kind": kind, "size": size, "space": space, "indent": indent, "py": py})
     head = F.col("kind") == "H"
-    return rows.select("rid", "pos", "kind", F.when(F.col("kind").isin("D", "S", "H"), tok).alias("text"), *[F.when(head, F.col(c)).alias(c) for c in ("lang", "chunk_id", "file_path", "spare")], *([F.length("tok").alias("size"), "tok", F.col("lang").alias("l")] if whole else []))
+    return rows.select("rid", "pos", "kind", "size", "space", "indent", "py", F.when(F.col("kind").isin("D", "S", "H"), tok).alias("text"), *[F.when(head, F.col(c)).alias(c) for c in ("lang", "chunk_id", "file_path", "spare")])
 
 
 def name_of(head: Column, lang: Column) -> Column:
@@ -161,28 +171,49 @@ def name_of(head: Column, lang: Column) -> Column:
     return F.coalesce(*[F.when(lang == name, F.coalesce(*found)) for name, found in groups.items()])
 
 
-def documented(rows: DataFrame) -> DataFrame:
-    """Heads with their documentation as `doc`: the string after it in Python, the comment before it in other languages, else the chunk's
-    docstring for its first head. `rows` are tokens without blanks and annotations."""
-    w = Window.partitionBy("rid").orderBy("pos")
-    py = F.col("lang") == "python"
-    seen = (
-        rows.withColumn("after", F.when(F.lead("kind").over(w) == "S", F.lead("text").over(w)))
-        .withColumn("before", F.when(F.lag("kind").over(w) == "D", F.lag("text").over(w)))
-        .withColumn("nth", F.sum((F.col("kind") == "H").cast("int")).over(w))
+def delimited(rows: DataFrame) -> DataFrame:
+    """The heads among tokens with `doc`, their documentation - the string after it in Python, the comment before it in other languages, else the chunk's docstring for its
+    first head -, `start`, and `stop`, where the function ends; missing if that is the end of the chunk."""
+    by_place = "over (partition by rid order by pos)"
+    solid = "if(kind <> 'A', struct(kind, text), null)"
+    opens = "(kind = 'O' or kind = 'H' and not py and endswith(text, '{'))"
+    seen = rows.select(
+        "rid", "pos", "kind", "py", "text", "lang", "chunk_id", "file_path", "spare", "size", "space", "indent",
+        F.expr(f"lag({solid}, 1) ignore nulls {by_place}").alias("before"), F.expr(f"lead({solid}, 1) ignore nulls {by_place}").alias("after"), F.expr(f"lag(kind) {by_place}").alias("last"),
+        F.expr(f"sum(size) {by_place}").alias("end"), F.expr(f"sum(if(kind = 'H', 1, 0)) {by_place}").alias("nth"),
+        F.expr(f"cast(sum(case when {opens} then 1 when kind = 'X' then -1 else 0 end) {by_place} - if({opens}, 1, 0) as int)").alias("depth"),
+    )
+    first_on_line = F.coalesce("indent", F.when(F.col("last").isNull() | (F.col("last") == "S"), F.col("space")))
+    seen = seen.withColumn("indent", F.when(F.col("py") & (F.col("kind") != "A"), first_on_line))
+    # The islands of a chunk of Python are the indents of its heads, of which the language allows a hundred.
+    seen = seen.withColumn("heads", F.expr("collect_set(if(py and kind = 'H', coalesce(indent, 0), null)) over (partition by rid)"))
+    kept = seen.filter(F.expr("if(py, kind = 'H' or indent is not null, kind in ('H', 'O', 'X', 'E'))"))
+    depth = F.when(F.col("py"), F.filter("heads", lambda k: k >= F.coalesce("indent", F.lit(0)))).otherwise(F.array("depth"))
+    begin = (F.col("end") - F.col("size") + F.col("space")).alias("start")
+    islands = kept.select("rid", "pos", "kind", "py", "nth", "text", "lang", "chunk_id", "file_path", "spare", "before", "after", "indent", "end", begin, F.explode(depth).alias("depth"))
+    by_island = "over (partition by rid, depth order by pos)"
+    ended = islands.withColumns(
+        {
+            "closing": F.expr(f"lead(if(kind = 'X', end, null), 1) ignore nulls {by_island}"),
+            "ending": F.expr(f"lead(if(kind = 'E', end, null), 1) ignore nulls {by_island}"),
+            "next": F.expr(f"lead(start, 1) {by_island}"),
+        }
     )
-    doc = F.when(py, F.col("after")).otherwise(F.col("before"))
-    return seen.filter("kind = 'H'").withColumn("doc", F.coalesce(doc, F.when(F.col("nth") == 1, F.col("spare"))))
+    heads = ended.filter(F.expr("kind = 'H' and (not py or depth = coalesce(indent, 0))"))
+    doc = F.when(F.col("py"), F.when(F.col("after.kind") == "S", F.col("after.text"))).when(F.col("before.kind") == "D", F.col("before.text"))
+    stop = F.when(F.col("py"), F.col("next")).when(F.col("text").endswith("{") | (F.col("after.kind") == "O"), F.col("closing")).otherwise(F.col("ending"))
+    return heads.select("rid", "pos", "chunk_id", "file_path", "lang", "text", F.coalesce(doc, F.when(F.col("nth") == 1, F.col("spare"))).alias("doc"), "start", stop.alias("stop"))
 
 
-def functions(chunks: DataFrame) -> DataFrame:
-    """Rows (rid, pos, chunk_id, file_path, func_name, description) of the functions that have a description.
+def functions(own: DataFrame) -> DataFrame:
+    """Rows (rid, chunk_id, file_path, func_name, description, start, stop) of the functions of rows of `numbered` that have a description.
 
     Chunks without content or of a language without lexer have none; repeated rows count by themselves. Functions within strings and
     remarks are none. A function without a body is none.
     """
-    own = documented(tokens(chunks)).filter("doc is not null").select("rid", "pos", "chunk_id", "file_path", name_of(F.col("text"), F.col("lang")).alias("func_name"), description(F.col("doc")).alias("description"))
-    return own.filter("func_name is not null and description is not null")
+    heads = delimited(tokens(own)).filter("doc is not null and coalesce(stop, start + 1) > start")
+    named = heads.select("rid", "chunk_id", "file_path", name_of(F.col("text"), F.col("lang")).alias("func_name"), description(F.col("doc")).alias("description"), "start", "stop")
+    return named.filter("func_name is not null and description is not null")
 
 
 def valid_only(rows: DataFrame, checked: DataFrame) -> DataFrame:
@@ -191,37 +222,12 @@ def valid_only(rows: DataFrame, checked: DataFrame) -> DataFrame:
 
 
 def found(chunks: DataFrame, checked: DataFrame) -> DataFrame:
-    return valid_only(functions(chunks), checked).select("chunk_id", "func_name")
+    return valid_only(functions(numbered(chunks)), checked).select("chunk_id", "func_name")
 
 
 def pairs(chunks: DataFrame, checked: DataFrame) -> DataFrame:
     """Rows (chunk_id, file_path, func_name, description, code): functions with a description and their code, from the head to the end of the body."""
-    rows = tokens(chunks, whole=True)
-    w = Window.partitionBy("rid").orderBy("pos")
-    opens = (F.col("kind") == "O") | (F.col("kind") == "H") & F.col("tok").endswith("{")
-    depth = F.sum(F.when(opens, 1).when(F.col("kind") == "X", -1).otherwise(0)).over(w)
-    rows = rows.withColumn("end", F.sum("size").over(w)).withColumn("depth", depth)
-    rows = rows.withColumn("level", F.when(opens, F.col("depth") - 1).otherwise(F.col("depth")))
-    # Windows from the end backward: the last value so far is the nearest that follows, in one pass.
-    solid = Window.partitionBy("rid").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    island = Window.partitionBy("rid", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    after = F.last(F.when(~F.col("kind").isin("W", "C"), F.col("kind")), ignorenulls=True).over(solid)
-    closing = F.last(F.when(F.col("kind") == "X", F.col("end")), ignorenulls=True).over(island)
-    ending = F.last(F.when(F.col("kind") == "E", F.col("end")), ignorenulls=True).over(island)
-    stop = F.when(F.col("tok").endswith("{") | (after == "O"), closing).otherwise(ending)
-    bodies = rows.withColumn("stop", stop).filter("kind = 'H' and l <> 'python'").select("rid", "pos", (F.col("end") - F.col("size")).alias("start"), "stop")
-    # Python: the first line after the head that is indented no deeper, where lines begin after blanks that hold a line break.
-    py = rows.filter("l = 'python'")
-    p1, p2 = F.lag("tok", 1).over(w), F.lag("tok", 2).over(w)  # a string that documents ends with its line break
-    blank = F.trim(F.translate(p1, "\t\r\n\f", "    ")) == ""
-    after_break = F.when(blank, F.when(p1.contains("\n"), F.length(F.substring_index(p1, "\n", -1))).when(p2.isNull() | p2.endswith("\n"), F.length(p1))).when(p1.isNull() | p1.endswith("\n"), 0)
-    marked = py.withColumn("indent", after_break).withColumn("from", F.col("end") - F.col("size"))
-    heads = marked.filter("kind = 'H'").select("rid", "pos", F.col("from").alias("start"), F.coalesce("indent", F.lit(0)).alias("own"))
-    lines = marked.filter("indent is not null and kind not in ('C', 'W')").select("rid", F.col("from").alias("at"), "indent")
-    ends = heads.join(lines, "rid").filter("at > start and indent <= own").groupBy("rid", "pos").agg(F.min("at").alias("stop"))
-    blocks = heads.join(ends, ["rid", "pos"], "left").select("rid", "pos", "start", "stop")
-    named = valid_only(functions(chunks), checked)
-    text = chunks.select(F.monotonically_increasing_id().alias("rid"), "content")
-    out = named.join(bodies.unionByName(blocks), ["rid", "pos"]).join(text, "rid")
-    code = F.rtrim(F.expr("substring(content, start + 1, coalesce(stop, length(content)) - start)"), F.lit(" \t\r\n"))
+    own = staged(numbered(chunks), "numbered-chunks")  # one numbering for both uses
+    out = valid_only(functions(own), checked).join(own.select("rid", "content"), "rid")
+    code = F.rtrim(F.expr("substring(content, cast(start + 1 as int), cast(coalesce(stop, length(content)) - start as int))"), F.lit(" \t\r\n"))
     return out.select("chunk_id", "file_path", "func_name", "description", code.alias("code"))

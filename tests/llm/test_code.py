@@ -245,3 +245,20 @@ def test_short_long_named_and_unnamed(monkeypatch):
     assert hit(f"x = '{layered}'") == [layered]
     long = " ".join(f"password=abc1234{i}z" for i in range(20_000))  # one line: the time grows with it
     assert len(secrets.scan("# " + long)) == 20_000 and len(secrets.scan("x " + long)) == 0
+
+
+def test_heads_of_any_make_up(spark):
+    """Parentheses far deeper than code has, tabs after def, functions whose end is an indent or the end, and time that grows with the file."""
+    deep = "(" * 20 + "1" + ")" * 20
+    py = f'def\tf(a={deep}, b=")"):\n    """Says what it does here."""\n    return a\n\n\n# below\nx = 1\nclass A:\n    def g(self):\n        """Says what it does too."""\n        if 1:\n            return 2\n\n    y = 3\n    async def h(self): "and says it on one line"\n'
+    java = f'class A {{\n  /** Says what it does here. */\n  void f(@X(a = {deep}) int b) {{ if (b) {{ }} }}\n}}\n'
+    ts = f"/** Says what it does here. */\nfunction f(a = {deep}) {{\n  return `}}`;\n}}\nlet z = 1;\n/** And this one says as much. */\nconst g = (a) => a + 1;\nlet y;\n"
+    many = "\n\n".join(f'def f{i}(a):\n    """Says what it does here."""\n    x = {{"a": [a]}}\n    return x' for i in range(4000))
+    df = spark.createDataFrame([(1, "a.py", "python", py), (2, "b.java", "java", java), (3, "c.ts", "typescript", ts), (4, "d.py", "python", many), (4, "d.py", "python", "")], "chunk_id long, file_path string, language string, content string")
+    df = df.selectExpr("*", "'code' as node_type", "cast(null as string) as docstring", "'x' as rid", "1 as pos")
+    checked = spark.createDataFrame([("z", False)], "file_path string, valid boolean")
+    got = {(r["chunk_id"], r["func_name"]): r["code"] for r in docpairs.pairs(df, checked).collect()}
+    assert len(got) == 4006 and got[4, "f7"].startswith("def f7") and got[4, "f7"].endswith("return x") and got[4, "f3999"].endswith("return x")
+    assert got[1, "f"].endswith("return a\n\n\n# below") and got[1, "g"].endswith("return 2") and got[1, "h"].endswith("on one line\"")
+    assert got[2, "f"].endswith("{ if (b) { } }") and got[3, "f"].endswith("`}`;\n}") and got[3, "g"] == "const g = (a) => a + 1;"
+    assert docpairs.found(df.limit(0), checked).count() == 0
