@@ -67,16 +67,16 @@ def line_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_chunk_id, coalesce(nullif(trim(regexp_extract(content, '(?m)^#{1,6}[ \t]+([^\n]+)$', 1)), ''),
-        nullif(trim(regexp_replace(trim(split_part(regexp_replace(content, '^\s+', ''), chr(10), 1)), '^#+', '')), ''), 'untitled')[1:80] AS title FROM doc_chunks"""
+    r"""SELECT doc_chunk_id, CASE WHEN regexp_matches(content, '(?m)^#{1,6}\s+.+$') THEN regexp_replace(regexp_extract(content, '(?m)^#{1,6}\s+(.+)$', 1), '^\s+|\s+$', '', 'g')
+        ELSE coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(split_part(content, chr(10), 1), '^\s+|\s+$', '', 'g'), '^#+', ''), '^\s+|\s+$', '', 'g')[1:80], ''), 'untitled') END AS title FROM doc_chunks"""
 )
 def titles(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "doc_chunks").select("doc_chunk_id", tx.title(F.col("content")).alias("title"))
 
 
 @query(
-    r"""SELECT chunk_id, coalesce(nullif(regexp_replace(regexp_extract(content, '"{3}([\s\S]*?)"{3}', 1), '^\s+|\s+$', '', 'g'), ''),
-        nullif(regexp_replace(regexp_extract(content, '''{3}([\s\S]*?)''{3}', 1), '^\s+|\s+$', '', 'g'), '')) AS doc FROM code_chunks WHERE language = 'python'"""
+    r"""SELECT chunk_id, nullif(regexp_replace(CASE WHEN regexp_matches(content, '"{3}[\s\S]*?"{3}') THEN regexp_extract(content, '"{3}([\s\S]*?)"{3}', 1)
+        ELSE regexp_extract(content, '''{3}([\s\S]*?)''{3}', 1) END, '^\s+|\s+$', '', 'g'), '') AS doc FROM code_chunks WHERE language = 'python'"""
 )
 def docstrings(s: SparkSession, d: str) -> DataFrame:
     own = table(s, d, "code_chunks").filter("language = 'python'")
@@ -90,20 +90,22 @@ def parent_classes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "code_chunks").select("chunk_id", tx.parent_class(F.col("parent_context")).alias("parent"))
 
 
-@query(r"""SELECT doc_id, nullif(regexp_extract(text, '(?i)```(?:python|py)?[ \t]*\r?\n([\s\S]*?)```', 1), '') AS code FROM documents""")
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)```[ \t]*(?:python|py)?[ \t]*\n[\s\S]*?```') THEN regexp_extract(text, '(?i)```[ \t]*(?:python|py)?[ \t]*\n([\s\S]*?)```', 1) END AS code FROM documents""")
 def fenced_code(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", tx.fenced_code(F.col("text")).alias("code"))
 
 
 @query(
-    r"""SELECT DISTINCT file_path, CASE WHEN lower(file_path) LIKE '%.py' THEN regexp_replace(replace(regexp_replace(file_path, '\.[A-Za-z]+$', ''), '/', '.'), '(^|\.)__init__$', '')
-        ELSE regexp_replace(replace(regexp_replace(file_path, '\.[A-Za-z]+$', ''), '/', '.'), '\.index$', '') END AS module FROM code_chunks"""
+    r"""WITH f AS (SELECT DISTINCT file_path, replace(regexp_replace(file_path, '([^/])\.[^./]+$', '\1'), '/', '.') AS dotted FROM code_chunks)
+    SELECT file_path, CASE WHEN file_path LIKE '%.py' THEN regexp_replace(dotted, '(^|\.)__init__$', '') ELSE regexp_replace(dotted, '\.index$', '') END AS module FROM f"""
 )
 def module_names(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "code_chunks").select("file_path").distinct().withColumn("module", tx.module_name(F.col("file_path")))
 
 
-@query(r"""SELECT task_id, module_path, 'migrate/' || thread_id || '/' || regexp_replace(replace(regexp_replace(module_path, '\.py$', ''), '/', '.'), '[^A-Za-z0-9._-]', '-', 'g') AS branch FROM migration_tasks""")
+@query(
+    r"""SELECT task_id, module_path, 'migration/' || thread_id || '/' || regexp_replace(replace(regexp_replace(replace(module_path, chr(92), '/'), '\.py$', ''), '/', '.'), '[^\p{L}\p{M}\p{N}_./-]', '-', 'g') AS branch FROM migration_tasks"""
+)
 def branch_names(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "migration_tasks").select("task_id", "module_path", tx.branch_name(F.col("thread_id"), F.col("module_path")).alias("branch"))
 
@@ -125,7 +127,7 @@ def backoff_schedule(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT result_id, coalesce(contains(lower(error), '429') OR contains(lower(error), 'rate limit') OR contains(lower(error), 'rate_limit') OR contains(lower(error), 'too many requests')
+    """SELECT result_id, coalesce(contains(lower(error), '429') OR contains(lower(error), 'rate limit') OR contains(lower(error), 'rate-limited') OR contains(lower(error), 'too many requests')
         OR contains(lower(error), 'quota') OR contains(lower(error), 'resource_exhausted'), false) AS limited FROM task_results"""
 )
 def rate_limit_errors(s: SparkSession, d: str) -> DataFrame:
@@ -202,11 +204,17 @@ def known_context(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH f AS (SELECT DISTINCT file_path FROM code_chunks) SELECT a.file_path, b.file_path AS test FROM f a JOIN f b ON b.file_path = regexp_replace(a.file_path, '([^/]+)$', 'test_\1')"""
+    r"""WITH f AS (SELECT DISTINCT file_path FROM code_chunks), t AS (SELECT file_path, regexp_replace(file_path, '([^/]+)$', 'test_\1') AS test FROM f),
+        g AS (SELECT file_path FROM f UNION SELECT test FROM t WHERE file_path LIKE '%.py')
+    SELECT t.file_path, t.test, t.test IN (SELECT file_path FROM g) AS adjacent, t.test IN (SELECT file_path FROM f) AS there FROM t"""
 )
 def adjacent_tests(s: SparkSession, d: str) -> DataFrame:
+    """Where each file's test would lie, and whether it is there: among the files, and among the files and the tests that Python files would have."""
     files = table(s, d, "code_chunks").select("file_path").distinct()
-    return files.withColumn("test", tx.test_path(F.col("file_path"))).join(files.select(F.col("file_path").alias("test")), "test", "left_semi").select("file_path", "test")
+    placed = files.withColumn("test", tx.test_path(F.col("file_path")))
+    would = files.select(F.col("file_path").alias("test")).union(placed.filter("file_path like '%.py'").select("test")).distinct()
+    found = placed.join(would.withColumn("a", F.lit(True)), "test", "left").join(files.select(F.col("file_path").alias("test"), F.lit(True).alias("b")), "test", "left")
+    return found.select("file_path", "test", F.coalesce("a", F.lit(False)).alias("adjacent"), F.coalesce("b", F.lit(False)).alias("there"))
 
 
 # ---------------------------------------------------------------- aggregations
@@ -293,16 +301,22 @@ def chunk_gaps(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT file_path, start_line, end_line FROM code_chunks WHERE start_line IS NOT NULL),
-        p AS (SELECT *, row_number() OVER w AS pos, lag(end_line) OVER w AS prev FROM c WINDOW w AS (PARTITION BY file_path ORDER BY start_line, end_line)),
-        e AS (SELECT file_path, min(start_line) AS a, max(end_line) AS b, max(pos) AS n FROM p GROUP BY file_path),
-        s AS (SELECT file_path, 0 AS pos, 'preamble' AS kind, 1 AS first, a - 1 AS last FROM e
-            UNION ALL SELECT file_path, pos, 'section', coalesce(prev + 1, start_line), end_line FROM p UNION ALL SELECT file_path, n + 1, 'epilogue', b + 1, b + 1 FROM e)
-    SELECT file_path, CAST(pos AS INTEGER) AS pos, kind, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM s WHERE first <= last"""
+    r"""WITH o AS (SELECT file_path, start_line, content FROM code_chunks WHERE start_line IS NOT NULL AND content IS NOT NULL AND file_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_path, start_line ORDER BY chunk_id) = 1),
+        l AS (SELECT file_path, start_line + i - 1 AS line, string_split(content, chr(10))[i] AS t FROM (SELECT file_path, start_line, content, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM o)),
+        c AS (SELECT DISTINCT file_path, start_line, end_line FROM code_chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL AND node_type IN ('function', 'class')),
+        p AS (SELECT *, row_number() OVER w AS k, lag(end_line) OVER w AS prev FROM c WINDOW w AS (PARTITION BY file_path ORDER BY start_line, end_line)),
+        e AS (SELECT file_path, min(start_line) AS a, max(end_line) AS b FROM c GROUP BY file_path),
+        g AS (SELECT l.file_path, l.line, l.t, CASE WHEN e.a IS NULL OR l.line < e.a THEN 0 WHEN l.line > e.b THEN 1000000 ELSE p.k END AS k FROM l LEFT JOIN e USING (file_path)
+            LEFT JOIN p ON p.file_path = l.file_path AND l.line BETWEEN coalesce(p.prev + 1, p.start_line) AND p.end_line),
+        s AS (SELECT file_path, k, CASE k WHEN 0 THEN 'preamble' WHEN 1000000 THEN 'epilogue' ELSE 'section' END AS kind, bool_or(trim(t, E' \t\r\f') <> '') AS solid, sum(length(replace(t, ' ', ''))) AS n FROM g GROUP BY file_path, k)
+    SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY k) - 1 AS pos, kind, CAST(n AS BIGINT) AS solid_chars FROM s WHERE solid"""
 )
 def file_segments(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "code_chunks").filter("start_line is not null").select("file_path", "start_line", "end_line").distinct()
-    return sequences.segments(c, c.groupBy("file_path").agg((F.max("end_line") + 1).alias("n_lines")))
+    """Files put together from their chunks and cut along their functions and classes: what stands around these is preamble, part of a section, or epilogue."""
+    chunks = table(s, d, "code_chunks")
+    own = chunks.filter("node_type in ('function', 'class')").select("file_path", "start_line", "end_line").distinct()
+    cut = sequences.segments(tf.assembled(chunks), own)
+    return cut.select("file_path", F.col("pos").cast("bigint").alias("pos"), "kind", F.length(F.translate("content", " \n", "")).cast("bigint").alias("solid_chars"))
 
 
 @query(
@@ -558,13 +572,13 @@ def python_import_edges(s: SparkSession, d: str) -> DataFrame:
     """Imports of Python files, resolved; the syntax tree has no SQL."""
     files = tf.assembled(table(s, d, "code_chunks").filter("lower(file_path) like '%.py'"))
     found = files.select(tx.module_name(F.col("file_path")).alias("src"), F.explode(tf.python_imports(F.col("content"))).alias("i"))
-    name = F.when(F.col("i.level") > 0, tx.resolve_relative(F.col("i.level"), F.col("i.name"), F.col("src"))).otherwise(F.col("i.name"))
-    return found.select("src", name.alias("dst")).filter("dst is not null and src <> dst").distinct()
+    return found.select("src", tx.import_target(F.col("i"), F.col("src")).alias("dst")).filter("dst is not null and src <> dst").distinct()
 
 
 @query(
-    r"""WITH f AS (SELECT DISTINCT file_path, content FROM code_chunks WHERE regexp_matches(lower(file_path), '\.(ts|tsx|js|jsx)$'))
-    SELECT DISTINCT file_path, unnest(regexp_extract_all(content, '(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)["''](\.{1,2}/[^"'']*)["'']', 1)) AS spec FROM f"""
+    r"""WITH f AS (SELECT DISTINCT file_path, regexp_replace(content, '("(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|`(?:[^`\\]|\\[\s\S])*`)|//[^\n]*|/\*[\s\S]*?\*/', '\1', 'g') AS content
+        FROM code_chunks WHERE regexp_matches(lower(file_path), '\.(ts|tsx|js|jsx)$'))
+    SELECT DISTINCT file_path, unnest(regexp_extract_all(content, '(?:\bimport\s*(?:[\w$*{},\s]+\bfrom\s*)?|\brequire\s*\(\s*)["''](\.{1,2}/[^"'']*)["'']', 1)) AS spec FROM f"""
 )
 def script_imports(s: SparkSession, d: str) -> DataFrame:
     own = table(s, d, "code_chunks").filter(F.lower("file_path").rlike(r"\.(ts|tsx|js|jsx)$"))
@@ -589,7 +603,7 @@ def ingested_docs(s: SparkSession, d: str) -> DataFrame:
 @query()
 def diff_summaries(s: SparkSession, d: str) -> DataFrame:
     own = table(s, d, "migration_patterns")
-    return own.select("pattern_id", tf.diff_summary(F.col("before_code"), F.col("after_code")).alias("diff"))
+    return own.select("pattern_id", tf.diff_summary(F.col("before_code"), F.col("after_code"), F.concat(F.lit("pattern_"), F.col("pattern_id"))).alias("diff"))
 
 
 @query()

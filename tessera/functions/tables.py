@@ -19,29 +19,37 @@ CHUNK_SIZE, CHUNK_OVERLAP = 1000, 100
 
 
 def _packed(pieces: Iterator[str], size: int, overlap: int) -> list[str]:
+    """Pieces joined by line breaks as long as they fit; a new chunk begins with the end of the one before if that fits."""
     out: list[str] = []
-    for piece in filter(None, (p.strip() for p in pieces)):
+    for piece in pieces:
         if out and len(out[-1]) + 1 + len(piece) <= size:
             out[-1] += "\n" + piece
-            continue
-        tail = out[-1][-overlap:] if out and overlap else ""
-        out.append(f"{tail}\n{piece}" if tail and len(tail) + 1 + len(piece) <= size else piece)
+        else:
+            longer = f"{out[-1][-overlap:]}\n{piece}".strip() if out and overlap else piece
+            out.append(longer if len(longer) <= size else piece)
     return out
 
 
+def _windows(text: str, size: int, overlap: int) -> list[str]:
+    cut = (text[i : i + size].strip() for i in range(0, len(text), max(1, size - overlap)))
+    return [piece for piece in cut if piece]
+
+
 def split_markdown(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most `size` characters, cut at the strongest separator that the text holds, and packed again with overlap."""
+    """Pieces of at most `size` characters, cut at the strongest separator that the text holds, parts that are too long at weaker ones, and packed again
+    with overlap. Parts lose the blanks at their ends before they are measured; a text without any separator is cut into windows."""
     if len(text) <= size:
         return [text.strip()] if text.strip() else []
     at = next((i for i, s in enumerate(separators) if s in text), None)
     if at is None:
-        return _packed((text[i : i + size] for i in range(0, len(text), max(1, size - overlap))), size, 0)
+        return _windows(text, size, overlap)
     sep, weaker = separators[at], separators[at + 1 :]
     head, *rest = text.split(sep)
 
     def pieces() -> Iterator[str]:
-        for part in (head, *(sep + r for r in rest)):
-            yield from split_markdown(part, size, overlap, weaker) if len(part) > size else [part]
+        for part in (p.strip() for p in (head, *(sep + r for r in rest))):
+            if part:
+                yield from split_markdown(part, size, overlap, weaker)
 
     return _packed(pieces(), size, overlap)
 
@@ -64,17 +72,17 @@ def _python_imports(code: str | None, module: str | None) -> list[dict]:
     out = []
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
-            out += [{"level": 0, "name": a.name} for a in node.names]
+            out += [{"level": 0, "name": a.name, "submodule": False} for a in node.names]
         elif isinstance(node, ast.ImportFrom):
-            out += [{"level": node.level, "name": n} for n in ([node.module] if node.module else [a.name for a in node.names])]
+            out += [{"level": node.level, "name": n, "submodule": not node.module} for n in ([node.module] if node.module else [a.name for a in node.names])]
     return out
 
 
 def python_imports(code: Column) -> Column:
-    """An array of (level, name) of what a Python source imports; from-imports give their module, relative ones without a module their names.
-    A source that doesn't parse imports nothing."""
+    """An array of (level, name, submodule) of what a Python source imports; from-imports give their module, relative ones without a module their names,
+    which may be submodules. A source that doesn't parse imports nothing."""
 
-    @pandas_udf("array<struct<level:int,name:string>>")
+    @pandas_udf("array<struct<level:int,name:string,submodule:boolean>>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda c: _python_imports(c, None))
 
@@ -107,17 +115,19 @@ def assembled(chunks: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "file_path string, content string")
 
 
-SCRIPT_IMPORT = r"(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)[\"'](\.{1,2}/[^\"']*)[\"']"
-SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+#: A string, which stays, or a remark, which goes.
+SCRIPT_REMARK = r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)|//[^\n]*|/\*[\s\S]*?\*/"""
+SCRIPT_IMPORT = r"(?:\bimport\s*(?:[\w$*{},\s]+\bfrom\s*)?|\brequire\s*\(\s*)[\"'](\.{1,2}/[^\"']*)[\"']"
+SCRIPT_ENDINGS = (".ts", ".tsx", ".js", ".jsx")
 
 
 def script_imports(code: Column) -> Column:
-    """An array of the relative paths that a script imports or requires."""
-    return F.array_distinct(F.regexp_extract_all(code, F.lit(SCRIPT_IMPORT), F.lit(1)))
+    """An array of the relative paths that a script imports or requires; what stands in remarks, is exported again or imported at run time counts for nothing."""
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(code, SCRIPT_REMARK, "$1"), F.lit(SCRIPT_IMPORT), F.lit(1)))
 
 
 def script_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """The file of each import (src, folder, spec): the first that exists of the path as it is, with an ending, or an index within."""
+    """The file of each import (src, folder, spec): the first that exists of the path as it is, with an ending in place of its own, or an index within."""
     path = F.concat_ws("/", "folder", "spec")
 
     @pandas_udf("string")
@@ -126,25 +136,26 @@ def script_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
 
         return s.map(posixpath.normpath)
 
-    tried = imports.select("src", "spec", clean(path).alias("base")).select("src", "spec", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in SCRIPT_ENDINGS])).alias("place", "dst"))
+    stem = F.regexp_replace("base", r"(?<=[^/])\.[^./]*$", "")
+    tries = [F.col("base"), *(F.concat(stem, F.lit(e)) for e in SCRIPT_ENDINGS), *(F.concat("base", F.lit("/index" + e)) for e in SCRIPT_ENDINGS)]
+    tried = imports.select("src", "spec", clean(path).alias("base")).select("src", "spec", F.posexplode(F.array(*tries)).alias("place", "dst"))
     there = tried.join(files.select(F.col("file_path").alias("dst")).distinct(), "dst")
     return there.groupBy("src", "spec").agg(F.min_by("dst", "place").alias("dst"))
 
 
-def diff_summary(before: Column, after: Column, context: int = 2, most: int = 60) -> Column:
-    """A unified diff of at most `most` lines and a note of what is left out; `(no diff)` for equal texts."""
+def diff_summary(before: Column, after: Column, name: Column, context: int = 2, most: int = 60) -> Column:
+    """A unified diff of at most `most` lines, between a/name and b/name, and a note of how many more there are; `(no diff)` for equal texts. A missing text is empty."""
 
     @pandas_udf("string")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            lines = list(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), "before", "after", lineterm="", n=context))
-            if not lines:
-                return "(no diff)"
-            return "\n".join(lines[:most] + ([f"... {len(lines) - most} more lines"] if len(lines) > most else []))
+    def run(a: pd.Series, b: pd.Series, names: pd.Series) -> pd.Series:
+        def one(x, y, n):
+            lines = list(difflib.unified_diff((x or "").splitlines(keepends=True), (y or "").splitlines(keepends=True), f"a/{n}", f"b/{n}", n=context))
+            more = [f"... ({len(lines) - most} more lines)\n"] if len(lines) > most else []
+            return "".join(lines[:most] + more) or "(no diff)"
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)])
+        return pd.Series([one(*x) for x in zip(a, b, names)], dtype=object)
 
-    return run(before, after)
+    return run(before, after, name)
 
 
 CHUNK = "array<struct<start_line:int,end_line:int,node_type:string,name:string,content:string,part:int,parent_class:string,parent_context:string>>"

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 # Names and patterns that results must agree on.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
-LANGUAGE_OF_EXTENSION = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "cs": "csharp"}
+LANGUAGE_OF_EXTENSION = {"py": "python", "java": "java", "cs": "csharp", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript"}
 NODE_TYPES = {
-    "function_definition": "function", "function_declaration": "function", "method_definition": "function", "method_declaration": "function", "arrow_function": "function", "async_function_definition": "function",
-    "class_definition": "class", "class_declaration": "class", "interface_declaration": "class",
-    "import_statement": "import", "import_from_statement": "import", "import_declaration": "import",
+    "function_definition": "function", "class_definition": "class", "import_statement": "import", "import_from_statement": "import",
+    "method_declaration": "function", "constructor_declaration": "function", "class_declaration": "class",
+    "function_declaration": "function", "method_definition": "function", "arrow_function": "function", "import_declaration": "import",
 }
-RATE_LIMIT_WORDS = ("429", "rate limit", "rate_limit", "too many requests", "quota", "resource_exhausted")
+RATE_LIMIT_WORDS = ("429", "rate limit", "rate-limited", "too many requests", "quota", "resource_exhausted")
+BRANCH_PREFIX = "migration/"
 
 
 def _or_null(c: Column) -> Column:
@@ -43,17 +44,22 @@ def line_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
 def title(text: Column) -> Column:
-    """The first heading, else the first line without leading hashes, up to 80 characters, else `untitled`."""
-    heading = F.trim(F.regexp_extract(text, r"(?m)^#{1,6}[ \t]+([^\n]+)$", 1))
-    first = F.trim(F.regexp_replace(F.trim(F.split_part(F.regexp_replace(text, r"^\s+", ""), F.lit("\n"), F.lit(1))), "^#+", ""))
-    return F.substring(F.coalesce(_or_null(heading), _or_null(first), F.lit("untitled")), 1, 80)
+    """The first heading, however long, else the first line without leading hashes, up to 80 characters, else `untitled`."""
+    heading = r"(?mdU)^#{1,6}\s+(.+)$"
+    first = F.substring(_stripped(F.regexp_replace(_stripped(F.split_part(text, F.lit("\n"), F.lit(1))), "^#+", "")), 1, 80)
+    return F.when(text.rlike(heading), _stripped(F.regexp_extract(text, heading, 1))).otherwise(F.coalesce(_or_null(first), F.lit("untitled")))
 
 
 def docstring(code: Column, language: Column) -> Column:
-    """In Python the first triple-quoted text, double quotes before single ones; missing if empty."""
-    found = [_or_null(F.regexp_replace(F.regexp_extract(code, f"{q}([\\s\\S]*?){q}", 1), r"^\s+|\s+$", "")) for q in ('"""', "'''")]
-    return F.when(language == "python", F.coalesce(*found))
+    """In Python the first text between three double quotes, or if there is none between three single ones; missing if it is empty."""
+    double, single = '"""([\\s\\S]*?)"""', "'''([\\s\\S]*?)'''"
+    found = F.when(code.rlike(double), F.regexp_extract(code, double, 1)).otherwise(F.regexp_extract(code, single, 1))
+    return F.when(language == "python", _or_null(_stripped(found)))
 
 
 def node_type(syntax: Column) -> Column:
@@ -72,15 +78,16 @@ def parent_class(context: Column) -> Column:
 
 
 def fenced_code(text: Column, tags: str = "python|py") -> Column:
-    """The content of the first fence that is tagged with one of `tags` or not at all; missing if there is none."""
-    return _or_null(F.regexp_extract(text, rf"(?i)```(?:{tags})?[ \t]*\r?\n([\s\S]*?)```", 1))
+    """The content of the first fence that is tagged with one of `tags`, or not at all, up to its line's end; missing if there is none."""
+    fence = rf"(?i)```[ \t]*(?:{tags})?[ \t]*\n([\s\S]*?)```"
+    return F.when(text.rlike(fence), F.regexp_extract(text, fence, 1))
 
 
 def module_name(path: Column) -> Column:
     """A file's dotted module: packages by their folder, Python without its ending, others by folder and stem, `index` by its folder."""
-    dotted = F.replace(F.regexp_replace(path, r"\.[A-Za-z]+$", ""), F.lit("/"), F.lit("."))
+    dotted = F.replace(F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", ""), F.lit("/"), F.lit("."))
     package = F.regexp_replace(dotted, r"(^|\.)__init__$", "")
-    return F.when(F.lower(path).endswith(".py"), package).otherwise(F.regexp_replace(dotted, r"\.index$", ""))
+    return F.when(path.endswith(".py"), package).otherwise(F.regexp_replace(dotted, r"\.index$", ""))
 
 
 def resolve_relative(level: Column, name: Column, module: Column) -> Column:
@@ -91,9 +98,17 @@ def resolve_relative(level: Column, name: Column, module: Column) -> Column:
     return _or_null(F.array_join(F.concat(base, F.when(F.coalesce(name, F.lit("")) != "", F.array(name)).otherwise(F.array().cast("array<string>"))), "."))
 
 
+def import_target(found: Column, module: Column) -> Column:
+    """The module that an import (level, name, submodule) of `module` means; names imported from a package may be its modules, at the top they stand alone."""
+    base = resolve_relative(found["level"], F.lit(None).cast("string"), module)
+    inside = F.coalesce(F.concat(base, F.lit("."), found["name"]), found["name"])
+    return F.when(found["level"] == 0, found["name"]).when(found["submodule"], inside).otherwise(resolve_relative(found["level"], found["name"], module))
+
+
 def branch_name(run: Column, path: Column) -> Column:
-    stem = F.regexp_replace(F.replace(F.regexp_replace(path, r"\.py$", ""), F.lit("/"), F.lit(".")), r"[^A-Za-z0-9._-]", "-")
-    return F.concat(F.lit("migrate/"), run, F.lit("/"), stem)
+    """The branch of a run for a file: dots for folders, no `.py`, a dash for whatever is neither letter, digit, underscore, dash, dot nor slash."""
+    dotted = F.replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"\.py\z", ""), F.lit("/"), F.lit("."))
+    return F.concat(F.lit(BRANCH_PREFIX), run, F.lit("/"), F.regexp_replace(dotted, r"(?U)[^\w\-./]", "-"))
 
 
 def slug(text: Column) -> Column:

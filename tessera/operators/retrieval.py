@@ -84,9 +84,29 @@ def sweep(dense: DataFrame, sparse: DataFrame, spark: SparkSession, alphas: tupl
     return out.select("query_id.alpha", "query_id.query_id", "id", "score", "rank")
 
 
-def route(query: Column) -> Column:
-    """The default classifier of queries: (intent, collections)."""
+#: The intents of queries with the collections that are searched for them.
+COLLECTIONS = {
+    "code_pattern": ("code_chunks", "migration_patterns"),
+    "migration_guide": ("doc_chunks",),
+    "api_reference": ("doc_chunks", "code_chunks"),
+    "combined": ("code_chunks", "doc_chunks", "migration_patterns"),
+}
+LANGUAGES = ("python", "typescript", "javascript", "java", "csharp", "go")
+
+
+def intent(query: Column) -> Column:
+    """The default classifier of queries, by words: each of three intents has its own, and a query with words of several, or of none, is `combined`."""
     low = F.lower(query)
-    intent = F.when(low.rlike(r"\b(migrat|convert|upgrade|replace|port)\w*"), "api_migration").when(low.rlike(r"\b(where|which (file|function|class)|defined|implementation)\b|[a-z_]+\(\)"), "code_lookup").when(low.rlike(r"\b(how|why|explain|guide|docs?|documentation)\b"), "doc_lookup").otherwise("general")
-    collections = F.when(intent == "api_migration", F.array(F.lit("patterns"), F.lit("docs"))).when(intent == "code_lookup", F.array(F.lit("code"))).when(intent == "doc_lookup", F.array(F.lit("docs"))).otherwise(F.array(F.lit("code"), F.lit("docs")))
-    return F.struct(intent.alias("intent"), collections.alias("collections"))
+    code = low.rlike(r"\b(show|example|examples|snippet|pattern|implement\w*|define|syntax|write)\b")
+    guide = low.rlike(r"\b(migrat\w*|upgrade\w*|changed|changelog|convert\w*|guide)\b")
+    reference = low.rlike(r"\b(signature|arguments?|parameters?|returns?|return type|accepts?|class|module|does)\b|\w\(\)")
+    hits = code.cast("int") + guide.cast("int") + reference.cast("int")
+    return F.when(hits != 1, "combined").when(code, "code_pattern").when(guide, "migration_guide").when(reference, "api_reference").otherwise("combined")
+
+
+def route(query: Column, of: Callable[[Column], Column] = intent) -> Column:
+    """(intent, collections, language_hint) of a query: the collections of its intent, and the language that it names, if it does."""
+    kind = of(query)
+    named = F.create_map(*[x for k, v in COLLECTIONS.items() for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
+    hint = F.nullif(F.regexp_extract(F.lower(query), r"\b(" + "|".join(LANGUAGES) + r")\b", 1), F.lit(""))
+    return F.struct(kind.alias("intent"), named[kind].alias("collections"), hint.alias("language_hint"))

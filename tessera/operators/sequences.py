@@ -51,14 +51,19 @@ def top_per_group(df: DataFrame, keys: list[str], k: int, *order: Column) -> Dat
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= k).drop("__n")
 
 
-def segments(chunks: DataFrame, lines: DataFrame) -> DataFrame:
-    """Files cut along their chunks: rows (file_path, pos, kind, first, last) of the `preamble` before the first chunk, a `section` for each chunk
-    with the lines before it, and the `epilogue` after the last; a file of `lines` (file_path, n_lines) without chunks is one preamble."""
-    w = Window.partitionBy("file_path").orderBy("start_line", "end_line")
-    own = chunks.select("file_path", "start_line", "end_line").filter("start_line is not null").withColumn("pos", F.row_number().over(w)).withColumn("prev", F.lag("end_line").over(w))
-    body = own.select("file_path", "pos", F.lit("section").alias("kind"), F.coalesce(F.col("prev") + 1, "start_line").alias("first"), F.col("end_line").alias("last"))
-    ends = own.groupBy("file_path").agg(F.min("start_line").alias("a"), F.max("end_line").alias("b"), F.max("pos").alias("n"))
-    known = lines.select("file_path", "n_lines").join(ends, "file_path", "left")
-    head = known.select("file_path", F.lit(0).alias("pos"), F.lit("preamble").alias("kind"), F.lit(1).alias("first"), F.coalesce(F.col("a") - 1, F.col("n_lines")).cast("int").alias("last"))
-    tail = known.filter("b is not null").select("file_path", (F.col("n") + 1).alias("pos"), F.lit("epilogue").alias("kind"), (F.col("b") + 1).alias("first"), F.col("n_lines").cast("int").alias("last"))
-    return head.unionByName(body).unionByName(tail).filter("first <= last")
+def segments(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Files (file_path, content) cut along their chunks (file_path, start_line, end_line): rows (file_path, pos, kind, first, last, content) of the `preamble` before the
+    first chunk, a `section` for each chunk with the lines between it and the one before, and the `epilogue` after the last. Segments of blanks are left out, pos
+    counts those that stay from 0. A file without chunks is one preamble, also if blank. A file's chunks are one row's work."""
+    own = chunks.filter("start_line is not null and end_line is not null").groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line"))).alias("c"))
+    known = lines.select("file_path", F.split("content", "\n").alias("l")).join(own, "file_path", "left").withColumn("n", F.size("l"))
+
+    def cut(kind: str, first: Column, last: Column) -> Column:
+        last = F.least(last, F.col("n"))
+        return F.struct(F.lit(kind).alias("kind"), first.alias("first"), last.alias("last"), F.when(last >= first, F.array_join(F.slice("l", first, last - first + 1), "\n")).otherwise("").alias("content"))
+
+    sections = F.transform("c", lambda x, i: cut("section", F.when(i == 0, x["start_line"]).otherwise(F.get("c", i - 1)["end_line"] + 1), x["end_line"]))
+    head, tail = cut("preamble", F.lit(1), F.element_at("c", 1)["start_line"] - 1), cut("epilogue", F.element_at("c", -1)["end_line"] + 1, F.col("n"))
+    kept = F.filter(F.concat(F.array(head), sections, F.array(tail)), lambda x: F.trim(F.translate(x["content"], "\t\r\n\f", "    ")) != "")
+    out = known.select("file_path", F.posexplode(F.when(F.col("c").isNull(), F.array(cut("preamble", F.lit(1), F.col("n")))).otherwise(kept)).alias("pos", "x"))
+    return out.select("file_path", "pos", "x.kind", "x.first", "x.last", "x.content")

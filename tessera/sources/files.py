@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Folders that are never walked, and endings that are.
-PRUNED = ("node_modules", "__pycache__", ".git", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", ".tox", "site-packages")
-WALKED = ("py", "ts", "tsx", "js", "jsx", "java", "cs", "go")
+PRUNED = ("node_modules", ".venv", "venv", "env", "__pycache__", "dist", "build", ".git", ".mypy_cache", ".ruff_cache", ".pytest_cache")
+WALKED = ("py", "java", "cs", "ts", "tsx", "js", "jsx", "go")
 
 EVAL_ENTRY = T.StructType([T.StructField("query", T.StringType(), False), T.StructField("ground_truth_chunk_ids", T.ArrayType(T.StringType()), False), T.StructField("query_type", T.StringType(), False), T.StructField("difficulty", T.StringType(), False)])
 

@@ -31,8 +31,10 @@ def test_limits_and_filters(spark, rows):
     df = spark.createDataFrame([("python", "f"), ("java", "f"), (None, "g")], "language string, node_type string")
     assert df.filter(retrieval.metadata_filter({"language": "python", "node_type": ""})).count() == 1
     assert df.filter(retrieval.metadata_filter({})).count() == 3
-    routed = spark.createDataFrame([("migrate the app",), ("where is f defined",), ("how to log",), ("x",)], "q string").select(retrieval.route(F.col("q")).alias("r")).select("r.intent").collect()
-    assert [r[0] for r in routed] == ["api_migration", "code_lookup", "doc_lookup", "general"]
+    asked = ["show me how to define a route in Python", "what changed and how do I upgrade", "what arguments are accepted", "migrate my app with examples", "x", None]
+    routed = spark.createDataFrame([(q,) for q in asked], "q string").select(retrieval.route(F.col("q")).alias("r")).select("r.*").collect()
+    assert [r["intent"] for r in routed] == ["code_pattern", "migration_guide", "api_reference", "combined", "combined", "combined"] and routed[0]["language_hint"] == "python" and routed[1]["language_hint"] is None
+    assert [r["collections"] for r in routed[:4]] == [["code_chunks", "migration_patterns"], ["doc_chunks"], ["doc_chunks", "code_chunks"], ["code_chunks", "doc_chunks", "migration_patterns"]]
 
 
 def test_nearest_equals_brute_force(spark):
@@ -123,9 +125,11 @@ def test_sequences(spark, rows):
     assert [r[1] for r in rows(sequences.step_changes(v, ["k"], ["t"], "v"))] == [1, 4]
     assert [(r["running"], r["over"]) for r in sequences.running_total(v, ["k"], ["t"], "v", 6.0).orderBy("t").collect()] == [(3, False), (6, False), (6, False), (10, True)]
     assert rows(sequences.last_per_key(df, ["k"], "t").select("k", "t")) == [("x", 4), ("y", 1)]
-    chunks = spark.createDataFrame([("f", 3, 5), ("f", 8, 9)], "file_path string, start_line int, end_line int")
-    lines = spark.createDataFrame([("f", 12), ("g", 4)], "file_path string, n_lines int")
-    assert rows(sequences.segments(chunks, lines)) == [("f", 0, "preamble", 1, 2), ("f", 1, "section", 3, 5), ("f", 2, "section", 6, 9), ("f", 3, "epilogue", 10, 12), ("g", 0, "preamble", 1, 4)]
+    chunks = spark.createDataFrame([("f", 3, 5), ("f", 8, 9), ("h", 1, 2)], "file_path string, start_line int, end_line int")
+    lines = spark.createDataFrame([("f", "1\n2\n3\n4\n5\n\n7\n8\n9\n10\n"), ("g", "1\n2"), ("h", "1\n2\n \n")], "file_path string, content string")
+    want = [("f", 0, "preamble", 1, 2), ("f", 1, "section", 3, 5), ("f", 2, "section", 6, 9), ("f", 3, "epilogue", 10, 11), ("g", 0, "preamble", 1, 2), ("h", 0, "section", 1, 2)]
+    cut = sequences.segments(lines, chunks)
+    assert rows(cut.drop("content")) == want and rows(cut.select("content"))[0] == ("10\n",)
 
 
 def test_pattern_store(spark, rows):
