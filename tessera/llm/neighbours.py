@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from tessera.session import staged
 
-MAX_PIVOTS = 8192  # bound of the sample that the index is fitted on, and of what each task holds of it
-ORDER = 24  # pivots in a vector's order
+MAX_PIVOTS = 1 << 16  # bound of the sample that the index is fitted on, and of what each task holds of it; reached at 1.07 billion vectors
+ORDER = 64  # pivots in a vector's order
 POSTED, VISITED = 8, 8  # files a vector is posted in, and visits
-RERANKED = 0.7  # share of a file that is reranked for a query, the nearest by footrule and their ties
+RERANKED = 0.4  # share of a file that is reranked for a query, the nearest by footrule and their ties
 LEAST = 64  # and at least so many
 BLOCK = 4096  # rows of a block of a file
 DECIMALS = 9
@@ -62,11 +62,11 @@ def pivot_count(n: int) -> int:
 
 def _order(units: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     out = []
-    for part in np.array_split(units.astype(np.float32), max(1, len(units) // 2048)):
+    for part in np.array_split(units.astype(np.float32), max(1, len(units) * len(pivots) >> 22)):  # some tens of MB at a time
         cos = part @ pivots.T
         top = np.argpartition(-cos, length - 1, axis=1)[:, :length] if length < cos.shape[1] else np.tile(np.arange(cos.shape[1]), (len(part), 1))
         out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(cos, top, 1), axis=1, kind="stable"), 1))
-    return np.concatenate(out).astype(np.int16)
+    return np.concatenate(out).astype(np.uint16)
 
 
 def _closeness(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def _closeness(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     absent pivots at place l is l(l+1) minus twice that."""
     length = q.shape[1]
     names, local = np.unique(np.concatenate([x.ravel(), q.ravel()]), return_inverse=True)
-    weight = np.arange(length, 0, -1, dtype=np.int8)
+    weight = np.arange(length, 0, -1, dtype=np.int8)  # up to 127
     posted = np.zeros((len(names), len(x)), np.int8)  # an inverted file a row, dense within the block
     posted[local[: x.size].reshape(x.shape), np.arange(len(x))[:, None]] = weight
     out = np.empty((len(q), len(x)), np.int16)
@@ -138,8 +138,8 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
     if not n:
         return empty
     p = pivot_count(n)
-    sample = heads.select("vec", F.xxhash64(F.lit(3), "cid").alias("h"), "cid").orderBy("h", "cid").limit(p).collect()  # MAX_PIVOTS rows at most
-    pivots = _unit(np.array([r["vec"] for r in sample], np.float32)).astype(np.float32)
+    sample = heads.select("vec", F.xxhash64(F.lit(3), "cid").alias("h"), "cid").orderBy("h", "cid").limit(p).toArrow()  # MAX_PIVOTS rows at most
+    pivots = _unit(_matrix(sample.column("vec").combine_chunks(), dim)).astype(np.float32)
     length, posted, visited = min(ORDER, p), min(posted, p), min(visited, p)
 
     def orders(batches):
@@ -147,18 +147,17 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
             if len(b):
                 o = _order(_unit(_matrix(b.column(1), dim)), pivots, length)
                 offsets = pa.array(np.arange(0, o.size + 1, length, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(o.ravel()))], names=["cid", "vec", "pivots"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(o.ravel().view(np.int16)))], names=["cid", "vec", "pivots"])
 
     index = staged(heads.select("cid", "vec").mapInArrow(orders, "cid bigint, vec array<float>, pivots array<smallint>"), "pivot-orders")
-    sizes = index.select(F.explode(F.slice("pivots", 1, posted)).alias("file")).groupBy("file").count().collect()  # a row for each pivot
+    sizes = index.select(F.explode(F.slice("pivots", 1, posted)).alias("file")).groupBy("file").count().toArrow()  # a row for each pivot
     blocks = np.ones(p, np.int32)
-    for r in sizes:
-        blocks[r["file"]] = math.ceil(r["count"] / BLOCK)
+    blocks[sizes.column("file").to_numpy().view(np.uint16)] = -(-sizes.column("count").to_numpy() // BLOCK)
 
     def routed(batches):
         """A row for each file and pair of blocks in which the vector is a query (1), a posting (2) or both (3)."""
         for b in batches:
-            o = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, length) if len(b) else np.zeros((0, length), np.int16)
+            o = b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, length) if len(b) else np.zeros((0, length), np.uint16)
             ids = b.column(0).to_numpy()
             mix = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             at, file, qb, xb, role = [], [], [], [], []
@@ -187,7 +186,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
         t = t.combine_chunks()
         role, ids = t.column("role").to_numpy(), t.column("cid").to_numpy()
         units = _unit(_matrix(t.column("vec").combine_chunks(), dim))
-        o = t.column("pivots").combine_chunks().flatten().to_numpy().reshape(-1, length)
+        o = t.column("pivots").combine_chunks().flatten().to_numpy().view(np.uint16).reshape(-1, length)
         is_q, is_x = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if len(is_x) and len(is_q):
