@@ -413,14 +413,15 @@ _SPARSE = r"""tok AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z
     sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sparse)"""
 
 
-def _dense(s: SparkSession, d: str, k: int) -> DataFrame:
+def _dense(s: SparkSession, d: str, k: int, among: DataFrame | None = None) -> DataFrame:
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return vectors.nearest(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), v, k)
+    return vectors.nearest(v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), v.join(among, "id", "left_semi") if among else v, k)
 
 
-def _sparse(s: SparkSession, d: str, k: int) -> DataFrame:
+def _sparse(s: SparkSession, d: str, k: int, among: DataFrame | None = None) -> DataFrame:
     docs = table(s, d, "documents")
-    postings = vectors.term_weights(docs.select(F.col("doc_id").alias("id"), "text"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    postings = vectors.term_weights(texts.join(among, "id", "left_semi") if among else texts)
     terms = vectors.term_weights(docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("id"), F.col("title").alias("text"))).withColumnRenamed("id", "query_id")
     return vectors.sparse_nearest(terms, postings, k)
 
@@ -623,3 +624,6 @@ def hourly_events(s: SparkSession, d: str) -> DataFrame:
 
     own = stateful.windowed(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value")
     return own.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+from tessera import catalog_runs  # noqa: E402, F401  (its queries join the others)

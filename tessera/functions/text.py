@@ -99,10 +99,11 @@ def resolve_relative(level: Column, name: Column, module: Column) -> Column:
 
 
 def import_target(found: Column, module: Column) -> Column:
-    """The module that an import (level, name, submodule) of `module` means; names imported from a package may be its modules, at the top they stand alone."""
-    base = resolve_relative(found["level"], F.lit(None).cast("string"), module)
-    inside = F.coalesce(F.concat(base, F.lit("."), found["name"]), found["name"])
-    return F.when(found["level"] == 0, found["name"]).when(found["submodule"], inside).otherwise(resolve_relative(found["level"], found["name"], module))
+    """The module that an import (level, name, submodule) of `module` means; names imported from a package may be its modules, at the top and beyond they stand alone."""
+    parts = F.split(module, r"\.")
+    none = F.array().cast("array<string>")
+    base = F.when(found["level"] <= F.size(parts), F.slice(parts, F.lit(1), F.greatest(F.size(parts) - found["level"], F.lit(0)))).when(found["submodule"], none)
+    return F.when(found["level"] == 0, found["name"]).otherwise(F.array_join(F.concat(base, F.array(found["name"])), "."))
 
 
 def branch_name(run: Column, path: Column) -> Column:

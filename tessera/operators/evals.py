@@ -59,3 +59,13 @@ def hit_rate(ranks: DataFrame, *by: str) -> DataFrame:
 def best(runs: DataFrame, *measures: str, order: str) -> DataFrame:
     """The run with the greatest measures, the first in `order` among equals."""
     return runs.orderBy(*[F.desc(m) for m in measures], F.asc(order)).limit(1)
+
+
+def table(measured: DataFrame, names: list[str], share: str, order: str) -> DataFrame:
+    """Rows (place, line) of a table in markdown, by falling share and then `order`; for a few rows."""
+    from pyspark.sql import Window
+
+    from tessera.operators.runs import percent_text, table_line
+
+    place = F.row_number().over(Window.orderBy(F.desc(share), F.asc(order))).alias("place")
+    return measured.select(place, table_line(*[F.col(c) for c in names], percent_text(F.col(share))).alias("line"))

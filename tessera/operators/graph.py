@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import tables as tf
+from tessera.functions import text as tx
 from tessera.session import dropped, staged
 
 
@@ -13,6 +15,50 @@ def known_edges(imports: DataFrame, nodes: DataFrame) -> DataFrame:
     return imports.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").filter("src <> dst").select("src", "dst").distinct()
 
 
+def modules(files: DataFrame) -> DataFrame:
+    """Rows (repo, module, file_path, files) of files (repo, file_path, path) in Python or a script; of several files of one module the last path counts."""
+    own = files.distinct().filter(F.lower("path").rlike(r"\.(py|ts|tsx|js|jsx)$")).withColumn("module", tx.module_name(F.col("path"))).filter("module <> ''")
+    return own.groupBy("repo", "module").agg(F.max("file_path").alias("file_path"), F.count("*").alias("files"))
+
+
+def python_edges(sources: DataFrame) -> DataFrame:
+    found = sources.select("repo", tx.module_name(F.col("path")).alias("src"), F.explode(tf.python_imports(F.col("content"))).alias("i"))
+    return found.select("repo", "src", tx.import_target(F.col("i"), F.col("src")).alias("dst"))
+
+
+def script_edges(sources: DataFrame) -> DataFrame:
+    """Paths stay within their repo, whose name stands before them while they are looked up."""
+    whole = F.concat("repo", F.lit("//"), "path")
+    found = sources.select(F.struct("repo", "path").alias("src"), F.regexp_replace(whole, r"/[^/]*$", "").alias("folder"), F.explode(tf.script_imports(F.col("content"))).alias("spec"))
+    there = tf.script_targets(found.withColumn("folder", F.replace("folder", F.lit("//"), F.lit("/"))), sources.select(F.concat("repo", F.lit("/"), "path").alias("file_path")))
+    inside = there.filter(F.startswith(F.col("dst"), F.concat("src.repo", F.lit("/"))))
+    dst = F.substring(F.col("dst"), F.length("src.repo") + 2, F.length("dst"))
+    return inside.select(F.col("src.repo").alias("repo"), tx.module_name(F.col("src.path")).alias("src"), tx.module_name(dst).alias("dst"))
+
+
+#: What finds the imports of files (repo, path, content) of an ending, as rows (repo, src, dst) of modules; others can be added.
+EXTRACTORS = {("py",): python_edges, ("js", "jsx", "ts", "tsx"): script_edges}
+
+
+def module_edges(sources: DataFrame) -> DataFrame:
+    """Distinct imports (repo, src, dst) between the modules of a repo, none of itself, of files (repo, path, content)."""
+    known = modules(sources.select("repo", F.col("path").alias("file_path"), "path")).select("repo", F.col("module").alias("dst"))
+    ending, out = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)), None
+    for endings, extract in EXTRACTORS.items():
+        own = extract(sources.filter(ending.isin(*endings)))
+        out = own if out is None else out.unionByName(own)
+    return out.filter("src <> dst and src <> ''").join(known, ["repo", "dst"], "left_semi").select("repo", "src", "dst").distinct()
+
+
+def module_files(named: DataFrame, files: DataFrame) -> DataFrame:
+    """The file (repo, module, path) of each module (repo, module): that of its name, else the init of its folder; missing if neither is among files (repo, path)."""
+    base = named.withColumn("base", F.replace("module", F.lit("."), F.lit("/")))
+    own = files.select("repo", "path").distinct()
+    plain = own.filter(F.col("path").endswith(".py")).select("repo", F.regexp_replace("path", r"\.py$", "").alias("base"), F.col("path").alias("p1"))
+    init = own.filter(F.col("path").endswith("/__init__.py")).select("repo", F.regexp_replace("path", r"/__init__\.py$", "").alias("base"), F.col("path").alias("p2"))
+    return base.join(plain, ["repo", "base"], "left").join(init, ["repo", "base"], "left").select("repo", "module", F.coalesce("p1", "p2").alias("path"))
+
+
 def roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (node, out_degree, in_degree, is_leaf, is_entry): a leaf needs nothing, nothing needs an entry point."""
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
