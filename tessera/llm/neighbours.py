@@ -22,7 +22,8 @@ from tessera.session import staged
 
 MAX_PIVOTS = 1 << 16  # bound of the sample that the index is fitted on, and of what each task holds of it; reached at 1.07 billion vectors
 ORDER = 64  # pivots in a vector's order
-POSTED, VISITED = 8, 8  # files a vector is posted in, and visits
+POSTED, VISITED = 8, 8  # files a vector is posted in, and visits; four more visits for every tenfold of VISITED_AT vectors
+VISITED_AT = 40_000
 RERANKED = 0.4  # share of a file that is reranked for a query, the nearest by footrule and their ties
 LEAST = 64  # and at least so many
 BLOCK = 4096  # rows of a block of a file
@@ -60,6 +61,11 @@ def pivot_count(n: int) -> int:
     return int(min(MAX_PIVOTS, n, max(32, math.ceil(2 * math.sqrt(n)))))
 
 
+def visit_count(n: int) -> int:
+    """Files that a query visits: the more pivots there are, the more of them share the vectors near to it."""
+    return VISITED + max(0, round(4 * math.log10(max(n, 1) / VISITED_AT)))
+
+
 def _order(units: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     out = []
     for part in np.array_split(units.astype(np.float32), max(1, len(units) * len(pivots) >> 22)):  # some tens of MB at a time
@@ -105,7 +111,7 @@ def _nearest(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarray, c
     return rows[ok], cols[ok], exact[ok]
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, posted: int = POSTED, visited: int = VISITED, reranked: float = RERANKED) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5, posted: int = POSTED, visited: int | None = None, reranked: float = RERANKED) -> DataFrame:
     """Rows (id, neighbour, cosine, place) of the k most similar vectors of every vector, place from 1.
 
     Cosines are rounded to nine decimals; ties go to the smaller id. Vectors that are missing, of another length than `dim`, all zero or
@@ -140,7 +146,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 5,
     p = pivot_count(n)
     sample = heads.select("vec", F.xxhash64(F.lit(3), "cid").alias("h"), "cid").orderBy("h", "cid").limit(p).toArrow()  # MAX_PIVOTS rows at most
     pivots = _unit(_matrix(sample.column("vec").combine_chunks(), dim)).astype(np.float32)
-    length, posted, visited = min(ORDER, p), min(posted, p), min(visited, p)
+    length, posted, visited = min(ORDER, p), min(posted, p), min(visited or visit_count(n), p, ORDER)
 
     def orders(batches):
         for b in batches:
