@@ -16,8 +16,8 @@ from tessera.session import staged
 BLANKS = " \t\r\n"
 TRAILING = r"[ \t\r\n]++\z"
 PART = 512  # numbers that are summed up at a time
-DOC_PIECE = "struct<content:string,forced:boolean>"
-CODE_PIECE = "struct<content:string,start_line:int,end_line:int,forced:boolean>"
+DOC_PIECE = "struct<content:string,back:int,forced:boolean>"
+CODE_PIECE = "struct<content:string,start_line:int,end_line:int,back:int,forced:boolean>"
 
 
 def doc_pattern(limit: int, overlap: int) -> str:
@@ -79,18 +79,18 @@ def _sums_before(values: Column) -> Column:
 
 
 def split_docs(docs: DataFrame, limit: int = 1000, overlap: int = 100, content_col: str = "content") -> DataFrame:
-    """`docs` with `over` (content above the limit), `forced` (a cut within a word was needed) and `pieces`, an array of (content, forced).
+    """`docs` with `over` (content above the limit), `forced` (a cut within a word was needed) and `pieces`, an array of (content, back, forced).
 
     Sizes are code points. A content within the limit is its own only piece; a missing one has none, nor has a blank one. No piece is
     longer than the limit; each but the first starts with the last `overlap` characters before it, except a word of more than
     limit - overlap characters, which is a piece by itself. Pieces without their overlap give the content again, but for pieces of blanks,
-    which are dropped. A piece is forced if it begins within a word. Other columns stay as they are.
+    which are dropped. `back` is the length of a piece's overlap. A piece is forced if it begins within a word. Other columns stay as they are.
     """
     content = F.col(content_col)
     over = F.coalesce(F.length(content) > limit, F.lit(False))
     out = _once(docs.withColumn("over", over), F.when(F.col("over"), _tiles(content, doc_pattern(limit, overlap))))
     none = F.array().cast(f"array<{DOC_PIECE}>")
-    whole = F.when(F.translate(content, BLANKS, "") != "", F.array(F.struct(content.alias("content"), F.lit(False).alias("forced"))))
+    whole = F.when(F.translate(content, BLANKS, "") != "", F.array(F.struct(content.alias("content"), F.lit(0).alias("back"), F.lit(False).alias("forced"))))
     out = _once(out, F.coalesce(F.when(F.col("over"), _doc_pieces(F.col("__tiles"), limit, overlap)).otherwise(whole), none), "pieces")
     return out.withColumn("forced", F.exists("pieces", lambda p: p["forced"])).drop("__tiles")
 
@@ -100,14 +100,14 @@ def _doc_pieces(tiles: Column, limit: int, overlap: int) -> Column:
         before = _previous(tiles, i)
         back = F.when(F.length(core) > limit - overlap, F.lit("")).otherwise(F.right(before, F.lit(overlap)))
         inside = (i > 0) & ~before.rlike(r"[ \t\r\n]\z") & ~core.rlike(r"\A[ \t\r\n]")
-        return F.struct(F.concat(back, core).alias("content"), inside.alias("forced"))
+        return F.struct(F.concat(back, core).alias("content"), F.length(back).alias("back"), inside.alias("forced"))
 
     kept = F.filter(F.transform(tiles, lambda c, i: F.struct(c.alias("core"), i.alias("i"))), lambda x: F.translate(x["core"], BLANKS, "") != "")
     return F.transform(kept, lambda x: piece(x["core"], x["i"]))
 
 
 def split_code(chunks: DataFrame, limit: int = 1200, reserve: int = 200, overlap_lines: int = 2, content_col: str = "content", start_col: str = "start_line") -> DataFrame:
-    """`chunks` with `over`, `forced` (a cut within a line was needed) and `pieces`, an array of (content, start_line, end_line, forced).
+    """`chunks` with `over`, `forced` (a cut within a line was needed) and `pieces`, an array of (content, start_line, end_line, back, forced), `back` the length of the overlap.
 
     Sizes are characters that are not space, tab or line break. A piece ends at blank lines or a line end where there is one within
     limit - reserve, or else within the limit, else at a blank, else anywhere. It starts with the `overlap_lines` lines before it, or fewer, as they fit; a
@@ -120,7 +120,7 @@ def split_code(chunks: DataFrame, limit: int = 1200, reserve: int = 200, overlap
     out = _once(chunks.withColumn("over", over), F.when(F.col("over"), _tiles(content, code_pattern(limit, reserve))))
     out = _once(out, _sums_before(F.transform("__tiles", _breaks)), "__at")
     trimmed = F.regexp_replace(content, TRAILING, "")
-    whole = F.when(F.translate(content, BLANKS, "") != "", F.array(_piece(trimmed, F.col(start_col), F.lit(False))))
+    whole = F.when(F.translate(content, BLANKS, "") != "", F.array(_piece(trimmed, F.col(start_col), F.lit(0), F.lit(False))))
     made = F.when(F.col("over"), _code_pieces(F.col("__tiles"), F.col("__at"), F.col(start_col), limit, overlap_lines)).otherwise(whole)
     out = _once(out, F.coalesce(made, F.array().cast(f"array<{CODE_PIECE}>")), "pieces")
     return out.withColumn("forced", F.exists("pieces", lambda p: p["forced"])).drop("__tiles", "__at")
@@ -135,8 +135,8 @@ def _breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "\n", ""))
 
 
-def _piece(content: Column, first: Column, forced: Column) -> Column:
-    return F.struct(content.alias("content"), first.cast("int").alias("start_line"), (first + _breaks(content)).cast("int").alias("end_line"), forced.alias("forced"))
+def _piece(content: Column, first: Column, back: Column, forced: Column) -> Column:
+    return F.struct(content.alias("content"), first.cast("int").alias("start_line"), (first + _breaks(content)).cast("int").alias("end_line"), back.alias("back"), forced.alias("forced"))
 
 
 def _code_pieces(tiles: Column, at: Column, start: Column, limit: int, overlap_lines: int) -> Column:
@@ -155,7 +155,7 @@ def _code_pieces(tiles: Column, at: Column, start: Column, limit: int, overlap_l
         def cut(prev: Column) -> Column:
             back = F.try_element_at(F.filter(fitting(prev, x["core"]), lambda b: b != ""), F.lit(1))
             inside = (x["i"] > 0) & ~prev.rlike(r"\n\z")
-            return _let(F.coalesce(back, F.lit("")), lambda b: _let(F.regexp_replace(F.concat(b, x["core"]), TRAILING, ""), lambda c: _piece(c, start + x["at"] - _breaks(b), inside)))
+            return _let(F.coalesce(back, F.lit("")), lambda b: _let(F.regexp_replace(F.concat(b, x["core"]), TRAILING, ""), lambda c: _piece(c, start + x["at"] - _breaks(b), F.length(b), inside)))
 
         return _let(_previous(tiles, x["i"]), cut)
 
@@ -181,6 +181,20 @@ def code_pieces(chunks: DataFrame, limit: int = 1200) -> DataFrame:
     return rows.select("chunk_id", "file_path", "language", "node_type", "piece_no", "p.start_line", "p.end_line", "p.content")
 
 
+def joined(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows (tab, rec_id, solid, within): the pieces of each content, without their overlaps, put together again, of which blanks are left out, and whether none is above a limit."""
+
+    def solid(pieces: str) -> Column:
+        return F.translate(F.array_join(F.transform(pieces, lambda p: F.substring(p["content"], p["back"] + 1, F.length(p["content"]))), ""), BLANKS, "").alias("solid")
+
+    def rows(df: DataFrame, tab: str, name: str, size, limit: int) -> DataFrame:
+        within = F.forall("pieces", lambda p: size(p["content"]) <= limit).alias("within")
+        return df.select(F.lit(tab).alias("tab"), F.col(name).alias("rec_id"), solid("pieces"), within)
+
+    d = rows(split_docs(docs), "doc_chunks", "doc_chunk_id", F.length, 1000)
+    return d.unionByName(rows(split_code(chunks), "code_chunks", "chunk_id", lambda c: F.length(F.translate(c, BLANKS, "")), 1200))
+
+
 def found(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows (tab, rec_id, cut) of contents that were cut: 'forced' if a piece begins where there is no boundary, else 'natural'."""
     cut = F.when(F.col("forced"), "forced").otherwise("natural").alias("cut")
