@@ -528,10 +528,9 @@ def hit_rates(s: SparkSession, d: str) -> DataFrame:
 )
 def retrieval_quality(s: SparkSession, d: str) -> DataFrame:
     labels = table(s, d, "embeddings").select("vec_id", "label")
-    truth = labels.groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("truth"))
-    found = _dense(s, d, 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("found"))
-    lists = found.join(labels.toDF("query_id", "label"), "query_id").join(truth, "label")
-    return evals.summary(evals.per_query(lists), "label")
+    queries = labels.filter("vec_id % 50 = 0").toDF("query_id", "label").join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
+    hits = _dense(s, d, 10).join(labels.toDF("query_id", "label"), "query_id").join(labels.toDF("id", "other"), "id")
+    return evals.summary(evals.graded(hits.select("query_id", "rank", (F.col("label") == F.col("other")).alias("relevant")), queries), "label")
 
 
 # ---------------------------------------------------------------- graphs

@@ -41,6 +41,23 @@ def per_query(lists: DataFrame, k: int = 5, decimals: int = 6) -> DataFrame:
     return lists.withColumns({"recall": F.round(recall_at(f, t, k), decimals), "mrr": F.round(mrr(f, t), decimals), "ndcg": F.round(ndcg_at(f, t, k), decimals)})
 
 
+def graded(hits: DataFrame, truth: DataFrame, k: int = 5, decimals: int = 6) -> DataFrame:
+    """The measures of ranked hits (query_id, rank from 0, relevant) against the number of what is true for each query (query_id, size, ...): rows of `truth` with recall, mrr
+    and ndcg. No list is gathered, so what is true may be any number; `hits` holds a query's relevant ids once each."""
+    gain = 1.0 / F.log2(F.col("rank").cast("double") + 2)
+    seen = hits.filter("relevant").groupBy("query_id").agg(F.count_if(F.col("rank") < k).alias("found"), F.min("rank").alias("first"), F.coalesce(F.sum(F.when(F.col("rank") < k, gain)), F.lit(0.0)).alias("got"))
+    best = F.aggregate(F.sequence(F.lit(0), F.greatest(F.least(F.col("size"), F.lit(k)) - 1, F.lit(0)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i.cast("double") + 2))
+    some = F.col("size") > 0
+    out = truth.join(seen, "query_id", "left").withColumns(
+        {
+            "recall": F.round(F.when(some, F.coalesce("found", F.lit(0)) / F.col("size")).otherwise(0.0), decimals),
+            "mrr": F.round(F.coalesce(1.0 / (F.col("first") + 1), F.lit(0.0)), decimals),
+            "ndcg": F.round(F.when(some, F.coalesce("got", F.lit(0.0)) / best).otherwise(0.0), decimals),
+        }
+    )
+    return out.drop("found", "first", "got")
+
+
 def summary(measured: DataFrame, *by: str, decimals: int = 4) -> DataFrame:
     """Means of the measures by each of the columns `by` and of all, in one pass; of no queries the means are missing."""
     means = [F.round(F.avg(c), decimals).alias(c) for c in ("recall", "mrr", "ndcg")]
