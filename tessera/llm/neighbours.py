@@ -22,7 +22,7 @@ from tessera.session import staged
 
 MAX_PIVOTS = 1 << 16  # bound of the sample that the index is fitted on, and of what each task holds of it; reached at 1.07 billion vectors
 ORDER = 64  # pivots in a vector's order
-POSTED, VISITED = 8, 8  # files a vector is posted in, and visits; four more visits for every tenfold of VISITED_AT vectors
+POSTED, VISITED = 8, 8  # files a vector is posted in, and visits; six more visits for every tenfold of VISITED_AT vectors
 VISITED_AT = 40_000
 RERANKED = 0.4  # share of a file that is reranked for a query, the nearest by footrule and their ties
 LEAST = 64  # and at least so many
@@ -63,7 +63,7 @@ def pivot_count(n: int) -> int:
 
 def visit_count(n: int) -> int:
     """Files that a query visits: the more pivots there are, the more of them share the vectors near to it."""
-    return VISITED + max(0, round(4 * math.log10(max(n, 1) / VISITED_AT)))
+    return VISITED + max(0, round(6 * math.log10(max(n, 1) / VISITED_AT)))
 
 
 def _order(units: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
