@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import running_max_before, running_sum
+
+LARGE = 5_000_000  # rows of a key that one task may sort
+
 
 def _one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
@@ -19,25 +23,49 @@ def first_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return _one(df, keys, [F.asc_nulls_first(c) for c in order])
 
 
+def _large(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a key has more rows than one task should sort; both ways of going on give the same."""
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > LARGE
+
+
+def _grouped(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumn("__key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, ceiling: float | None = None) -> DataFrame:
-    """`df` with `running` and, if a ceiling is given, `over`: whether the total with this row is strictly above it."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("running", F.sum(F.coalesce(value, F.lit(0))).over(w))
+    """`df` with `running` and, if a ceiling is given, `over`: whether the total with this row is strictly above it. A key with more than `LARGE` rows is spread over tasks
+    by prefix sums, for which the values must be whole numbers and the order must name a row."""
+    if dict(df.dtypes)[value] in ("int", "bigint", "smallint", "tinyint") and _large(df, keys):
+        out = running_sum(_grouped(df, keys), "__key", order, value, "running").drop("__key")
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = df.withColumn("running", F.sum(F.coalesce(value, F.lit(0))).over(w))
     return out if ceiling is None else out.withColumn("over", F.col("running") > ceiling)
 
 
 def streaks(df: DataFrame, keys: list[str], order: list[str], failed: Column) -> DataFrame:
-    """`df` with `streak`, the number of failures in a row up to this row, 0 at a success: successes open the islands."""
+    """`df` with `streak`, the number of failures in a row up to this row, 0 at a success: successes open the islands. A key with more than `LARGE` rows is spread over
+    tasks: its failures so far, less those up to the last success before."""
+    own = df.withColumn("__f", F.coalesce(failed, F.lit(False)).cast("int"))
+    if _large(df, keys):
+        total = running_sum(_grouped(own, keys), "__key", order, "__f", "__n")
+        total = running_max_before(total.withColumn("__s", F.when(F.col("__f") == 0, F.col("__n"))), "__key", order, "__s", "__m")
+        streak = F.when(F.col("__f") == 0, F.lit(0)).otherwise(F.col("__n") - F.coalesce("__m", F.lit(0))).cast("bigint")
+        return total.withColumn("streak", streak).drop("__f", "__key", "__n", "__s", "__m")
     w = Window.partitionBy(*keys).orderBy(*order)
-    own = df.withColumn("__f", F.coalesce(failed, F.lit(False)).cast("int")).withColumn("__island", F.sum(1 - F.col("__f")).over(w))
+    own = own.withColumn("__island", F.sum(1 - F.col("__f")).over(w))
     inner = Window.partitionBy(*keys, "__island").orderBy(*order)
     return own.withColumn("streak", F.sum("__f").over(inner)).drop("__f", "__island")
 
 
 def step_changes(df: DataFrame, keys: list[str], order: list[str], step: str) -> DataFrame:
-    """The rows whose step is greater than every step before them."""
-    before = F.max(step).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("__b", before).filter(F.col("__b").isNull() & F.col(step).isNotNull() | (F.col(step) > F.col("__b"))).drop("__b")
+    """The rows whose step is greater than every step before them. A key with more than `LARGE` rows is spread over tasks by running maxima."""
+    if _large(df, keys):
+        own = running_max_before(_grouped(df, keys).withColumn("__v", F.col(step)), "__key", order, "__v", "__b").drop("__key", "__v")
+    else:
+        own = df.withColumn("__b", F.max(step).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    return own.filter(F.col("__b").isNull() & F.col(step).isNotNull() | (F.col(step) > F.col("__b"))).drop("__b")
 
 
 def gaps(df: DataFrame, keys: list[str], start: str, end: str, first: int = 1) -> DataFrame:

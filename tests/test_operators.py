@@ -132,6 +132,25 @@ def test_sequences(spark, rows):
     assert rows(cut.drop("content")) == want and rows(cut.select("content"))[0] == ("10\n",)
 
 
+def test_large_keys_give_the_same_over_many_tasks(spark, rows, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 1, 2, 5, i]), rng.random() < 0.6) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, t int, v int, bad boolean").repartition(5)
+
+    def all_three():
+        return (
+            rows(sequences.running_total(df, ["k"], ["t"], "v", 50)),
+            rows(sequences.streaks(df, ["k"], ["t"], F.col("bad")).select("t", "streak")),
+            rows(sequences.step_changes(df, ["k"], ["t"], "v").select("t")),
+        )
+
+    few = all_three()
+    monkeypatch.setattr(sequences, "LARGE", 10)
+    assert all_three() == few and len(few[0]) == 600
+
+
 def test_pattern_store(spark, rows):
     def at(deg):
         return [math.cos(math.radians(deg)), math.sin(math.radians(deg))]
