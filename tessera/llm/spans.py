@@ -25,7 +25,7 @@ from tessera.session import staged
 
 LEAST = 200
 GRAM = 64  # a power of two
-SHARD = 4096  # passages of a shard
+SHARD = 1024  # passages of a shard
 BLOCK = 1 << 18  # characters that are hashed at a time
 PARTS = 8  # ranges of places of a frequent anchor within a span, each with a text of its own that all spans of the range share
 
