@@ -606,13 +606,23 @@ def diff_summaries(s: SparkSession, d: str) -> DataFrame:
     return own.select("pattern_id", tf.diff_summary(F.col("before_code"), F.col("after_code"), F.concat(F.lit("pattern_"), F.col("pattern_id"))).alias("diff"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS provider, ts, kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, kind) AS i
+        FROM (SELECT user_id, ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'success' ELSE 'check' END AS kind FROM events)),
+    r AS (SELECT provider, ts, kind, i, CASE WHEN kind = 'error' THEN 1 ELSE 0 END AS errors, NULL::TIMESTAMP AS tripped FROM e WHERE i = 1
+        UNION ALL SELECT e.provider, e.ts, e.kind, e.i,
+            CASE WHEN e.kind = 'error' THEN r.errors + 1 WHEN e.kind = 'success' OR epoch(e.ts) - epoch(r.tripped) > 300 THEN 0 ELSE r.errors END,
+            CASE WHEN e.kind = 'error' AND r.errors >= 2 THEN e.ts WHEN e.kind = 'check' AND epoch(e.ts) - epoch(r.tripped) > 300 THEN NULL ELSE r.tripped END
+        FROM r JOIN e ON e.provider = r.provider AND e.i = r.i + 1)
+    SELECT provider, ts, kind, tripped IS NOT NULL AS is_open FROM r"""
+)
 def breaker_states(s: SparkSession, d: str) -> DataFrame:
     """Circuit breakers over the events of each user: errors open them, views are successes, all else are checks."""
     from tessera.streaming import stateful
 
     kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "success").otherwise("check")
-    return stateful.breakers(table(s, d, "events").select(F.col("user_id").alias("provider"), "ts", kind.alias("kind")))
+    own = stateful.breakers(table(s, d, "events").select(F.col("user_id").alias("provider"), "ts", kind.alias("kind")))
+    return own.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(

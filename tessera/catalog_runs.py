@@ -308,6 +308,29 @@ def configured_search(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query(" UNION ALL ".join(f"(SELECT * FROM ({_configured_sql(a, 160, 10, 'true', f'{a}/{n}', r)}))" for a in retrieval.ALPHAS for n, r in (("plain", 0), ("reranked", 6))))
+def full_sweep(s: SparkSession, d: str) -> DataFrame:
+    """Every weight, as fused and reranked, over the same two lists: eight configurations in one plan."""
+    side = retrieval.limits(10)[1]
+    fused = retrieval.sweep(_dense(s, d, side), _sparse(s, d, side), s)
+    keyed = fused.select(F.struct("alpha", "query_id").alias("query_id"), "id", "score", "rank")
+    docs = table(s, d, "documents")
+    asked = fused.select("alpha", "query_id").distinct().join(docs.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query")), "query_id").select(F.struct("alpha", "query_id").alias("query_id"), "query")
+    better = retrieval.rerank(keyed, asked, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), 6)
+    out = keyed.withColumn("kind", F.lit("plain")).unionByName(better.withColumn("kind", F.lit("reranked")).select(*keyed.columns, "kind"))
+    name = F.concat(F.col("query_id.alpha").cast("string"), F.lit("/"), F.col("kind")).alias("config")
+    return out.select(name, F.col("query_id.query_id").alias("query_id"), "id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT query_id, count(*) AS found, count(*) FILTER (WHERE other = label) AS right_ones FROM (SELECT q.vec_id AS query_id, q.label, x.label AS other FROM embeddings q JOIN embeddings x ON x.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 5 WHERE q.vec_id % 50 = 0) GROUP BY query_id HAVING count(*) FILTER (WHERE other = label) = 0")
+def misses(s: SparkSession, d: str) -> DataFrame:
+    """Lists - here of the five vectors that follow - in which nothing is right."""
+    v = table(s, d, "embeddings").select("vec_id", "label")
+    lists = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 5)).alias("vec_id"))
+    met = lists.join(v.select("vec_id", F.col("label").alias("other")), "vec_id")
+    return met.groupBy("query_id").agg(F.count("*").alias("found"), F.count_if(F.col("label") == F.col("other")).alias("right_ones")).filter("right_ones = 0")
+
+
 # ---------------------------------------------------------------- graphs of modules
 
 

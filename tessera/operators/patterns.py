@@ -48,3 +48,9 @@ def counts(store: DataFrame, recorded: DataFrame) -> DataFrame:
     """Rows (id, success_count) of all entries after `recorded`: the store's own counts and one for each pattern that fell to an entry."""
     more = recorded.groupBy(F.col("entry").alias("id")).agg(F.count("*").alias("n"))
     return store.select("id", "success_count").join(more, "id", "full").select("id", (F.coalesce("success_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("success_count"))
+
+
+def seeded(store: DataFrame, seeds: DataFrame) -> DataFrame:
+    """`store` with `seeds` (id, success_count, ...) in place of the entries of their ids, counted once again; seeding twice changes nothing more."""
+    own = seeds.dropDuplicates(["id"]).withColumn("success_count", F.lit(1))
+    return store.join(own.select("id"), "id", "left_anti").unionByName(own, allowMissingColumns=True)

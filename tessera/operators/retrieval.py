@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tessera.operators.vectors import ranked, tokens
 
@@ -68,6 +70,18 @@ def overlap_score(query: Column, content: Column) -> Column:
     return F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, c)) / F.size(q), 6)).otherwise(0.0)
 
 
+def model_score(make: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
+    """A reranker from a model: `make` is called once in each worker, what it returns scores lists of queries and contents."""
+
+    @pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = make()
+        for q, c in batches:
+            yield pd.Series(model(q.fillna("").tolist(), c.fillna("").tolist()), dtype=float)
+
+    return lambda query, content: run(query, content)
+
+
 def rerank(hits: DataFrame, queries: DataFrame, contents: DataFrame, k: int, score: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
     """Hits (query_id, id, rank) with the model's score of (query_id, query) and (id, content) in place of the old one, cut to k; ties keep the old order."""
     own = hits.select("query_id", "id", F.col("rank").alias("prior")).join(queries.select("query_id", "query"), "query_id").join(contents.select("id", "content"), "id", "left")

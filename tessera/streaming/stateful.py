@@ -40,18 +40,31 @@ def breaker_states(kinds: list[str], times: list[float], errors: int = 0, trippe
 def breakers(events: DataFrame) -> DataFrame:
     """Rows (provider, ts, kind, is_open) of a stream or table of events (provider, ts, kind), each provider in the order of ts.
 
-    On a stream, events of one micro-batch are put in order; the state of a provider is two numbers.
+    On a stream, events of one micro-batch are put in order; the state of a provider is two numbers. On a table, a task reads its providers in order and
+    holds a batch at a time.
     """
     own = events.select("provider", F.col("ts").cast("timestamp").alias("ts"), "kind")
     out = "provider string, ts timestamp, kind string, is_open boolean"
     if not own.isStreaming:
-        own = own.withColumn("provider", F.col("provider").cast("string"))
-
-        def whole(df: pd.DataFrame) -> pd.DataFrame:
-            df = df.sort_values(["ts", "kind"], kind="stable")
-            return df.assign(is_open=breaker_states(df["kind"].tolist(), (df["ts"].astype("int64") / (1e9 if "ns" in str(df["ts"].dtype) else 1e6)).tolist())[0])
-
-        return own.groupBy("provider").applyInPandas(whole, out)
+        own = own.withColumn("provider", F.col("provider").cast("string")).repartition("provider").sortWithinPartitions("provider", "ts", "kind")
+
+        def through(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Rows in order, a batch at a time: of what came before, a provider's state is all that is held."""
+            last, errors, tripped = "", 0, None
+            for df in frames:
+                flags: list[bool] = []
+                seconds = df["ts"].astype("int64") / (1e9 if "ns" in str(df["ts"].dtype) else 1e6)
+                for provider, own_rows in df.assign(seconds=seconds).groupby((df["provider"].fillna("\0") != df["provider"].fillna("\0").shift()).cumsum(), sort=False):
+                    name = own_rows["provider"].iloc[0]
+                    name = None if pd.isna(name) else name
+                    if name != last:
+                        errors, tripped = 0, None
+                    more, errors, tripped = breaker_states(own_rows["kind"].tolist(), own_rows["seconds"].tolist(), errors, tripped)
+                    flags += more
+                    last = name
+                yield df.assign(is_open=flags)
+
+        return own.mapInPandas(through, out)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         df = _in_order(frames, ["ts", "kind"])

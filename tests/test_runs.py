@@ -93,3 +93,33 @@ def test_cost_report_takes_recent_days_and_falls_back(spark, rows, days, expecte
     reports = spark.createDataFrame([("a", "2024-01-01 09:00:00", 5, 4)], "thread_id string, created_at string, total_tasks int, succeeded int").withColumn("created_at", F.col("created_at").cast("timestamp"))
     got = runs.cost_report(own, reports, F.expr("timestamp'2024-01-03 00:00:00'"), days)
     assert rows(got.withColumn("day", F.col("day").cast("string"))) == expected
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from tessera.__main__ import evaluate, main
+
+    src = tmp_path / "src"
+    (src / "docs").mkdir(parents=True)
+    (src / "a.py").write_text("def parse_query(x):\n    return x\n\n\nclass Store:\n    size = 1\n")
+    (src / "docs" / "g.md").write_text("# Guide\n\nHow to parse a query.\n")
+    assert main(["ingest-code", str(src), str(tmp_path / "code")]) == 0 and main(["ingest-docs", str(src), str(tmp_path / "docs")]) == 0
+    points = spark.read.parquet(str(tmp_path / "code"))
+    wanted = points.filter("name = 'parse_query'").first()["point_id"]
+    (tmp_path / "q.jsonl").write_text(json.dumps({"query": "parse_query", "ground_truth_chunk_ids": [wanted], "query_type": "exact", "difficulty": "easy"}))
+    got = {r["query_type"]: (r["n"], r["recall"], r["mrr"]) for r in evaluate(spark, str(tmp_path / "q.jsonl"), str(tmp_path / "code")).collect()}
+    assert got == {"exact": (1, 1.0, 1.0), None: (1, 1.0, 1.0)}
+    assert main(["queries"]) == 0 and "hybrid_search" in capsys.readouterr().out
+
+
+def test_models_and_seeds(spark, rows):
+    from tessera.operators import patterns, retrieval
+
+    hits = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (1, "c", 2)], "query_id int, id string, rank int")
+    queries, texts = spark.createDataFrame([(1, "x")], "query_id int, query string"), spark.createDataFrame([("a", "1"), ("b", "22"), ("c", None)], "id string, content string")
+    score = retrieval.model_score(lambda: lambda q, c: [float(len(t)) for t in c])
+    assert [r["id"] for r in retrieval.rerank(hits, queries, texts, 2, score).orderBy("rank").collect()] == ["b", "a"]
+    store = spark.createDataFrame([("p", 7), ("q", 3)], "id string, success_count int")
+    once = patterns.seeded(store, store.filter("id = 'p'"))
+    assert rows(once) == rows(patterns.seeded(once, store.filter("id = 'p'"))) == [("p", 1), ("q", 3)]
