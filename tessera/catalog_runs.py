@@ -202,6 +202,58 @@ def retried_calls(s: SparkSession, d: str) -> DataFrame:
     return runs.retried(table(s, d, "task_results").select(F.col("task_id").alias("key"), attempt.alias("attempt"), limited.alias("limited"), (F.col("status") != "failed").alias("ok")))
 
 
+@query(
+    f"""WITH {_LEDGER}, n AS (SELECT thread_id, task_id, count(*) AS attempts FROM r GROUP BY ALL)
+    SELECT a.thread_id, round(avg(n.attempts), 6) AS mean_attempts FROM (SELECT DISTINCT thread_id FROM t) a LEFT JOIN n USING (thread_id) GROUP BY a.thread_id"""
+)
+def mean_attempts(s: SparkSession, d: str) -> DataFrame:
+    """Means of attempts a task, missing for runs without any."""
+    n = _results(s, d).groupBy("thread_id", "task_id").agg(F.count("*").alias("attempts"))
+    return _tasks(s, d).select("thread_id").distinct().join(n, "thread_id", "left").groupBy("thread_id").agg(F.round(F.avg("attempts"), 6).alias("mean_attempts"))
+
+
+@query(
+    f"""WITH {_LEDGER} SELECT runs.thread_id, CASE WHEN started_at IS NULL THEN NULL ELSE greatest(0, CAST(floor(epoch(reports.created_at) - epoch(started_at)) AS BIGINT)) END AS seconds FROM runs JOIN reports USING (thread_id)"""
+)
+def run_durations(s: SparkSession, d: str) -> DataFrame:
+    own, reports = _ledger(s, d)
+    seconds = F.floor((F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1_000_000)
+    both = own.join(reports, "thread_id")
+    return both.select("thread_id", F.when(F.col("started_at").isNotNull(), F.greatest(F.lit(0), seconds)).alias("seconds"))
+
+
+@query(
+    """WITH q AS (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL), a AS (SELECT title, min(doc_chunk_id) AS best, count(*) AS n FROM doc_chunks WHERE title IS NOT NULL GROUP BY title)
+    SELECT q.title, coalesce(a.best, -1) AS best, coalesce(a.n, 0) AS n FROM q LEFT JOIN a USING (title)"""
+)
+def answers_by_title(s: SparkSession, d: str) -> DataFrame:
+    """Items with what was found under their very text; what is missing is empty."""
+    found = table(s, d, "doc_chunks").filter("title is not null").groupBy("title").agg(F.min("doc_chunk_id").alias("best"), F.count("*").alias("n"))
+    return table(s, d, "documents").filter("title is not null").select("title").distinct().join(found, "title", "left").fillna({"best": -1, "n": 0})
+
+
+@query("SELECT pattern_id, md5(before_code || ' -> ' || migration_type) AS key, before_code, after_code, migration_type, source_framework, target_framework, success_count FROM migration_patterns")
+def pattern_payloads(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "migration_patterns")
+    return p.select("pattern_id", F.md5(tx.signature_key(F.col("before_code"), F.col("migration_type"))).alias("key"), "before_code", "after_code", "migration_type", "source_framework", "target_framework", "success_count")
+
+
+@query("SELECT name, alpha, retrieve_k, rerank_k, rerank FROM (VALUES ('default', 0.5::DOUBLE, 20, 6, false), ('reranker', 0.5, 20, 6, true), ('dense_only', 1.0, 20, 6, false), ('sparse_only', 0.0, 20, 6, false)) t(name, alpha, retrieve_k, rerank_k, rerank)")
+def search_configs(s: SparkSession, d: str) -> DataFrame:
+    rows = [(n, c.alpha, c.retrieve_k, c.rerank_k, c.rerank) for n, c in retrieval.CONFIGS.items()]
+    return s.createDataFrame(rows, "name string, alpha double, retrieve_k int, rerank_k int, rerank boolean")
+
+
+@query(
+    f"""WITH {_LEDGER} SELECT thread_id, module_path, status FROM r QUALIFY row_number() OVER (PARTITION BY thread_id, module_path ORDER BY finished_at DESC, result_id DESC) = 1 AND status IN ('failed', 'rejected')"""
+)
+def rerun_paths(s: SparkSession, d: str) -> DataFrame:
+    """Paths whose last result failed, which would be queued again; earlier results are replaced by later ones."""
+    from tessera.operators.sequences import last_per_key
+
+    return last_per_key(_results(s, d), ["thread_id", "module_path"], "finished_at", "result_id").filter("status in ('failed', 'rejected')").select("thread_id", "module_path", "status")
+
+
 @query(
     """WITH x AS (SELECT r.repo, avg(t.rate) AS mean_rate, CAST(sum(t.n) AS BIGINT) AS files FROM repos r JOIN (SELECT repo, file_path, avg(CASE WHEN docstring IS NOT NULL THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS n FROM code_chunks GROUP BY ALL) t USING (repo) GROUP BY r.repo)
     SELECT coalesce(repo, '(all)') AS repo, round(avg(mean_rate), 6) AS mean_rate, CAST(sum(files) AS BIGINT) AS chunks FROM x GROUP BY ROLLUP (repo)"""

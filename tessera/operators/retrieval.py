@@ -44,6 +44,16 @@ def limits(top_k: int = 10, config: Config | None = None, prefetch: int | None =
     return 0.5, fused * OVERFETCH, fused, top_k, False
 
 
+def checked(query: str, top_k: int = 10, alpha: float | None = None) -> str:
+    """A query without blanks around it; a blank one, a number of hits beyond 1 to 100 or a weight beyond 0 to 1 is an error."""
+    if not query or not query.strip():
+        raise ValueError("the query is blank")
+    limits(top_k)
+    if alpha is not None:
+        Config(alpha=alpha)
+    return query.strip()
+
+
 def metadata_filter(wanted: Mapping[str, str | None]) -> Column:
     """All given fields equal; a missing or empty value asks for nothing."""
     return reduce(lambda a, b: a & b, [F.col(c) == v for c, v in wanted.items() if v], F.lit(True))

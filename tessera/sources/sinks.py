@@ -59,6 +59,13 @@ def append(path: str, rows: DataFrame) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_run(path: str, rows: DataFrame) -> str:
+    """Append the rows of a run under a new `run_id`, which is returned."""
+    run = uuid.uuid4().hex
+    append(path, rows.withColumn("run_id", F.lit(run)))
+    return run
+
+
 def read_evolved(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 

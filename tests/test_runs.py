@@ -123,3 +123,16 @@ def test_models_and_seeds(spark, rows):
     store = spark.createDataFrame([("p", 7), ("q", 3)], "id string, success_count int")
     once = patterns.seeded(store, store.filter("id = 'p'"))
     assert rows(once) == rows(patterns.seeded(once, store.filter("id = 'p'"))) == [("p", 1), ("q", 3)]
+
+
+def test_inputs_are_checked_and_runs_have_ids(spark, tmp_path):
+    from tessera.operators import retrieval
+    from tessera.sources import sinks
+
+    assert retrieval.checked(" a ", 100, 0.0) == "a"
+    for bad in ((" ", 5, None), ("a", 0, None), ("a", 101, None), ("a", 5, 1.1)):
+        with pytest.raises(ValueError):
+            retrieval.checked(*bad)
+    path, row = str(tmp_path / "t"), spark.createDataFrame([(1,)], "x int")
+    ids = {sinks.append_run(path, row), sinks.append_run(path, row)}
+    assert {r["run_id"] for r in sinks.read_evolved(spark, path).collect()} == ids and len(ids) == 2
