@@ -2,8 +2,8 @@
 
 A text is cut into words (pre-tokens) by the pattern of the vocabulary. Documents travel as blocks of about `BLOCK_CHARS`
 characters. In a block a word is a small number, so that a frequent word crosses the shuffle once for a block and not once for an
-occurrence, and no word is a hot key. The distinct words of all blocks are encoded once each, joined back to the blocks, and put at
-their positions. Nothing is broadcast and nothing reaches the driver.
+occurrence, and no word is a hot key: those that nearly all blocks have are looked up under several. The distinct words of all blocks are encoded once each, joined back to the blocks, and put at
+their positions. Fewer than `SHARES` frequent words are broadcast, and nothing reaches the driver but their total.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The pattern that belongs to the vocabulary; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_CHARS = 1_000_000
+SHARES = 1000
 
 
 @functools.lru_cache(2)
@@ -125,7 +126,7 @@ def blocked(df: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_
 
 
 def encoded_words(words: DataFrame, path: str, counts: bool) -> DataFrame:
-    """Each distinct word with its ids, or with their number."""
+    """Each word of a table that has it once, with its ids, or with their number."""
 
     def run(batches):
         enc = encoding(path)._encode_single_piece
@@ -134,7 +135,22 @@ def encoded_words(words: DataFrame, path: str, counts: bool) -> DataFrame:
             col = pa.array([len(x) for x in ids], pa.int32()) if counts else pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), col], names=["word", "ids"])
 
-    return words.select("word").distinct().mapInArrow(run, "word string, ids int" if counts else "word string, ids array<int>")
+    return words.select("word").mapInArrow(run, "word string, ids int" if counts else "word string, ids array<int>")
+
+
+def _looked_up(words: DataFrame, path: str, counts: bool) -> DataFrame:
+    """`words` (block, word_no, word) with the ids of each word, which is encoded once. A word that more than one in `SHARES` rows has is looked up under several keys, so
+    that none has more than that share of the rows; there are fewer than `SHARES` such words, whatever the corpus."""
+    each = staged(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = each.filter(F.col("n") * SHARES > total).select("word", F.ceil(F.col("n") * SHARES / F.lit(max(total, 1))).cast("int").alias("salts"))
+
+    def with_salts(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(frequent), "word", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+
+    left = with_salts(words).withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")).cast("int")).drop("salts")
+    right = with_salts(encoded_words(each, path, counts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return left.join(right, ["word", "salt"])
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, folder: str | None = None, counts: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -148,7 +164,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = blocked(df, id_col, text_col, block_chars)
     id_type = df.schema[id_col].dataType.simpleString()
     words = blocks.filter(F.col("word").isNotNull()).select("block", "word_no", "word")
-    known = words.join(encoded_words(words, path, counts), "word").select(F.col("block").alias("key"), "word_no", "ids")
+    known = _looked_up(words, path, counts).select(F.col("block").alias("key"), "word_no", "ids")
     docs = blocks.filter(F.col("at").isNotNull()).select("block", "doc", "refs")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
