@@ -487,8 +487,10 @@ def places(df: DataFrame, id_col: str = "chunk_id", content_col: str = "content"
 
 
 def redacted(df: DataFrame, id_col: str = "chunk_id", content_col: str = "content") -> DataFrame:
-    """`df` with its contents masked and `n_masked`, the number of places; rows without any, also missing contents, come out as they are."""
+    """`df` with its contents masked and `n_masked`, the number of places; rows without any, also missing contents, come out as they are. A column of
+    that name is replaced."""
 
+    df = df.drop("n_masked")
     names = df.columns
     k = names.index(content_col)
 

@@ -15,6 +15,7 @@ from tessera.session import staged
 
 BLANKS = " \t\r\n"
 TRAILING = r"[ \t\r\n]++\z"
+_RESULTS = ("over", "forced", "pieces", "__tiles", "__at")  # columns of these names are replaced
 PART = 512  # numbers that are summed up at a time
 DOC_PIECE = "struct<content:string,back:int,forced:boolean>"
 CODE_PIECE = "struct<content:string,start_line:int,end_line:int,back:int,forced:boolean>"
@@ -84,9 +85,10 @@ def split_docs(docs: DataFrame, limit: int = 1000, overlap: int = 100, content_c
     Sizes are code points. A content within the limit is its own only piece; a missing one has none, nor has a blank one. No piece is
     longer than the limit; each but the first starts with the last `overlap` characters before it, except a word of more than
     limit - overlap characters, which is a piece by itself. Pieces without their overlap give the content again, but for pieces of blanks,
-    which are dropped. `back` is the length of a piece's overlap. A piece is forced if it begins within a word. Other columns stay as they are.
+    which are dropped. `back` is the length of a piece's overlap. A piece is forced if it begins within a word. Other columns stay as they are,
+    those named as results are replaced.
     """
-    content = F.col(content_col)
+    content, docs = F.col(content_col), docs.drop(*_RESULTS)
     over = F.coalesce(F.length(content) > limit, F.lit(False))
     out = _once(docs.withColumn("over", over), F.when(F.col("over"), _tiles(content, doc_pattern(limit, overlap))))
     none = F.array().cast(f"array<{DOC_PIECE}>")
@@ -115,7 +117,7 @@ def split_code(chunks: DataFrame, limit: int = 1200, reserve: int = 200, overlap
     content within the limit is one piece without its trailing line breaks; a missing or blank one has none. A piece is forced if it begins within
     a line. The work grows with the content: a file of megabytes in one row is cut in seconds.
     """
-    content = F.col(content_col)
+    content, chunks = F.col(content_col), chunks.drop(*_RESULTS)
     over = F.coalesce(F.length(F.translate(content, BLANKS, "")) > limit, F.lit(False))
     out = _once(chunks.withColumn("over", over), F.when(F.col("over"), _tiles(content, code_pattern(limit, reserve))))
     out = _once(out, _sums_before(F.transform("__tiles", _breaks)), "__at")

@@ -3,6 +3,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.llm import fmindex, mixing, spans, splitting, tokens
 
 np = pytest.importorskip("numpy")
@@ -22,6 +24,15 @@ def test_encoding_equals_library_and_round_trips(spark):
     assert tokens.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_frequent_words_under_several_keys(spark, monkeypatch):
+    texts = [f"the word {i % 7} the the {i}" for i in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    enc = tokens.encoding(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+    monkeypatch.setattr(tokens, "SHARES", 50)
+    got = {r["doc_id"]: list(r["ids"]) for r in tokens.encode_corpus(df, block_chars=40).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_mix_meets_shares(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["word"] * rng.randint(20, 60)), "big" if i % 3 else ("small" if i % 2 else None)) for i in range(600)] + [(9000, None, "small"), (9001, "", "big")]
@@ -99,6 +110,20 @@ def test_code_of_megabytes_in_one_row(spark):
         last = p["end_line"]
 
 
+def test_clashing_names_and_empty_tables(spark):
+    from tessera.llm import neardup, secrets
+
+    names = "chunk_id long, content string, start_line int, over string, forced int, pieces int, __tiles int, __at int, n_masked int"
+    df = spark.createDataFrame([(1, "a b", 1, "x", 2, 3, 4, 5, 6), (2, None, None, None, None, None, None, None, None), (3, "", 1, "", 0, 0, 0, 0, 0)], names)
+    for split in (splitting.split_code, splitting.split_docs):
+        got = {r["chunk_id"]: [p["content"] for p in r["pieces"]] for r in split(df).collect()}
+        assert got == {1: ["a b"], 2: [], 3: []} and split(df.limit(0)).count() == 0
+    assert {r["chunk_id"]: r["n_masked"] for r in secrets.redacted(df).collect()} == {1: 0, 2: 0, 3: 0} and secrets.redacted(df.limit(0)).count() == 0
+    assert secrets.places(df.limit(0)).count() == 0
+    member, pairs = neardup.near_duplicates(df.limit(0), "chunk_id", ["content", "over"])
+    assert neardup.all_pairs(member, pairs).count() == 0 and neardup.groups(member, pairs, df.select(F.col("chunk_id").alias("id"))).count() == 3
+
+
 def brute(texts, least):
     where = {}
     for i, t in texts.items():
