@@ -113,8 +113,15 @@ def _squeezed(text: Column) -> Column:
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """What is read of the chunks, with `rid`, which tells rows apart."""
-    return chunks.select("chunk_id", "file_path", "language", "node_type", "content", "docstring", F.monotonically_increasing_id().alias("rid"))
+    """Rows (rid, chunk_id, file_path, lang, content, spare) of the chunks in a known language that hold anything that documents; `rid` tells rows apart, `spare` is a
+    docstring that stands in for one in the content."""
+    own = chunks.select("chunk_id", "file_path", "language", "node_type", "content", "docstring", F.monotonically_increasing_id().alias("rid")).withColumn("lang", _language(chunks))
+    elsewhere = ~F.contains(F.col("content"), F.trim("docstring")) & ~F.contains(_squeezed(F.col("content")), F.trim(_squeezed(F.col("docstring"))))
+    spare = F.when((F.col("node_type") == "function") & F.col("docstring").isNotNull() & elsewhere, F.col("docstring"))
+    own = own.filter("content is not null and lang is not null").withColumn("spare", spare)
+    quoted = F.col("content").contains('"') | F.col("content").contains("'")
+    documented = F.when(F.col("lang") == "python", F.col("content").contains("def") & quoted).otherwise(F.col("content").contains("/**") | F.col("content").contains("///"))
+    return own.filter(documented | F.col("spare").isNotNull()).select("rid", "chunk_id", "file_path", "lang", "content", "spare")
 
 
 def tokens(own: DataFrame) -> DataFrame:
@@ -123,15 +130,7 @@ def tokens(own: DataFrame) -> DataFrame:
     A token has the white space before it. Kinds: H head, D documentation comment, S string that may document, A annotation or in Python remark, O and X braces,
     E semicolon, C remark, T anything else, also white space at the end. `size` counts its characters, `space` those of the white space, and `indent`, in Python,
     those of the white space after a line break. Heads carry what belongs to the chunk; heads, comments and strings their text.
-    Chunks without anything that documents have no rows.
     """
-    own = own.withColumn("lang", _language(own))
-    elsewhere = ~F.contains(F.col("content"), F.trim("docstring")) & ~F.contains(_squeezed(F.col("content")), F.trim(_squeezed(F.col("docstring"))))
-    spare = F.when((F.col("node_type") == "function") & F.col("docstring").isNotNull() & elsewhere, F.col("docstring"))
-    own = own.filter("content is not null and lang is not null").withColumn("spare", spare)
-    quoted = F.col("content").contains('"') | F.col("content").contains("'")
-    documented = F.when(F.col("lang") == "python", F.col("content").contains("def") & quoted).otherwise(F.col("content").contains("/**") | F.col("content").contains("///"))
-    own = own.filter(documented | F.col("spare").isNotNull())
     text = F.when(F.col("lang") == "python", F.concat("content", F.lit("\n"))).otherwise(F.col("content"))
     cut = F.coalesce(*[F.when(F.col("lang") == name, F.regexp_extract_all(text, F.lit(p), F.lit(0))) for name, p in _TOKENS.items()])
     rows = own.select("rid", "lang", "chunk_id", "file_path", "spare", F.posexplode(cut).alias("pos", "whole"))
