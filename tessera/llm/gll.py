@@ -130,6 +130,7 @@ class Grammar:
                     new |= first_of(a)[0]
                 if new != first[n]:
                     first[n], changed = new, True
+        self.first, self.last, self.within, self.nullable = first, self._ends(nullable, bit), self._reached(bit), nullable
         # A slot holds (0, bit) for a terminal, (1, rule, next slot) for a rule, (2,) for a possible line end, (3,) for the end of a rule.
         self.slots: list[tuple] = []
         self.entries: list[list[tuple[int, int, bool]]] = []
@@ -145,12 +146,52 @@ class Grammar:
         self.memo: dict = {}
         self.masks: dict = {}
 
+    def _ends(self, nullable: set[str], bit: dict) -> dict[str, int]:
+        """The terminals that what a rule derives may end with."""
+        last, changed = dict.fromkeys(self.rules, 0), True
+        while changed:
+            changed = False
+            for n, alts in self.rules.items():
+                new = last[n]
+                for alt in alts:
+                    for k, x in reversed(alt):
+                        if k != "z":
+                            new |= last[x] if k == "n" else bit[k, x]
+                            if k != "n" or x not in nullable:
+                                break
+                if new != last[n]:
+                    last[n], changed = new, True
+        return last
+
+    def _reached(self, bit: dict) -> dict[str, int]:
+        """The terminals that what a rule derives may hold."""
+        out, changed = dict.fromkeys(self.rules, 0), True
+        while changed:
+            changed = False
+            for n, alts in self.rules.items():
+                new = out[n]
+                for alt in alts:
+                    for k, x in alt:
+                        if k != "z":
+                            new |= out[x] if k == "n" else bit[k, x]
+                if new != out[n]:
+                    out[n], changed = new, True
+        return out
+
     def derives(self, rule: str, kinds: tuple[int, ...]) -> bool:
-        """Whether the rule derives the tokens."""
+        """Whether the rule derives the tokens. What a rule can't begin, end or hold is refused without a parse."""
         key = (rule, kinds)
         known = self.memo.get(key)
         if known is None:
-            known = self._recognise(self.number[rule], kinds)
+            match = self.match
+            bits = [match[k & ~NEWLINE] for k in kinds]
+            if not bits:
+                known = rule in self.nullable
+            elif bits[0] & self.first[rule] and bits[-1] & self.last[rule]:
+                within = self.within[rule]
+                known = all([b & within for b in bits]) and self._recognise(self.number[rule], kinds, bits)
+            else:
+                known = False
             if len(kinds) <= 80:
                 if len(self.memo) > MEMO:
                     self.memo.clear()
@@ -165,9 +206,8 @@ class Grammar:
                 start = i + 1
         return [*out, content[start:]] if start < len(content) else out
 
-    def _recognise(self, start: int, kinds: tuple[int, ...]) -> bool:
-        match, slots, entries = self.match, self.slots, self.entries
-        bits = [match[k & ~NEWLINE] for k in kinds]
+    def _recognise(self, start: int, kinds: tuple[int, ...], bits: list[int]) -> bool:
+        slots, entries = self.slots, self.entries
         bits.append(0)
         n = len(kinds)
         nodes: dict[tuple[int, int], tuple[list, list]] = {}  # (rule, place) -> (edges, ends)

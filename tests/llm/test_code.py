@@ -262,3 +262,16 @@ def test_heads_of_any_make_up(spark):
     assert got[1, "f"].endswith("return a\n\n\n# below") and got[1, "g"].endswith("return 2") and got[1, "h"].endswith("on one line\"")
     assert got[2, "f"].endswith("{ if (b) { } }") and got[3, "f"].endswith("`}`;\n}") and got[3, "g"] == "const g = (a) => a + 1;"
     assert docpairs.found(df.limit(0), checked).count() == 0
+
+
+def test_refusals_without_a_parse_are_right():
+    """What a rule is said not to begin, end or hold it doesn't derive: the recogniser is asked as well."""
+    import itertools
+
+    g = Grammar("S = A B? ~ | 'x' S 'y' | ; A = ID (',' ID)* | '(' S ')' ; B = 'b' | NUM ; C = (A | B)* ~ ; D = '+' D | ;", "")
+    kinds = [g.kinds[w] for w in ("ID", ",", "(", ")", "x", "y", "b", "NUM", "+")]
+    for n in range(5):
+        for content in itertools.product(kinds, repeat=n):
+            bits = [g.match[k] for k in content]
+            for rule in "SABCD":
+                assert g.derives(rule, content) == g._recognise(g.number[rule], content, list(bits))
