@@ -194,12 +194,13 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
     """Rows (`id_col`, text): the bytes of the tokens side by side, as UTF-8, in which bytes that are none are replaced.
 
-    It joins the table of tokens and their bytes. An empty or missing list gives an empty text. `id_col` must name a row.
+    It joins the table of tokens and their bytes. An empty or missing list gives an empty text. Rows of one id, and rows without, come out one by one.
     """
     spark = df.sparkSession
     rows = [(i, b) for b, i in ranks(os.path.join(folder or TOKENIZERS, vocabulary)).items()]
     tokens = spark.createDataFrame(rows, "token int, bytes binary")  # as many rows as the vocabulary, whatever the corpus
-    pieces = df.select(F.col(id_col).alias("doc"), F.posexplode(ids_col).alias("pos", "token")).join(F.broadcast(tokens), "token")
+    own = staged(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.col(ids_col).alias("ids")), "ids")
+    pieces = own.select("row", F.posexplode("ids").alias("pos", "token")).join(F.broadcast(tokens), "token")
     text = F.make_valid_utf8(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("h")))), lambda x: x["h"]), "")).cast("string"))
-    made = pieces.groupBy("doc").agg(text.alias("text"))
-    return df.select(F.col(id_col).alias("doc")).join(made, "doc", "left").select(F.col("doc").alias(id_col), F.coalesce("text", F.lit("")).alias("text"))
+    made = pieces.groupBy("row").agg(text.alias("text"))  # no more than the tokens of one row
+    return own.select("row", "doc").join(made, "row", "left").select(F.col("doc").alias(id_col), F.coalesce("text", F.lit("")).alias("text"))

@@ -18,9 +18,9 @@ def test_encoding_equals_library_and_round_trips(spark):
     assert sorted(got, key=str) == sorted([(i, enc.encode_ordinary(t) if t else []) for i, t in enumerate(texts)] + [(None, enc.encode_ordinary("null id"))], key=str)
     counts = {r["doc_id"]: r["n_tokens"] for r in tokens.encode_corpus(df, counts=True).collect()}
     assert all(counts[i] == len(x) for i, x in got)
-    own = df.filter("doc_id is not null")
-    back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(tokens.encode_corpus(own)).collect()}
-    assert back == {i: t or "" for i, t in enumerate(texts)}
+    both = df.union(df.filter("doc_id = 0"))
+    back = sorted(((r["doc_id"], r["text"]) for r in tokens.decode_corpus(tokens.encode_corpus(both)).collect()), key=str)
+    assert back == sorted([(i, t or "") for i, t in enumerate(texts)] + [(None, "null id"), (0, "Hello world")], key=str)
     assert tokens.encode_corpus(df.limit(0)).count() == 0
 
 
